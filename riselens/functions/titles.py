@@ -38,6 +38,9 @@ PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 # ---------------------------------------------------------------------------
 
 WS_SPLIT = r"\s+"
+# A Unicode word boundary written out (Java's and RE2's \b disagree on
+# non-ASCII letters; Python's Unicode \b treats letters and digits as word).
+NON_WORD = r"[^\p{L}\p{N}_]"
 
 
 def clean_title(title: Column | str) -> Column:
@@ -141,12 +144,12 @@ def handcrafted_features(title: Column | str = "title", all_caps_words: Column |
         "title_token_len": n_tok,
         "title_char_len": char_len,
         "title_avg_token_len": _ratio_or(char_len, n_tok, 0.0),
-        "feat_wh_start": t.rlike(rf"(?i)^(?:{wh})\b").cast("double"),
+        "feat_wh_start": t.rlike(rf"(?i)^(?:{wh})(?:{NON_WORD}|$)").cast("double"),
         "feat_contains_colon": (F.instr(t, ":") > 0).cast("double"),
         "feat_contains_dash": (F.instr(t, "-") > 0).cast("double"),
         "feat_contains_digit": t.rlike("[0-9]").cast("double"),
         "feat_contains_year": t.rlike("20[0-9]{2}|19[0-9]{2}").cast("double"),
-        "feat_all_caps_word": t.rlike(r"\b[A-Z]{4,}\b").cast("double"),
+        "feat_all_caps_word": t.rlike(rf"(?:^|{NON_WORD})[A-Z]{{4,}}(?:{NON_WORD}|$)").cast("double"),
         "feat_title_exc": (F.instr(t, "!") > 0).cast("double"),
         "feat_title_question": (F.instr(t, "?") > 0).cast("double"),
         "feat_title_quote": (F.instr(t, '"') > 0).cast("double"),

@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from riselens.plans import q_core  # noqa: F401
+from riselens.plans import q_text  # noqa: F401

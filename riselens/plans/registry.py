@@ -36,11 +36,11 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.col(f"`{f.name}`").cast("double")
-            cols.append(F.round(F.nanvl(c, F.lit(None).cast("double")), digits).alias(f.name))
+            cols.append((F.round(F.nanvl(c, F.lit(None).cast("double")), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
 def round_sql(expr: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
