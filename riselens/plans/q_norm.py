@@ -46,7 +46,7 @@ def q_collection_summary(spark, sf):
 
 
 @register("dedup_slices_collection_flag", fx.sql_with("""
-SELECT post_id, score, 1.0 AS ingested_timestamp, CAST(coalesce(collection_type = 'new', false) AS INTEGER) AS is_new_collection
+SELECT post_id, score, CAST(1.0 AS DOUBLE) AS ingested_timestamp, CAST(coalesce(collection_type = 'new', false) AS INTEGER) AS is_new_collection
 FROM posts""", "posts"))
 def q_dedup(spark, sf):
     p = fx.posts(spark, sf).select("post_id", "score", "collection_type")
