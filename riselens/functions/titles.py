@@ -71,7 +71,7 @@ def _syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - silent_e)
 
 
-def title_features(title: Column | str = "title") -> dict[str, Column]:
+def title_features(title: Column | str = "title", tok_col: str | None = None) -> dict[str, Column]:
     """T1–T20 (and T21–T24 placeholders) as Column expressions.
 
     Entities (T21–T24) are zero here, the same as the studied pipeline without
@@ -79,7 +79,7 @@ def title_features(title: Column | str = "title") -> dict[str, Column]:
     gazetteer table.  Sentiment T11–T14 comes from ``operators.lexicon``.
     """
     t = clean_title(title)
-    toks = tokens(t)
+    toks = tokens(t) if tok_col is None else F.col(tok_col)
     n_tok = F.size(toks)
     lower_t = F.lower(t)
 

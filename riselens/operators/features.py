@@ -142,5 +142,12 @@ def context_features(df: DataFrame, as_of_epoch: float, community: str = "subred
 
 
 def with_title_features(df: DataFrame, title: str = "title") -> DataFrame:
-    """T1–T20 as one ``withColumns`` (single codegen projection)."""
-    return df.withColumns(title_features(title))
+    """T1–T20 as one projection over a token array computed once per row.
+
+    The token array is its own projection below the features; Catalyst keeps
+    it separate (it is referenced many times and is not cheap), so every
+    title is split once.
+    """
+    from riselens.functions.titles import clean_title, tokens
+    with_toks = df.withColumn("_title_tokens", tokens(clean_title(title)))
+    return with_toks.withColumns(title_features(title, "_title_tokens")).drop("_title_tokens")

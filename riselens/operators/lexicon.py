@@ -46,6 +46,7 @@ def sentiment_tokens(title: Column) -> Column:
 
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "title", key: str = "post_id") -> DataFrame:
     """Attach sentiment_compound / positive / negative / neutral."""
+    df = df.drop("sentiment_compound", "sentiment_positive", "sentiment_negative", "sentiment_neutral")
     toks = sentiment_tokens(F.col(text))
     neg = F.array(*[F.lit(w) for w in NEGATIONS])
     boost = F.array(*[F.lit(w) for w in BOOSTERS])
@@ -90,6 +91,7 @@ def entity_counts(df: DataFrame, gazetteer: DataFrame | None, text: str = "title
     gazetteer; dates are month names and years (fixed rule).  Without a
     gazetteer, person and org counts are zero.
     """
+    df = df.drop("person_entities", "org_entities", "date_entities", "total_entities")
     toks = sentiment_tokens(F.col(text))
     n_tok = F.size(toks)
     def ngrams(n: int) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +80,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint folder.
+
+    One computation of ``df`` (an RDD checkpoint computes its input twice),
+    and later reads of the table get column pruning and filter pushdown.  The
+    folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster),
+    so a lost executor never loses the materialised data.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
