@@ -44,18 +44,26 @@ def sentiment_tokens(title: Column) -> Column:
     return F.filter(stripped, lambda w: w != F.lit(""))
 
 
+def _shifted(arr: Column, k: int) -> Column:
+    """arr shifted left by k (element i -> arr[i+k]); shorter by k."""
+    return F.slice(arr, k + 1, F.greatest(F.size(arr) - k, F.lit(0)))
+
+
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "title", key: str = "post_id") -> DataFrame:
-    """Attach sentiment_compound / positive / negative / neutral."""
+    """Attach sentiment_compound / positive / negative / neutral.
+
+    The token array is computed once per row; the previous token comes from a
+    shifted copy zipped alongside (O(n) per title, no per-element re-split).
+    """
     df = df.drop("sentiment_compound", "sentiment_positive", "sentiment_negative", "sentiment_neutral")
-    toks = sentiment_tokens(F.col(text))
+    base = df.withColumn("_toks", sentiment_tokens(F.col(text)))
+    base = base.withColumn("_prev", F.concat(F.array(F.lit("")), F.slice("_toks", 1, F.greatest(F.size("_toks") - 1, F.lit(0)))))
     neg = F.array(*[F.lit(w) for w in NEGATIONS])
     boost = F.array(*[F.lit(w) for w in BOOSTERS])
-    items = F.transform(toks, lambda w, i: F.struct(
-        w.alias("token"),
-        ((i > 0) & F.array_contains(neg, F.coalesce(F.get(toks, i - 1), F.lit("")))).alias("negated"),
-        ((i > 0) & F.array_contains(boost, F.coalesce(F.get(toks, i - 1), F.lit("")))).alias("boosted"),
-    ))
-    per_tok = df.select(F.col(key), F.explode(items).alias("it")).select(key, "it.*")
+    per_tok = base.select(F.col(key), F.explode(F.arrays_zip("_toks", "_prev")).alias("it")).select(
+        key, F.col("it._toks").alias("token"),
+        F.array_contains(neg, F.col("it._prev")).alias("negated"),
+        F.array_contains(boost, F.col("it._prev")).alias("boosted"))
     lex = lexicon.select(F.col("token"), F.col("valence").cast("double").alias("valence")).filter(F.col("valence") != 0)
     hits = attach_small(per_tok, lex, "token", "inner")
     v = F.col("valence")
@@ -68,7 +76,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "title", ke
         F.sum(F.when(F.col("a") < 0, F.col("a") - 1.0).otherwise(0.0)).alias("_neg"),
         F.count_if(F.col("a") != 0).alias("_n_sent"),
     )
-    out = df.withColumn("_n_tok", F.size(toks)).join(sums, key, "left")
+    out = base.withColumn("_n_tok", F.size("_toks")).drop("_toks", "_prev").join(sums, key, "left")
     s = F.coalesce(F.col("_s"), F.lit(0.0))
     pos = F.coalesce(F.col("_pos"), F.lit(0.0))
     negs = F.abs(F.coalesce(F.col("_neg"), F.lit(0.0)))
@@ -92,21 +100,29 @@ def entity_counts(df: DataFrame, gazetteer: DataFrame | None, text: str = "title
     gazetteer, person and org counts are zero.
     """
     df = df.drop("person_entities", "org_entities", "date_entities", "total_entities")
-    toks = sentiment_tokens(F.col(text))
-    n_tok = F.size(toks)
+    base = df.withColumn("_toks", sentiment_tokens(F.col(text)))
+    for k in range(1, max_n):
+        base = base.withColumn(f"_next{k}", _shifted(F.col("_toks"), k))
+    toks = F.col("_toks")
+
     def ngrams(n: int) -> Column:
-        # Closures, not default arguments: Spark reads a 2-argument lambda as (element, index).
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n_tok, F.lit(1))), lambda i: i + (n - 1) <= n_tok)
-        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+        if n == 1:
+            return toks
+        zipped = F.arrays_zip("_toks", *[f"_next{k}" for k in range(1, n)])
+        full = F.filter(zipped, lambda z: z[f"_next{n - 1}"].isNotNull())
+        return F.transform(full, lambda z: F.concat_ws(" ", z["_toks"], *[z[f"_next{k}"] for k in range(1, n)]))
 
     grams = F.flatten(F.array(*[ngrams(n) for n in range(1, max_n + 1)]))
     months = F.array(*[F.lit(m) for m in MONTHS])
     dates = F.size(F.filter(toks, lambda w: F.array_contains(months, w) | w.rlike(YEAR_PATTERN)))
-    base = df.withColumn("date_entities", dates)
+    base = base.withColumn("date_entities", dates)
+    helpers = ["_toks"] + [f"_next{k}" for k in range(1, max_n)]
     if gazetteer is None:
+        base = base.drop(*helpers)
         return base.withColumns({"person_entities": F.lit(0), "org_entities": F.lit(0)}).withColumn(
             "total_entities", F.col("date_entities"))
-    exploded = df.select(F.col(key), F.explode(grams).alias("phrase"))
+    exploded = base.select(F.col(key), F.explode(grams).alias("phrase"))
+    base = base.drop(*helpers)
     gz = gazetteer.select(F.lower("phrase").alias("phrase"), "entity_type").dropDuplicates(["phrase"])
     hits = attach_small(exploded, gz, "phrase", "inner")
     counts = hits.groupBy(key).agg(
