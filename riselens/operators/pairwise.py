@@ -240,6 +240,7 @@ def pairwise_signs(df: DataFrame, block_cols: Sequence[str], actual: str, preds:
                         *[F.col(m).cast("double").alias(m) for m in models]).groupBy("bk").applyInPandas(
         count, "bk string, model string, correct long, pairs long")
     schema = T.StructType([f for f in df.schema.fields if f.name in block_cols])
+    res = res.filter(F.col("pairs") > 0)
     return res.select(F.from_json("bk", schema).alias("k"), "model", "correct", "pairs").select(
         *[F.col(f"k.{c}").alias(c) for c in block_cols], "model", "correct", "pairs")
 
