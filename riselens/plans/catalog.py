@@ -4,3 +4,4 @@ from riselens.plans import q_core  # noqa: F401
 from riselens.plans import q_text  # noqa: F401
 from riselens.plans import q_norm  # noqa: F401
 from riselens.plans import q_eval  # noqa: F401
+from riselens.plans import q_models  # noqa: F401
