@@ -57,57 +57,87 @@ def _pairs_between_distinct(w: np.ndarray, groups: np.ndarray | None = None) ->
     return float(((agg["s"] ** 2 - agg["s2"]) / 2.0).sum())
 
 
-def _lower_pairs(pr: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w_j * w_i over positions j < i with pr_j < pr_i (bottom-up merge)."""
+def _lower_pairs(pr: np.ndarray, w: np.ndarray, gid: np.ndarray | None = None) -> np.ndarray:
+    """Per group: sum of w_j * w_i over positions j < i with pr_j < pr_i.
+
+    Rows must be ordered by group, then by the tie order.  Bottom-up merge
+    levels: at each level the left halves are sorted by (merge block, group,
+    rank) with cumulative weights and every right element looks up the
+    weight of smaller ranks in its own block and group (vectorised).
+    """
     m = len(pr)
+    ng = 1 if gid is None else int(gid.max()) + 1 if m else 1
+    gid = np.zeros(m, dtype=np.int64) if gid is None else gid
+    out = np.zeros(ng)
     if m < 2:
-        return 0.0
+        return out
     pos = np.arange(m, dtype=np.int64)
     span = np.int64(pr.max() + 2)
-    total = 0.0
     size = 1
     while size < m:
         blk = pos // (2 * size)
         right = ((pos // size) % 2) == 1
-        left_idx = np.nonzero(~right)[0]
-        right_idx = np.nonzero(right)[0]
-        if len(right_idx):
-            lk = blk[left_idx] * span + pr[left_idx]
+        li = np.nonzero(~right)[0]
+        ri = np.nonzero(right)[0]
+        if len(ri):
+            base_l = (blk[li] * ng + gid[li]) * span
+            lk = base_l + pr[li]
             order = np.argsort(lk, kind="stable")
             lk_sorted = lk[order]
-            cw = np.concatenate(([0.0], np.cumsum(w[left_idx][order])))
-            rb = blk[right_idx]
-            hi = np.searchsorted(lk_sorted, rb * span + pr[right_idx], side="left")
-            lo = np.searchsorted(lk_sorted, rb * span, side="left")
-            total += float(np.dot(w[right_idx], cw[hi] - cw[lo]))
+            cw = np.concatenate(([0.0], np.cumsum(w[li][order])))
+            base_r = (blk[ri] * ng + gid[ri]) * span
+            hi = np.searchsorted(lk_sorted, base_r + pr[ri], side="left")
+            lo = np.searchsorted(lk_sorted, base_r, side="left")
+            np.add.at(out, gid[ri], w[ri] * (cw[hi] - cw[lo]))
         size *= 2
-    return total
+    return out
 
 
-def _count_block(a: np.ndarray, p: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """(concordant, discordant) weighted pairs; ties on a or p are skipped."""
-    if len(a) < 2:
-        return 0.0, 0.0
+def _pairs_by(w: np.ndarray, keys: list[np.ndarray], ng: int, gid: np.ndarray) -> np.ndarray:
+    """Per group: weighted pairs of distinct points sharing all ``keys``."""
+    df = pd.DataFrame({"g": gid, "w": w, "w2": w * w, **{f"k{i}": k for i, k in enumerate(keys)}})
+    cols = ["g"] + [f"k{i}" for i in range(len(keys))]
+    agg = df.groupby(cols, sort=False).agg(s=("w", "sum"), s2=("w2", "sum")).reset_index()
+    out = np.zeros(ng)
+    np.add.at(out, agg["g"].to_numpy(), ((agg["s"] ** 2 - agg["s2"]) / 2.0).to_numpy())
+    return out
+
+
+def _count_blocks(gid: np.ndarray, a: np.ndarray, p: np.ndarray, w: np.ndarray, ng: int) -> tuple[np.ndarray, np.ndarray]:
+    """(concordant, discordant) weighted pairs per group id; ties skipped."""
+    if len(a) == 0:
+        return np.zeros(ng), np.zeros(ng)
     ar = np.unique(a, return_inverse=True)[1].astype(np.int64)
     pr = np.unique(p, return_inverse=True)[1].astype(np.int64)
-    order = np.lexsort((pr, ar))
-    ar, pr, w = ar[order], pr[order], w[order].astype(np.float64)
-    total = _pairs_between_distinct(w)
-    lower = _lower_pairs(pr, w)
-    same_a = _pairs_between_distinct(w, ar)
-    same_p = _pairs_between_distinct(w, pr)
-    concordant = lower - same_a
-    discordant = total - lower - same_p
-    return concordant, discordant
+    order = np.lexsort((pr, ar, gid))
+    gid, ar, pr, w = gid[order], ar[order], pr[order], w[order].astype(np.float64)
+    total = _pairs_by(w, [], ng, gid)
+    lower = _lower_pairs(pr, w, gid)
+    same_a = _pairs_by(w, [ar], ng, gid)
+    same_p = _pairs_by(w, [pr], ng, gid)
+    same_ap = _pairs_by(w, [ar, pr], ng, gid)
+    # lower counts same-a pairs with a smaller p too; remove them (exact ties stay out)
+    return lower - same_a + same_ap, total - lower - same_p
+
+
+def _count_block(a: np.ndarray, p: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """(concordant, discordant) weighted pairs of one block."""
+    c, d = _count_blocks(np.zeros(len(a), dtype=np.int64), a, p, w, 1)
+    return float(c[0]), float(d[0])
 
 
 _COUNT_SCHEMA = "rk string, concordant double, discordant double"
 
 
-def _count_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    c, d = _count_block(pdf["a"].to_numpy(dtype=np.float64), pdf["p"].to_numpy(dtype=np.float64),
-                        pdf["w"].to_numpy(dtype=np.float64))
-    return pd.DataFrame({"rk": [pdf["rk"].iloc[0]], "concordant": [c], "discordant": [d]})
+def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Count every block of a bucket in one vectorised call."""
+    grp = pdf.groupby(["rk", "g"], sort=False)
+    gid = grp.ngroup().to_numpy().astype(np.int64)
+    rk = grp["rk"].first().to_numpy()
+    c, d = _count_blocks(gid, pdf["a"].to_numpy(dtype=np.float64), pdf["p"].to_numpy(dtype=np.float64),
+                         pdf["w"].to_numpy(dtype=np.float64), len(rk))
+    out = pd.DataFrame({"rk": rk, "concordant": c, "discordant": d})
+    return out.groupby("rk", as_index=False).sum()
 
 
 # ---------------------------------------------------------------------------
@@ -144,7 +174,7 @@ def concordance_counts(
     base = df.filter(valid).select(
         rk.alias("rk"), F.concat(bk, F.lit("#")).alias("g"),
         F.col(actual).cast("double").alias("a"), F.col(pred).cast("double").alias("p"))
-    pts = base.groupBy("rk", "g", "a", "p").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    pts = checkpoint(base.groupBy("rk", "g", "a", "p").agg(F.count(F.lit(1)).cast("double").alias("w")))
 
     parts: list[DataFrame] = []
     for depth in range(max_depth + 1):
@@ -155,7 +185,12 @@ def concordance_counts(
         last = depth == max_depth
         small = live if last else live.filter(F.col("n") <= max_group)
         small_pts = pts.join(small.select("rk", "g"), ["rk", "g"], "left_semi")
-        parts.append(small_pts.groupBy("rk", "g").applyInPandas(_count_group, _COUNT_SCHEMA))
+        # Many small blocks per pandas call: blocks are packed into hash buckets
+        # (a bucket holds about ``max_group`` points on average).
+        n_buckets = max(1, int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")) * 4)
+        bucket = F.abs(F.xxhash64("rk", "g")) % F.lit(n_buckets)
+        parts.append(small_pts.withColumn("_b", bucket).groupBy("_b").applyInPandas(
+            lambda pdf: _count_bucket(pdf), _COUNT_SCHEMA))
         if last:
             break
         big = checkpoint(live.filter(F.col("n") > max_group).select("rk", "g", "n"))

@@ -6,3 +6,4 @@ from riselens.plans import q_norm  # noqa: F401
 from riselens.plans import q_eval  # noqa: F401
 from riselens.plans import q_models  # noqa: F401
 from riselens.plans import q_stream  # noqa: F401
+from riselens.plans import q_textvec  # noqa: F401
