@@ -127,11 +127,10 @@ def temporal_pattern(df: DataFrame, ts: str, value: str = "score") -> DataFrame:
     """Counts and mean value by hour and by weekday (one GROUPING SETS pass)."""
     t = F.col(ts)
     base = df.select(F.hour(t).alias("hour"), F.weekday(t).alias("weekday"), F.col(value).cast("double").alias("_v"))
-    g = base.cube("hour", "weekday").agg(F.count(F.lit(1)).alias("posts"), F.avg("_v").alias("mean_value"),
-                                       F.grouping_id().alias("_gid"))
-    return g.filter(F.col("_gid").isin(1, 2)).select(
-        F.when(F.col("_gid") == 1, F.lit("hour")).otherwise(F.lit("weekday")).alias("dimension"),
-        F.coalesce(F.col("hour"), F.col("weekday")).alias("level"), "posts", "mean_value")
+    g = base.groupingSets([["hour"], ["weekday"]], "hour", "weekday").agg(
+        F.count(F.lit(1)).alias("posts"), F.avg("_v").alias("mean_value"))
+    return g.select(F.when(F.col("hour").isNotNull(), F.lit("hour")).otherwise(F.lit("weekday")).alias("dimension"),
+                    F.coalesce(F.col("hour"), F.col("weekday")).alias("level"), "posts", "mean_value")
 
 
 def flag_effect(df: DataFrame, flags: Sequence[str], value: str = "score") -> DataFrame:
@@ -317,12 +316,11 @@ def time_split(df: DataFrame, ts: str = "created_timestamp", q: float = 0.7) ->
 
 
 def head_fraction(df: DataFrame, ts: str, f: float, tie: str = "post_id") -> DataFrame:
-    """The first floor(n*f) rows in time order (global rank, no single
-    partition: ``row_number`` over a range-partitioned sort is avoided by
-    ranking with a count of earlier rows via percent_rank semantics)."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(ts), F.col(tie))))
-    return ranked.crossJoin(F.broadcast(n)).filter(F.col("_rank") <= F.floor(F.col("_n") * F.lit(f))).drop("_rank", "_n")
+    """The first floor(n*f) rows in time order (distributed global rank)."""
+    from riselens.operators.order import global_rank
+    ranked = global_rank(df, [ts, tie], "_rank")
+    n = ranked.count()
+    return ranked.filter(F.col("_rank") < F.lit(int(n * f))).drop("_rank")
 
 
 def top_k(df: DataFrame, by: str | Sequence[str], k: int, ascending: bool | Sequence[bool] = False,

@@ -8,3 +8,4 @@ from riselens.plans import q_models  # noqa: F401
 from riselens.plans import q_stream  # noqa: F401
 from riselens.plans import q_textvec  # noqa: F401
 from riselens.plans import q_ml  # noqa: F401
+from riselens.plans import q_stats  # noqa: F401
