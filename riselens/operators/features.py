@@ -47,13 +47,20 @@ def flag_collection(df: DataFrame) -> DataFrame:
 def community_stats(df: DataFrame, key: str = "subreddit", value: str = "score", exact_median: bool = True) -> DataFrame:
     """A1 (+ C10): mean / median / count / std (ddof 1, single row -> 0)."""
     v = F.col(value).cast("double")
-    med = F.percentile(v, 0.5) if exact_median else F.percentile_approx(v, 0.5, 10000).cast("double")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    src = df.filter(F.col(key).isNotNull())
+    moments = src.groupBy(key).agg(
         F.avg(v).alias(f"{key}_avg_score"),
-        med.alias(f"{key}_median_score"),
         F.count(F.lit(1)).alias(f"{key}_post_count_global"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"{key}_score_std"),
+        *([] if exact_median else [F.percentile_approx(v, 0.5, 10000).cast("double").alias(f"{key}_median_score")]),
     )
+    if not exact_median:
+        return moments
+    # Exact median by distributed ranks (no per-group value buffer).
+    from riselens.operators.order import group_quantiles
+    med = group_quantiles(src, [key], value, [0.5]).withColumnRenamed("q0", f"{key}_median_score")
+    return moments.join(med, key, "left").select(
+        key, f"{key}_avg_score", f"{key}_median_score", f"{key}_post_count_global", f"{key}_score_std")
 
 
 def author_stats(df: DataFrame, key: str = "author_hash", value: str = "score") -> DataFrame:

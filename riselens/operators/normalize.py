@@ -106,8 +106,9 @@ def add_quality_scores(df: DataFrame, quality: DataFrame, key: str = "post_id",
     q = quality.select(F.col(key).cast("string").alias(key), F.col(value).cast("double").alias(value))
     # Per-post scores are as large as the posts: a shuffle join on the key.
     j = df.withColumn(key, F.col(key).cast("string")).join(q, key, "left")
-    med = j.agg(F.percentile(F.col(value), 0.5).alias("_med"))
-    return j.crossJoin(F.broadcast(med)).withColumn(value, F.coalesce(F.col(value), F.col("_med"))).drop("_med")
+    from riselens.operators.order import exact_quantiles
+    med = exact_quantiles(j, value, [0.5])[0]
+    return j.withColumn(value, F.coalesce(F.col(value), F.lit(med).cast("double")))
 
 
 def residual_lift(df: DataFrame, score: str = "score", quality: str = "quality_score", out: str = "residual_lift") -> DataFrame:

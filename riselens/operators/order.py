@@ -54,3 +54,37 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], tie: str |
     positions = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
     vals = {r["_r"]: r["_v"] for r in ranked.filter(F.col("_r").isin(positions)).select("_r", "_v").collect()}
     return [vals[lo] + frac * (vals[hi] - vals[lo]) for lo, hi, frac in (want[p] for p in probs)]
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles per group without a per-group buffer.
+
+    ``percentile`` keeps every distinct value of a group in one task, which a
+    group holding a third of the rows cannot afford.  Here the (key, value)
+    pairs are globally ranked (range-partitioned sort, hot groups spread over
+    many tasks); a group's start rank and size come from a partial aggregate;
+    the two neighbours of each quantile position are fetched with an equi-join
+    on the rank (a few rows per group) and interpolated.
+    Output: keys..., ``{prefix}0 … {prefix}{k-1}`` in the order of ``probs``.
+    """
+    from riselens.operators.joins import attach_small
+    keys = list(keys)
+    base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ranked = global_rank(base, keys + ["_v"], "_r")
+    starts = ranked.groupBy(*keys).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    items = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.floor(h).cast("long")
+        items.append(F.struct(F.lit(i).alias("qi"), (F.col("_s") + lo).alias("r_lo"),
+                              (F.col("_s") + F.least(lo + 1, F.col("_n") - 1)).alias("r_hi"),
+                              (h - lo).alias("frac")))
+    pos = starts.select(*keys, F.explode(F.array(*items)).alias("it")).select(*keys, "it.*")
+    want = pos.select(F.col("r_lo").alias("_r")).union(pos.select(F.col("r_hi").alias("_r"))).distinct()
+    vals = ranked.join(want, "_r", "left_semi").select("_r", "_v")
+    lo_v = attach_small(pos, vals.withColumnRenamed("_r", "r_lo").withColumnRenamed("_v", "v_lo"), "r_lo", "left")
+    both = attach_small(lo_v, vals.withColumnRenamed("_r", "r_hi").withColumnRenamed("_v", "v_hi"), "r_hi", "left")
+    q = both.withColumn("qv", F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(f"{prefix}{i}")
+                                  for i in range(len(probs))])

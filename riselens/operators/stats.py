@@ -1,8 +1,9 @@
 """Aggregations and report tables (A4–A24) and order/sample operators.
 
-All are ``groupBy`` / ``GROUPING SETS`` aggregates with built-in functions;
-exact quantiles use ``percentile`` (linear interpolation, like pandas) with an
-approximate switch for very large groups.
+All are ``groupBy`` / ``GROUPING SETS`` aggregates with built-in functions.
+Exact quantiles (linear interpolation, like pandas) come from a distributed
+global rank (``order.exact_quantiles`` / ``order.group_quantiles``), never
+from a per-group value buffer; ``exact=False`` switches to sketches.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 
 def _q(v: Column, q: float | Sequence[float], exact: bool) -> Column:
+    """Approximate quantile sketch (partial aggregation); exact quantiles go
+    through ``order.group_quantiles`` instead of a per-group value buffer."""
     if exact:
-        return F.percentile(v, list(q) if not isinstance(q, float) else q)
+        raise ValueError("exact quantiles use order.group_quantiles")
     return F.percentile_approx(v, list(q) if not isinstance(q, float) else q, 10000)
 
 
@@ -32,15 +35,20 @@ def community_lift(df: DataFrame, community: str = "subreddit", residual: str =
                    min_posts: int = 200, exact: bool = True) -> DataFrame:
     """Per-community residual distribution, min-sample filter, lift margin."""
     r = F.col(residual).cast("double")
-    qs = _q(r, [0.5, 0.9, 0.1], exact)
-    agg = df.filter(r.isNotNull()).groupBy(community).agg(
+    src = df.filter(r.isNotNull())
+    agg = src.groupBy(community).agg(
         F.count(r).alias("posts"),
         F.avg(r).alias("mean_residual"),
-        qs.alias("_q"),
+        *([] if exact else [_q(r, [0.5, 0.9, 0.1], False).alias("_q")]),
         F.stddev_samp(r).alias("std_residual"),
         F.avg((r > 0).cast("double")).alias("positive_share"),
         F.avg(F.abs(r)).alias("mean_abs_residual"),
     )
+    if exact:
+        # Exact quantiles by distributed ranks: a hot community is never one buffer.
+        from riselens.operators.order import group_quantiles
+        q = group_quantiles(src, [community], residual, [0.5, 0.9, 0.1])
+        agg = agg.join(q, community, "left").withColumn("_q", F.array("q0", "q1", "q2")).drop("q0", "q1", "q2")
     return (
         agg.filter(F.col("posts") >= min_posts)
         .select(
@@ -72,8 +80,12 @@ def fill_global(df: DataFrame, col: str, stat: str = "mean", out: str | None = N
     row: bounded).
     """
     v = F.col(col).cast("double")
-    s = F.avg(v) if stat == "mean" else F.percentile(v, 0.5)
-    one = df.agg(s.alias("_fill"))
+    if stat == "mean":
+        one = df.agg(F.avg(v).alias("_fill"))
+    else:
+        from riselens.operators.order import exact_quantiles
+        med = exact_quantiles(df, col, [0.5])[0]
+        one = df.sparkSession.range(1).select(F.lit(med).cast("double").alias("_fill"))
     return df.crossJoin(F.broadcast(one)).withColumn(out or col, F.coalesce(v, F.col("_fill"))).drop("_fill")
 
 
@@ -144,13 +156,15 @@ def flag_effect(df: DataFrame, flags: Sequence[str], value: str = "score") -> Da
 
 def compare_platforms(df: DataFrame, platform: str = "platform") -> DataFrame:
     """Per platform count, mean/median score, mean title length, mean comments."""
-    return df.groupBy(platform).agg(
+    from riselens.operators.order import group_quantiles
+    agg = df.groupBy(platform).agg(
         F.count(F.lit(1)).alias("posts"),
         F.avg(F.col("score").cast("double")).alias("mean_score"),
-        F.percentile(F.col("score").cast("double"), 0.5).alias("median_score"),
         F.avg(F.length(F.coalesce(F.col("title"), F.lit(""))).cast("double")).alias("mean_title_length"),
         F.avg(F.col("comment_count").cast("double")).alias("mean_comments"),
     )
+    med = group_quantiles(df, [platform], "score", [0.5]).withColumnRenamed("q0", "median_score")
+    return agg.join(med, platform, "left")
 
 
 def ladder_audit(df: DataFrame, ladder: Sequence[str] = ("score_5m", "score_15m", "score_30m", "score_60m"),
@@ -196,17 +210,20 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def trimmed(df: DataFrame, metric: str, value: str, frac: float = 0.1) -> DataFrame:
-    """Per metric, drop floor(n*frac) values at each tail; mean and std.
+    """Per group, drop floor(n*frac) values at each tail; mean and std.
 
-    Ranks come from a window per metric (a metric holds one value per
-    resample: small groups by construction).
+    Ranks inside a group come from one distributed global rank minus the
+    group's start rank (no window over a whole group).
     """
+    from riselens.operators.order import global_rank
     v = F.col(value).cast("double")
-    w = Window.partitionBy(metric).orderBy(v)
-    ranked = df.filter(v.isNotNull()).select(metric, v.alias("_v"), F.row_number().over(w).alias("_rn"),
-                                             F.count(F.lit(1)).over(Window.partitionBy(metric)).alias("_n"))
+    base = df.filter(v.isNotNull()).select(metric, v.alias("_v"))
+    ranked = global_rank(base, [metric, "_v"], "_r")
+    starts = ranked.groupBy(metric).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    j = ranked.join(starts, metric)
+    pos = F.col("_r") - F.col("_s") + 1
     k = F.floor(F.col("_n") * F.lit(frac))
-    kept = ranked.filter((F.col("_rn") > k) & (F.col("_rn") <= F.col("_n") - k))
+    kept = j.filter((pos > k) & (pos <= F.col("_n") - k))
     return kept.groupBy(metric).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -232,31 +249,32 @@ def histogram(df: DataFrame, col: str, bins: int = 30, lo: float | None = None,
 
 
 def qq_table(df: DataFrame, col: str, k: int = 99) -> DataFrame:
-    """Empirical quantiles against standard-normal quantiles (QQ data)."""
+    """Empirical quantiles against standard-normal quantiles (QQ data);
+    exact quantiles from one distributed rank."""
+    from riselens.operators.order import exact_quantiles
     probs = [(i + 0.5) / k for i in range(k)]
     nd = statistics.NormalDist()
-    theo = [nd.inv_cdf(p) for p in probs]
-    v = F.col(col).cast("double")
-    qs = df.agg(F.percentile(v, probs).alias("q"))
-    return qs.select(F.posexplode("q").alias("i", "sample_quantile")).select(
-        "i", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("prob"),
-        F.element_at(F.array(*[F.lit(t) for t in theo]), F.col("i") + 1).alias("normal_quantile"),
-        "sample_quantile")
+    qs = exact_quantiles(df, col, probs)
+    rows = [(i, p, nd.inv_cdf(p), q) for i, (p, q) in enumerate(zip(probs, qs))]
+    return df.sparkSession.createDataFrame(rows, "i int, prob double, normal_quantile double, sample_quantile double")
 
 
 def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """Count, mean, std, min, percentiles, max for numeric columns, long form."""
+    """Count, mean, std, min, percentiles, max for numeric columns, long
+    form.  Moments in one aggregate; exact percentiles by distributed rank."""
+    from riselens.operators.order import exact_quantiles
     aggs = []
     for c in cols:
         v = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.percentile(v, list(percentiles)).alias("pcts"), F.max(v).alias("max"),
-        ).alias(c))
-    row = df.agg(*aggs)
-    s = row.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
-    return s.select("column", "count", "mean", "std", "min",
-                    *[F.col("pcts")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(percentiles)], "max")
+        aggs += [F.count(v).alias(f"{c}__n"), F.avg(v).alias(f"{c}__m"), F.stddev_samp(v).alias(f"{c}__s"),
+                 F.min(v).alias(f"{c}__lo"), F.max(v).alias(f"{c}__hi")]
+    row = df.agg(*aggs).collect()[0]
+    out = []
+    for c in cols:
+        qs = exact_quantiles(df, c, percentiles)
+        out.append((c, row[f"{c}__n"], row[f"{c}__m"], row[f"{c}__s"], row[f"{c}__lo"], *qs, row[f"{c}__hi"]))
+    pcols = ", ".join(f"p{int(round(p * 100))} double" for p in percentiles)
+    return df.sparkSession.createDataFrame(out, f"column string, count long, mean double, std double, min double, {pcols}, max double")
 
 
 def quality_report(df: DataFrame, key: str = "post_id", value: str = "score", z: float = 3.0) -> DataFrame:
@@ -303,16 +321,17 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 # Order, split and sample operators
 # ---------------------------------------------------------------------------
 
-def split_time(df: DataFrame, ts: str = "created_timestamp", q: float = 0.7) -> DataFrame:
+def split_time(df: DataFrame, ts: str = "created_timestamp", q: float = 0.7) -> float:
     """The exact linear-interpolated q-quantile of the time column."""
-    return df.agg(F.percentile(F.col(ts).cast("double"), q).alias("split_time"))
+    from riselens.operators.order import exact_quantiles
+    return exact_quantiles(df, ts, [q])[0]
 
 
 def time_split(df: DataFrame, ts: str = "created_timestamp", q: float = 0.7) -> DataFrame:
-    """Label rows 'train' (ts <= quantile) or 'test'; one-row broadcast."""
-    st = split_time(df, ts, q)
-    return df.crossJoin(F.broadcast(st)).withColumn(
-        "split", F.when(F.col(ts).cast("double") <= F.col("split_time"), F.lit("train")).otherwise(F.lit("test")))
+    """Label rows 'train' (ts <= quantile) or 'test'."""
+    t = split_time(df, ts, q)
+    return df.withColumn("split_time", F.lit(t)).withColumn(
+        "split", F.when(F.col(ts).cast("double") <= F.lit(t), F.lit("train")).otherwise(F.lit("test")))
 
 
 def head_fraction(df: DataFrame, ts: str, f: float, tie: str = "post_id") -> DataFrame:
@@ -334,20 +353,27 @@ def top_k(df: DataFrame, by: str | Sequence[str], k: int, ascending: bool | Sequ
     return df.orderBy(*order).limit(k)
 
 
-def cap_per_group(df: DataFrame, keys: Sequence[str], n: int = 30, seed: int = 42, id_col: str = "post_id") -> DataFrame:
+def cap_per_group(df: DataFrame, keys: Sequence[str], n: int = 30, seed: int = 42, id_col: str = "post_id",
+                  target: int = 50_000) -> DataFrame:
     """At most ``n`` rows per group, chosen by a seeded hash order.
 
-    Two passes keep a hot group out of one task: a group's rows are first
-    ranked inside hash sub-groups (salt = hash mod S), only the best ``n`` of
-    each sub-group survive, then the survivors (at most n*S per group) are
-    ranked per group.  Same result as ranking the whole group at once.
+    A group is split into ceil(size/target) hash sub-groups (sizes from a
+    partial count), the best ``n`` of every sub-group survive a window over
+    that bounded sub-group, and the survivors (<= n per sub-group) are ranked
+    per group.  Same rows as ranking the whole group at once.
     """
+    keys = list(keys)
     h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    salted = df.withColumn("_h", h).withColumn("_salt", F.abs(F.xxhash64(F.col(id_col))) % 64)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    from riselens.operators.joins import attach_small
+    d = attach_small(df, sizes, keys, "left")
+    subs = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(target)))
+    salted = d.withColumn("_h", h).withColumn("_salt", F.abs(F.xxhash64(F.col(id_col), F.lit(seed))) % subs)
     w1 = Window.partitionBy(*keys, "_salt").orderBy("_h", id_col)
     pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
     w2 = Window.partitionBy(*keys).orderBy("_h", id_col)
-    return pre.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n).drop("_h", "_salt", "_r1", "_r")
+    return pre.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n).drop(
+        "_h", "_salt", "_r1", "_r", "_cnt")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "post_id") -> DataFrame:

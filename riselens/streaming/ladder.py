@@ -148,8 +148,8 @@ def ladder_batch(obs: DataFrame, intervals: Sequence[int] = DEFAULT_INTERVALS, t
                  grace: float = GRACE_MINUTES) -> DataFrame:
     """The same rows from a static table: per post and interval the earliest
     observation in the interval's age window (interval 0: the earliest)."""
-    created = F.min("created_timestamp").over(Window.partitionBy("post_id"))  # per-post rows: bounded
-    o = obs.withColumn("_created", created).withColumn("_age", (F.col("snapshot_time") - F.col("_created")) / 60.0)
+    created = obs.groupBy("post_id").agg(F.min("created_timestamp").alias("_created"))   # partial aggregate
+    o = obs.join(created, "post_id").withColumn("_age", (F.col("snapshot_time") - F.col("_created")) / 60.0)
     row = F.struct("snapshot_time", "_age", "score", "upvote_ratio", "num_comments")
     aggs = [F.min_by(row, F.col("snapshot_time")).alias("r0")]
     for m in intervals:
