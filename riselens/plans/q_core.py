@@ -18,11 +18,6 @@ TITLE_COLS = list(O.title_sql().keys())
 CONTEXT_COLS = list(O.context_sql().keys())
 
 
-def _r(cols):
-    """Oracle select list with doubles rounded like ``rounded``."""
-    return ", ".join(cols)
-
-
 def residual_frame(spark, sf):
     """Posts with the ladder and the residual lift R = log1p(score) - log1p(score_5m)."""
     p = fx.posts(spark, sf)
@@ -58,13 +53,13 @@ def q_context_features(spark, sf):
 
 
 # -- C9, C10, A1, A2 ---------------------------------------------------------
-@register("group_statistics", fx.sql_with("""
+@register("group_statistics", fx.sql_with(f"""
 SELECT p.post_id,
-  round(c.avg_s, 6) AS subreddit_avg_score, round(c.med_s, 6) AS subreddit_median_score,
-  c.n AS subreddit_post_count_global, round(coalesce(c.std_s, 0.0), 6) AS subreddit_score_std,
-  round(a.avg_a, 6) AS author_avg_score, a.n_a AS author_post_count_global,
+  {round_sql('c.avg_s')} AS subreddit_avg_score, {round_sql('c.med_s')} AS subreddit_median_score,
+  c.n AS subreddit_post_count_global, {round_sql('coalesce(c.std_s, 0.0)')} AS subreddit_score_std,
+  {round_sql('a.avg_a')} AS author_avg_score, a.n_a AS author_post_count_global,
   CAST(ac.n_raw AS DOUBLE) AS author_post_count, CAST(ac.n_raw >= 5 AS INTEGER) AS is_frequent_poster,
-  round(ln(1 + ac.n_raw), 6) AS author_post_count_log, CAST(c.n AS DOUBLE) AS subreddit_post_count
+  {round_sql('ln(1 + ac.n_raw)')} AS author_post_count_log, CAST(c.n AS DOUBLE) AS subreddit_post_count
 FROM posts p
 JOIN (SELECT subreddit, avg(score) AS avg_s, quantile_cont(score, 0.5) AS med_s, count(*) AS n,
              stddev_samp(score) AS std_s FROM posts GROUP BY subreddit) c USING (subreddit)
@@ -87,17 +82,17 @@ LADDER_COLS = ["score_at_5min", "score_at_15min", "score_at_30min", "score_at_60
                "sustained_growth", "velocity_5_to_30m", "score_60m"]
 
 
-@register("snapshot_ladder", fx.sql_with("""
+@register("snapshot_ladder", fx.sql_with(f"""
 SELECT post_id,
   coalesce(l.score_at_5min, p.score) AS score_at_5min, coalesce(l.score_at_15min, p.score) AS score_at_15min,
   coalesce(l.score_at_30min, p.score) AS score_at_30min, coalesce(l.score_at_60min, p.score) AS score_at_60min,
   CAST(l.n_snapshots IS NOT NULL AS INTEGER) AS has_snapshot,
-  round((coalesce(l.score_at_15min, p.score) - coalesce(l.score_at_5min, p.score)) / 10.0, 6) AS growth_rate_15min,
-  round((coalesce(l.score_at_30min, p.score) - coalesce(l.score_at_5min, p.score)) / 25.0, 6) AS growth_rate_30min,
-  round((coalesce(l.score_at_60min, p.score) - coalesce(l.score_at_5min, p.score)) / 55.0, 6) AS growth_rate_60min,
-  round(coalesce(l.score_at_15min, p.score) / NULLIF(coalesce(l.score_at_5min, p.score) + 1.0, 0), 6) AS early_momentum,
+  {round_sql('(coalesce(l.score_at_15min, p.score) - coalesce(l.score_at_5min, p.score)) / 10.0')} AS growth_rate_15min,
+  {round_sql('(coalesce(l.score_at_30min, p.score) - coalesce(l.score_at_5min, p.score)) / 25.0')} AS growth_rate_30min,
+  {round_sql('(coalesce(l.score_at_60min, p.score) - coalesce(l.score_at_5min, p.score)) / 55.0')} AS growth_rate_60min,
+  {round_sql('coalesce(l.score_at_15min, p.score) / NULLIF(coalesce(l.score_at_5min, p.score) + 1.0, 0)')} AS early_momentum,
   CAST((coalesce(l.score_at_30min, p.score) - coalesce(l.score_at_5min, p.score)) / 25.0 > 0 AS INTEGER) AS sustained_growth,
-  round((coalesce(l.score_at_30min, p.score) - coalesce(l.score_at_5min, p.score)) / 25.0, 6) AS velocity_5_to_30m,
+  {round_sql('(coalesce(l.score_at_30min, p.score) - coalesce(l.score_at_5min, p.score)) / 25.0')} AS velocity_5_to_30m,
   CAST(coalesce(l.score_at_60min, p.score) AS DOUBLE) AS score_60m
 FROM posts p LEFT JOIN lad l USING (post_id)
 """, "posts", "snapshots", extra={"lad": O.ladder_sql()}))
@@ -110,12 +105,12 @@ def q_snapshot_ladder(spark, sf):
 COMMUNITY_MIN_POSTS = 20
 
 _lift_sql = fx.sql_with(f"""
-SELECT subreddit, count(R) AS posts, round(avg(R), 6) AS mean_residual,
-  round(quantile_cont(R, 0.5), 6) AS median_residual, round(stddev_samp(R), 6) AS std_residual,
-  round(avg(CAST(R > 0 AS DOUBLE)), 6) AS positive_share, round(avg(abs(R)), 6) AS mean_abs_residual,
-  round(quantile_cont(R, 0.9), 6) AS residual_90p, round(quantile_cont(R, 0.1), 6) AS residual_10p,
-  round(quantile_cont(R, 0.9) - quantile_cont(R, 0.1), 6) AS residual_iqr,
-  round(avg(CAST(R > 0 AS DOUBLE)) - 0.5, 6) AS lift_margin
+SELECT subreddit, count(R) AS posts, {round_sql('avg(R)')} AS mean_residual,
+  {round_sql('quantile_cont(R, 0.5)')} AS median_residual, {round_sql('stddev_samp(R)')} AS std_residual,
+  {round_sql('avg(CAST(R > 0 AS DOUBLE))')} AS positive_share, {round_sql('avg(abs(R))')} AS mean_abs_residual,
+  {round_sql('quantile_cont(R, 0.9)')} AS residual_90p, {round_sql('quantile_cont(R, 0.1)')} AS residual_10p,
+  {round_sql('quantile_cont(R, 0.9) - quantile_cont(R, 0.1)')} AS residual_iqr,
+  {round_sql('avg(CAST(R > 0 AS DOUBLE)) - 0.5')} AS lift_margin
 FROM (SELECT p.subreddit, ln(1 + p.score) - ln(1 + greatest(coalesce(l.score_at_5min, p.score), 0)) AS R
       FROM posts p LEFT JOIN lad l USING (post_id))
 GROUP BY subreddit HAVING count(R) >= {COMMUNITY_MIN_POSTS}

@@ -70,12 +70,13 @@ def q_error_metrics(spark, sf):
     return rounded(ev.error_metrics(long, "y", "pred", ["platform", "model"]))
 
 
-_VAR = f"""SELECT model, {_metric_sql('y', 'pred')} FROM lg GROUP BY model"""
+_VAR = f"""SELECT model, {_metric_sql('y', 'pred')}, sqrt(avg((y - pred) * (y - pred))) AS rmse_raw FROM lg GROUP BY model"""
 
 
 @register("variant_table", _with(f"""
-SELECT v.*, round(b.rmse - v.rmse, 6) + 0.0 AS rmse_delta_vs_baseline
-FROM ({_VAR}) v CROSS JOIN (SELECT rmse FROM ({_VAR}) WHERE model = '{BASELINE}') b""",
+SELECT v.model, v.n, v.rmse, v.mae, v.r2, v.residual_mean, v.residual_std,
+  {round_sql('b.rmse_raw - v.rmse_raw')} AS rmse_delta_vs_baseline
+FROM ({_VAR}) v CROSS JOIN (SELECT rmse_raw FROM ({_VAR}) WHERE model = '{BASELINE}') b""",
                                  lg=_LONG.replace("platform, ", "").replace("SELECT 'early'", "SELECT 'early'")))
 def q_variant_table(spark, sf):
     return rounded(ev.variant_table(baseline_frame(spark, sf), "y", MODELS, BASELINE))
@@ -181,3 +182,30 @@ def q_rollup(spark, sf):
     long = ev.unpivot_models(baseline_frame(spark, sf), "y", MODELS, ["platform"])
     m = rounded(ev.error_metrics(long, "y", "pred", ["platform", "model"])).select("platform", "model", "rmse")
     return ev.rollup_tracks(m, "platform", "rmse", "model")
+
+
+@register("score_deltas_and_lookup", _with(f"""
+SELECT b.post_id, {round_sql('exp(b.mid) - exp(b.early)')} AS score_delta_5_15, c.n AS community_posts
+FROM bf b JOIN (SELECT subreddit, count(*) AS n FROM bf GROUP BY subreddit) c USING (subreddit)"""))
+def q_deltas_lookup(spark, sf):
+    """D6 (score deltas) and J7 (lookup through a key table with a checked broadcast)."""
+    from riselens.operators.joins import lookup
+    from riselens.operators.snapshots import score_deltas
+    j = early_score_features(fx.posts(spark, sf), fx.snapshots(spark, sf))
+    d = j.withColumns({"score_5m": F.col("score_at_5min"), "score_15m": F.col("score_at_15min"),
+                       "score_30m": F.col("score_at_30min"), "score_60m": F.col("score_at_60min")})
+    d = d.withColumns(score_deltas())
+    sizes = d.groupBy("subreddit").agg(F.count(F.lit(1)).alias("community_posts"))
+    out = lookup(d, sizes, "subreddit", "community_posts", default=0)
+    return rounded(out.select("post_id", F.col("score_delta_5_15").cast("double"), "community_posts"))
+
+
+@register("attach_time_inner", _with(f"""
+SELECT b.post_id, b.created_timestamp, {round_sql('b.y')} AS y FROM bf b WHERE b.platform = 'reddit'"""))
+def q_attach_time(spark, sf):
+    """Outputs ⋈ feature timestamps with a null drop (planned as an inner join)."""
+    from riselens.operators.joins import attach_time
+    bf = baseline_frame(spark, sf)
+    outputs = bf.select("post_id", "y")
+    feats = bf.select("post_id", F.when(F.col("platform") == "reddit", F.col("created_timestamp")).alias("created_timestamp"))
+    return rounded(attach_time(outputs, feats))

@@ -262,3 +262,15 @@ def q_penalized(spark, sf):
     ]
     return rounded(spark.createDataFrame(
         rows, "stage string, split string, rmse double, r2 double, n long, alpha double, l1_ratio double"))
+
+
+@register("blocked_cv_gain_tables")
+def q_gain_tables(spark, sf):
+    """Stage A − Stage B RMSE gain per daily block; top and bottom 5."""
+    from riselens.operators.evaluate import gain_tables
+    recs = D.blocked_cv(prepared(spark, sf), min_train=100, min_test=10, pairwise=False)
+    if recs.empty:
+        return spark.createDataFrame([], "table string, block string, rmse_gain double")
+    blocks = spark.createDataFrame(recs[["block", "stage_a_test_rmse", "stage_b_test_rmse"]])
+    _, top, bottom = gain_tables(blocks)
+    return rounded(top.withColumn("table", F.lit("top")).unionByName(bottom.withColumn("table", F.lit("bottom"))))

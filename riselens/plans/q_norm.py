@@ -104,8 +104,8 @@ _state_cte = {"st": f"""SELECT post_id, subreddit, created_timestamp,
     ({STATE_NOW} - created_timestamp) / 60.0 AS age FROM posts"""}
 
 
-@register("tracking_due_snapshots", fx.sql_with("""
-SELECT post_id, subreddit, created_timestamp, round(age, 6) + 0.0 AS post_age_minutes, iv AS interval_minutes
+@register("tracking_due_snapshots", fx.sql_with(f"""
+SELECT post_id, subreddit, created_timestamp, {round_sql('age')} AS post_age_minutes, iv AS interval_minutes
 FROM st, (VALUES (5), (15), (30), (60)) v(iv)
 WHERE age >= iv - 2.0 AND age <= iv + 120.0""", "posts", extra=_state_cte))
 def q_due(spark, sf):

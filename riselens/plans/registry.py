@@ -43,4 +43,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def round_sql(expr: str, digits: int = DIGITS) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    """SQL twin of ``rounded``: Spark rounds a double HALF_UP on its shortest
+    decimal representation, so the oracle does the same (double -> shortest
+    string -> DECIMAL -> round -> double) instead of rounding the binary value."""
+    return (f"(CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) + 0.0)")

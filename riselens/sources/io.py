@@ -39,23 +39,73 @@ RAW_HN_SCHEMA = T.StructType([
 TEXT_LIMIT = 500
 
 
+def list_files(spark: SparkSession, directory: str, suffix: str = ".parquet") -> list[str]:
+    """Recursive file listing through the Hadoop file system (metadata only)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(root, True)
+    out = []
+    while it.hasNext():
+        path = it.next().getPath().toString()
+        name = path.rsplit("/", 1)[-1]
+        if path.endswith(suffix) and not name.startswith(("_", ".")):
+            out.append(path)
+    return sorted(out)
+
+
+def _tables(spark: SparkSession, directory: str, keep) -> list[str]:
+    """Top-level entries (files or part-file folders) below ``directory``
+    whose relative path satisfies ``keep``."""
+    base = directory.rstrip("/")
+    tables = set()
+    for path in list_files(spark, directory):
+        rel = path.split(base.split(":", 1)[-1], 1)[-1].lstrip("/")
+        if keep(rel):
+            parts = rel.split("/")
+            # a table is the deepest folder ending in .parquet, or the file itself
+            cut = max((i for i, p in enumerate(parts) if p.endswith(".parquet")), default=len(parts) - 1)
+            tables.add(f"{base}/{'/'.join(parts[:cut + 1])}")
+    return sorted(tables)
+
+
+def _union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    frames = [spark.read.parquet(p) for p in paths]
+    if not frames:
+        raise FileNotFoundError("no matching parquet tables")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def scan_posts(spark: SparkSession, directory: str, platform: str = "both") -> DataFrame:
-    """IO1: all post parquet files of a folder, by platform prefix, excluding
-    snapshot / feature / prediction files (filter on the file path column)."""
-    pattern = f"{PLATFORM_PREFIX[platform]}*.parquet" if platform in PLATFORM_PREFIX else "*.parquet"
-    df = spark.read.option("pathGlobFilter", pattern).option("mergeSchema", "true").parquet(directory)
-    path = F.col("_metadata.file_path")
-    keep = F.lit(True)
-    for frag in EXCLUDED_FRAGMENTS:
-        keep = keep & ~F.regexp_extract(path, r"([^/]*)$", 1).contains(frag)
-    return df.filter(keep)
+    """IO1: every post table below a folder whose name has the platform prefix
+    (``reddit_*`` / ``hackernews_*``; any for 'both'), excluding snapshot /
+    feature / prediction outputs; tables are unioned by name (missing columns
+    null), like concatenating per-file frames."""
+    prefix = PLATFORM_PREFIX.get(platform)
+
+    def keep(rel: str) -> bool:
+        if any(f in rel for f in EXCLUDED_FRAGMENTS):
+            return False
+        return prefix is None or rel.split("/")[0].startswith(prefix)
+
+    return _union(spark, _tables(spark, directory, keep))
 
 
 def scan_snapshots(spark: SparkSession, directory: str) -> DataFrame:
-    """IO2: every ``*snapshots*.parquet`` below a folder; HN names unified."""
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*snapshots*.parquet")
-          .option("mergeSchema", "true").parquet(directory))
-    return canonical_snapshots(df)
+    """IO2: every ``*snapshots*`` table at any depth; HN names unified."""
+    tables = _tables(spark, directory, lambda rel: "snapshots" in rel)
+    return _union_canonical(spark, tables)
+
+
+def _union_canonical(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    frames = [canonical_snapshots(spark.read.parquet(p)) for p in paths]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def canonical_snapshots(df: DataFrame) -> DataFrame:
@@ -69,6 +119,13 @@ def canonical_snapshots(df: DataFrame) -> DataFrame:
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """IO3 / IO5: parquet if present, else the csv of the same name."""
     root, ext = os.path.splitext(path)
@@ -76,7 +133,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     if ext == ".parquet":
         candidates.append(root + ".csv")
     for cand in candidates:
-        if os.path.exists(cand) or cand.startswith(("s3", "hdfs", "gs", "abfs", "dbfs")):
+        if path_exists(spark, cand):
             if cand.endswith(".csv"):
                 return spark.read.option("header", "true").option("inferSchema", "true").csv(cand)
             return spark.read.parquet(cand)
