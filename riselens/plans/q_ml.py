@@ -58,7 +58,7 @@ def q_permutation(spark, sf):
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
     feats = S.STAGE_B_TITLE_COLS
     m = ML.fit_trees(train, "linear", feats, [], TARGET)
-    return rounded(ML.permutation_importance(m, test, feats, TARGET, repeats=3, seed=42))
+    return rounded(ML.permutation_importance(m, test, feats, TARGET, repeats=15, seed=42))
 
 
 @register("cv_grid_search")

@@ -157,15 +157,25 @@ def q_learning(spark, sf):
                 "fraction double, train_count long, test_count long")
 
 
+BOOT_ITERATIONS = 30       # the studied diagnostics' replicate count
+
+
+def _boot(spark, sf):
+    key = ("boot", spark.sparkContext.applicationId, sf)
+    if key not in _CACHE:
+        _CACHE[key] = D.bootstrap(prepared(spark, sf), iterations=BOOT_ITERATIONS, seed=42)
+    return _CACHE[key]
+
+
 @register("bootstrap_records")
 def q_boot(spark, sf):
-    return _pdf(spark, D.bootstrap(prepared(spark, sf), iterations=10, seed=42),
+    return _pdf(spark, _boot(spark, sf),
                 "iteration long, train_count long, test_count long")
 
 
 @register("bootstrap_summary")
 def q_boot_summary(spark, sf):
-    recs = D.bootstrap(prepared(spark, sf), iterations=10, seed=42)
+    recs = _boot(spark, sf)
     if recs.empty:
         return spark.createDataFrame([], "metric string, mean double, std double, n long")
     return rounded(D.summarize(spark.createDataFrame(recs), frac=0.1))

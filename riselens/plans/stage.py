@@ -127,8 +127,20 @@ class Design:
         return df.withColumns(self.dummy_exprs())
 
 
+MAX_COMMUNITY_LEVELS = 2000   # dummies become Gram columns: p² doubles per key
+
+
 def fit_design(train: DataFrame) -> Design:
-    """Level lists from the training rows (bounded: hours, weekdays, communities)."""
+    """Level lists from the training rows.
+
+    Hours (24) and weekdays (7) are bounded by construction; the community
+    count is checked first (a distinct count, then a bounded collect) so an
+    unbounded key space never reaches the driver or the Gram width.
+    """
+    n_comm = train.agg(F.count_distinct("subreddit").alias("n")).collect()[0]["n"]
+    if n_comm > MAX_COMMUNITY_LEVELS:
+        raise ValueError(f"{n_comm} communities exceed MAX_COMMUNITY_LEVELS={MAX_COMMUNITY_LEVELS}: "
+                         "group rare communities before the dummy design")
     lv = train.agg(
         F.sort_array(F.collect_set("hour_of_day")).alias("h"),
         F.sort_array(F.collect_set("day_of_week")).alias("d"),

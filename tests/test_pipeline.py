@@ -15,7 +15,10 @@ from tests.conftest import SF001
 
 ORACLE_SUBSET = ["community_lift", "snapshot_ladder", "title_features", "group_statistics",
                  "pairwise_accuracy_lang_hour", "pairwise_signs_capped_groups", "tfidf_title_terms",
-                 "title_sentiment_lexicon", "normalized_posts", "variant_table"]
+                 "title_sentiment_lexicon", "normalized_posts", "variant_table", "scan_posts_reddit",
+                 "scan_snapshots_recursive", "raw_json_landing_parse", "report_sinks_roundtrip",
+                 "tracking_state_after_cycle", "column_profile", "describe_with_percentiles",
+                 "trimmed_residual_by_community", "capped_sample_per_community", "platform_comparison"]
 
 
 def _norm(v):
