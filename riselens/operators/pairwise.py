@@ -258,21 +258,29 @@ def pairwise_signs(df: DataFrame, block_cols: Sequence[str], actual: str, preds:
     key = F.to_json(F.struct(*[F.col(c) for c in block_cols]))
     models = list(preds)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf["a"].to_numpy(dtype=np.float64)
+    def count_block(bk, a: np.ndarray, preds: dict, rows: list) -> None:
         iu = np.triu_indices(len(a), 1)
         da = (a[:, None] - a[None, :])[iu]
         keep = np.abs(da) > ISCLOSE_ATOL
-        rows = []
+        n_keep = int(keep.sum())
         for m in models:
-            p = pdf[m].to_numpy(dtype=np.float64)
+            p = preds[m]
             dp = (p[:, None] - p[None, :])[iu]
             ok = keep & (np.sign(dp) == np.sign(da)) & (dp != 0)
-            rows.append((pdf["bk"].iloc[0], m, int(ok.sum()), int(keep.sum())))
+            rows.append((bk, m, int(ok.sum()), n_keep))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        # many capped blocks (<= cap rows each) per call: one bucket of blocks
+        rows: list = []
+        for bk, g in pdf.groupby("bk", sort=False):
+            count_block(bk, g["a"].to_numpy(dtype=np.float64),
+                        {m: g[m].to_numpy(dtype=np.float64) for m in models}, rows)
         return pd.DataFrame(rows, columns=["bk", "model", "correct", "pairs"])
 
+    n_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")) * 4)
     res = capped.select(key.alias("bk"), F.col(actual).cast("double").alias("a"),
-                        *[F.col(m).cast("double").alias(m) for m in models]).groupBy("bk").applyInPandas(
+                        *[F.col(m).cast("double").alias(m) for m in models]).withColumn(
+        "_b", F.abs(F.xxhash64("bk")) % F.lit(n_buckets)).groupBy("_b").applyInPandas(
         count, "bk string, model string, correct long, pairs long")
     schema = T.StructType([f for f in df.schema.fields if f.name in block_cols])
     res = res.filter(F.col("pairs") > 0)

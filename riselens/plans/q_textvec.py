@@ -42,8 +42,16 @@ def q_tfidf(spark, sf):
     return rounded(long.select("post_id", "term", "tfidf"))
 
 
-def _split_grams(scored, dim, key="split"):
-    return TV.vector_gram(scored, dim, ["stage_a_residual"], key)
+def fold_key(info) -> "Column":
+    """f0..f4 for contiguous time-ordered training folds, 'test' after."""
+    n_train, n = info["train_count"], info["train_count"] + info["test_count"]
+    fb = S.fold_bounds(n_train, S.CV_FOLDS)
+    return S.interval_key(F.col("time_rank"), fb + [n], [f"f{i}" for i in range(S.CV_FOLDS)] + ["test"])
+
+
+def _fold_grams(grams, names):
+    folds = [grams.get(f"f{i}", G.AugGram.zeros(names)) for i in range(S.CV_FOLDS)]
+    return folds, grams.get("test", G.AugGram.zeros(names))
 
 
 def _stage_b_rows(name, tr, te, fit, y="stage_a_residual"):
@@ -52,70 +60,92 @@ def _stage_b_rows(name, tr, te, fit, y="stage_a_residual"):
 
 @register("tfidf_svd_stage_b")
 def q_tfidf_svd(spark, sf, k: int = 20):
-    """V1 + V2 + V3: Stage B residual model on TF-IDF SVD components, fitted on train."""
-    fit, scored, _ = fitted(spark, sf)
+    """V1 + V2 + V3: Stage B residual model on handcrafted features plus TF-IDF
+    (as SVD components), vocabulary / SVD / scaler fitted on train, elastic
+    net with 5-fold CV over l1 × the default alpha path — all from ONE pass of
+    fold Grams."""
+    from riselens.functions.titles import handcrafted_features
+    fit, scored, info = fitted(spark, sf)
     train_titles = scored.filter(F.col("split") == "train").select("post_id", "title")
-    counts = TV.term_counts(scored.select("post_id", "title"))
     vocab = TV.fit_tfidf(TV.term_counts(train_titles), train_titles.count(), MAX_FEATURES, MIN_DF)
     dim = vocab.count()
-    long = TV.transform_tfidf(counts, vocab)
+    long = TV.transform_tfidf(TV.term_counts(scored.select("post_id", "title")), vocab)
     vec = TV.dense_vectors(long, dim)
-    d = scored.select("post_id", "split", "stage_a_residual").join(vec, "post_id", "left").withColumn(
-        "vector", F.coalesce(F.col("vector"), F.array_repeat(F.lit(0.0), dim)))
-    grams = _split_grams(d, dim)
-    tr, te = grams["train"], grams.get("test", G.AugGram.zeros(grams["train"].names))
-    comps = TV.svd_components(tr, dim, min(k, dim))
-    ptr, pte = TV.project(tr, dim, comps), TV.project(te, dim, comps)
-    x = [f"c{i}" for i in range(comps.shape[0])]
-    enet = G.fit_elastic_net(ptr, x, "stage_a_residual", 0.01, 0.5)
-    ols = G.fit_ols(ptr, x, "stage_a_residual")
-    rows = _stage_b_rows("tfidf_svd_elasticnet", ptr, pte, enet) + _stage_b_rows("tfidf_svd_ols", ptr, pte, ols)
-    return rounded(spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long"))
+    hand = {c: e for c, e in handcrafted_features("title", F.col("all_caps_words")).items() if c != "title_lower"}
+    d = (scored.select("post_id", "time_rank", "title", "all_caps_words", "stage_a_residual").withColumns(hand)
+         .join(vec, "post_id", "left")
+         .withColumn("vector", F.coalesce(F.col("vector"), F.array_repeat(F.lit(0.0), dim))))
+    names_extra = list(hand) + ["stage_a_residual"]
+    grams = TV.vector_gram(d, dim, names_extra, fold_key(info))
+    names = grams[next(iter(grams))].names
+    folds, test = _fold_grams(grams, names)
+    train = G.sum_grams(folds, names)
+    comps = TV.svd_components(train, dim, min(k, dim))
+    pf = [TV.project(f, dim, comps) for f in folds]
+    pt = TV.project(test, dim, comps)
+    x = [f"c{i}" for i in range(comps.shape[0])] + list(hand)
+    ptrain = G.sum_grams(pf, pf[0].names)
+    _, sd = G.scaler_from_gram(ptrain, x)                        # scaler without centering
+    zero = np.zeros(len(x))
+    sf_ = [G.standardize(f, x, zero, sd, center=False) for f in pf]
+    st_ = G.standardize(pt, x, zero, sd, center=False)
+    strain = G.sum_grams(sf_, sf_[0].names)
+    enet, cv = G.fit_elastic_net_cv(sf_, x, "stage_a_residual", [0.1, 0.3, 0.5, 0.7, 0.9], None)
+    ols = G.fit_ols(strain, x, "stage_a_residual")
+    rows = _stage_b_rows("tfidf_svd_elasticnet", strain, st_, enet) + _stage_b_rows("tfidf_svd_ols", strain, st_, ols)
+    out = spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long")
+    return rounded(out.withColumns({"nonzero_coefs": F.lit(int(np.sum(enet.coef != 0))),
+                                    "cv_alpha": F.lit(float(cv["alpha"])), "cv_l1_ratio": F.lit(float(cv["l1_ratio"]))}))
 
 
 EMB_DIM = 64
 
 
 def _emb_frame(spark, sf):
-    fit, scored, _ = fitted(spark, sf)
+    fit, scored, info = fitted(spark, sf)
     vecs = fx.title_vectors(spark, sf)
-    d = TV.title_vectors(scored.select("post_id", "split", "subreddit", "lang", "created_dt", "stage_a_residual"), vecs)
-    return d
+    d = TV.title_vectors(scored.select("post_id", "split", "time_rank", "subreddit", "lang", "created_dt",
+                                      "stage_a_residual"), vecs)
+    return d.withColumn("fold", fold_key(info))
+
+
+def _emb_grams(d):
+    g = TV.vector_gram(d, EMB_DIM, ["stage_a_residual"], "fold")
+    names = g[next(iter(g))].names
+    folds, test = _fold_grams(g, names)
+    return {"folds": folds, "test": test, "train": G.sum_grams(folds, names)}
 
 
 def _emb_fit(grams, pca_k, regressor, alphas=(0.1, 1.0, 10.0, 100.0)):
-    tr = grams["train"]
-    te = grams.get("test", G.AugGram.zeros(tr.names))
+    """V5 PCA (fit on train) -> V6 scaler -> V7 ridge (alpha by LOO/GCV) or
+    V8 elastic net (5-fold CV on the time-ordered training folds)."""
+    tr, te, folds = grams["train"], grams["test"], grams["folds"]
     if pca_k:
         mean, comps = TV.pca_components(tr, EMB_DIM, pca_k)
-        tr_p, te_p = TV.project(tr, EMB_DIM, comps, mean), TV.project(te, EMB_DIM, comps, mean)
+        proj = lambda g: TV.project(g, EMB_DIM, comps, mean)
         x = [f"c{i}" for i in range(pca_k)]
     else:
-        mean, comps, tr_p, te_p = None, None, tr, te
+        mean, comps = None, None
+        proj = lambda g: g
         x = [f"v{i}" for i in range(EMB_DIM)]
+    tr_p, te_p, folds_p = proj(tr), proj(te), [proj(f) for f in folds]
     smean, sstd = G.scaler_from_gram(tr_p, x)
     tr_s, te_s = G.standardize(tr_p, x, smean, sstd), G.standardize(te_p, x, smean, sstd)
     if regressor == "ridge":
         fit = G.fit_ridge_loo(tr_s, x, "stage_a_residual", alphas)
     else:
-        n = int(tr_s.n)
-        folds = _random_folds(tr_s)
-        fit, _ = G.fit_elastic_net_cv(folds, x, "stage_a_residual", [0.1, 0.5, 0.9], None) if folds else (
-            G.fit_elastic_net(tr_s, x, "stage_a_residual", 0.01, 0.5), None)
+        fs = [G.standardize(f, x, smean, sstd) for f in folds_p]
+        fit, _ = G.fit_elastic_net_cv(fs, x, "stage_a_residual", [0.1, 0.5, 0.9], None)
     w, b0 = TV.weights_on_vector(fit, EMB_DIM, comps, mean, (smean, sstd))
     return fit, tr_s, te_s, w, b0
 
 
-def _random_folds(g):
-    return None        # fold Grams are passed explicitly where CV is needed
-
-
 @register("embedding_stage_b")
 def q_embedding(spark, sf):
     """Stage B on title vectors (PCA / scaler / ridge with
     leave-one-out alpha / elastic net), metrics and pairwise accuracy."""
     d = _emb_frame(spark, sf)
-    grams = TV.vector_gram(d, EMB_DIM, ["stage_a_residual"], "split")
+    grams = _emb_grams(d)
     rows, preds = [], {}
     for name, pca_k, reg in (("ridge_nopca", None, "ridge"), ("ridge_pca16", 16, "ridge"), ("enet_nopca", None, "enet")):
         fit, tr, te, w, b0 = _emb_fit(grams, pca_k, reg)
@@ -143,7 +173,7 @@ def q_embedding_grid(spark, sf):
     """A config grid (regressor × PCA) scored from ONE vector
     Gram; ranked by pairwise accuracy (null -> last), ties by index."""
     d = _emb_frame(spark, sf)
-    grams = TV.vector_gram(d, EMB_DIM, ["stage_a_residual"], "split")
+    grams = _emb_grams(d)
     configs = [(i, reg, k) for i, (reg, k) in enumerate(
         [(r, k) for r in ("ridge", "enet") for k in (None, 8, 16, 32)])]
     exprs, rows = {}, []
