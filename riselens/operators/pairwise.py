@@ -27,6 +27,8 @@ Counts are exact while a block has fewer than 2^53 pairs (double sums).
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -293,11 +295,12 @@ def pairwise_report(signs: DataFrame, grains: Sequence[Sequence[str]], baseline:
     the lift over a baseline model."""
     cols = sorted({c for g in grains for c in g})
     sets = ", ".join("(" + ", ".join(["model", *g]) + ")" for g in grains)
-    signs.createOrReplaceTempView("_pair_signs")
+    view = f"_pair_signs_{uuid.uuid4().hex}"
+    signs.createOrReplaceTempView(view)
     gid = " + ".join(f"grouping({c}) * {1 << i}" for i, c in enumerate(cols)) or "0"
     q = f"""SELECT model, {', '.join(cols)}, {gid} AS grain_id, sum(correct) AS correct, sum(pairs) AS pairs,
                    sum(correct) / nullif(sum(pairs), 0) AS accuracy
-            FROM _pair_signs GROUP BY GROUPING SETS ({sets})"""
+            FROM {view} GROUP BY GROUPING SETS ({sets})"""
     out = signs.sparkSession.sql(q)
     if baseline is None:
         return out

@@ -8,6 +8,8 @@ from a per-group value buffer; ``exact=False`` switches to sketches.
 
 from __future__ import annotations
 
+import uuid
+
 import math
 import statistics
 from collections.abc import Sequence
@@ -94,12 +96,13 @@ def calibration(df: DataFrame, residual: str = "stage_a_residual", keys: Sequenc
     r = F.col(residual).cast("double")
     sets = ", ".join(f"({k})" for k in keys)
     v = df.select(*keys, r.alias("_r"))
-    v.createOrReplaceTempView("_calib_src")
+    view = f"_calib_src_{uuid.uuid4().hex}"
+    v.createOrReplaceTempView(view)
     key_name = " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in keys)
     key_val = " ".join(f"WHEN grouping({k}) = 0 THEN CAST({k} AS STRING)" for k in keys)
     q = f"""SELECT CASE {key_name} END AS dimension, CASE {key_val} END AS level,
                    avg(_r) AS mean_residual, count(_r) AS n
-            FROM _calib_src GROUP BY GROUPING SETS ({sets})"""
+            FROM {view} GROUP BY GROUPING SETS ({sets})"""
     out = df.sparkSession.sql(q)
     return out.filter(F.col("level").isNotNull() & F.col("mean_residual").isNotNull())
 

@@ -46,4 +46,7 @@ def round_sql(expr: str, digits: int = DIGITS) -> str:
     """SQL twin of ``rounded``: Spark rounds a double HALF_UP on its shortest
     decimal representation, so the oracle does the same (double -> shortest
     string -> DECIMAL -> round -> double) instead of rounding the binary value."""
-    return (f"(CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) + 0.0)")
+    x = f"CAST({expr} AS DOUBLE)"
+    dec = f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+    # huge or non-finite values skip the decimal path (DECIMAL(38, 18) holds < 1e20)
+    return f"(CASE WHEN isfinite({x}) AND abs({x}) < 1e15 THEN {dec} ELSE round({x}, {digits}) END + 0.0)"
