@@ -94,17 +94,24 @@ def _ladder_fn(intervals: Sequence[int], tolerance: float, grace: float):
                 st[1] = float(pdf["created_timestamp"].min())
             else:
                 st[1] = min(st[1], float(pdf["created_timestamp"].min()))
-            for row in pdf.itertuples(index=False):
-                age = (row.snapshot_time - st[1]) / 60.0
-                for i, m in enumerate(slots):
-                    base = 2 + 5 * i
-                    if st[base + 4]:
-                        continue
-                    lo, hi = window(m)
-                    if lo <= age <= hi and (st[base] is None or row.snapshot_time < st[base]):
-                        st[base:base + 4] = [float(row.snapshot_time), float(row.score),
-                                             None if pd.isna(row.upvote_ratio) else float(row.upvote_ratio),
-                                             None if pd.isna(row.num_comments) else float(row.num_comments)]
+            t = pdf["snapshot_time"].to_numpy(dtype=np.float64)
+            age = (t - st[1]) / 60.0
+            sc = pdf["score"].to_numpy(dtype=np.float64)
+            ra = pdf["upvote_ratio"].to_numpy(dtype=np.float64)
+            nc = pdf["num_comments"].to_numpy(dtype=np.float64)
+            for i, m in enumerate(slots):
+                base = 2 + 5 * i
+                if st[base + 4]:
+                    continue
+                lo, hi = window(m)
+                idx = np.nonzero((age >= lo) & (age <= hi))[0]
+                if len(idx) == 0:
+                    continue
+                j = idx[np.argmin(t[idx])]                          # earliest due observation of this batch
+                if st[base] is None or t[j] < st[base]:
+                    st[base:base + 4] = [float(t[j]), float(sc[j]),
+                                         None if np.isnan(ra[j]) else float(ra[j]),
+                                         None if np.isnan(nc[j]) else float(nc[j])]
         if st[1] is None:
             return
         out = []
