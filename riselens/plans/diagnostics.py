@@ -319,17 +319,12 @@ def bootstrap(prep: Prepared, iterations: int = 30, seed: int = 42, min_oob_rati
         fits[r] = (S.solve_two_stage(folds, oob, design), oob, G.sum_grams(folds, names).n)
     if not fits:
         return pd.DataFrame()
-    d = prep.ranked.withColumns(prep.fd.exprs())
-    aggs = []
-    for r, (fit, _, _) in fits.items():
-        res = F.col(S.TARGET) - fit.stage_a.predict_expr()
-        aggs += [F.avg(res).alias(f"m{r}"), F.stddev_samp(res).alias(f"s{r}"), F.skewness(res).alias(f"g{r}")]
-    mom = d.agg(*aggs).collect()[0]
+    mom = residual_moments(prep, {r: f.stage_a for r, (f, _, _) in fits.items()})
     recs = []
     n = float(prep.n)
     adj = np.sqrt(n * (n - 1)) / (n - 2) if n > 2 else float("nan")
     for r, (fit, oob, n_in) in fits.items():
-        skew = mom[f"g{r}"] * adj if mom[f"g{r}"] is not None else None
+        skew = mom[r] * adj if mom.get(r) is not None else None
         if skew is not None and abs(skew) > max_abs_skew:
             continue
         recs.append(_record(fit, iteration=r, train_count=int(round(n_in)), test_count=int(round(oob.n)),
@@ -337,6 +332,47 @@ def bootstrap(prep: Prepared, iterations: int = 30, seed: int = 42, min_oob_rati
     return pd.DataFrame(recs)
 
 
+def residual_moments(prep: Prepared, fits: dict) -> dict:
+    """Population skewness g1 of each replicate's Stage A residual over all
+    rows, for every replicate in ONE pass: per batch the residual matrix is
+    y − X·Wᵀ − b (numpy), and Σr, Σr², Σr³ per replicate are summed."""
+    keys = sorted(fits)
+    names = sorted({c for f in fits.values() for c in f.features})
+    W = np.array([[dict(zip(fits[r].features, fits[r].coef)).get(c, 0.0) for c in names] for r in keys])
+    b = np.array([fits[r].intercept for r in keys])
+    src = prep.ranked.withColumns(prep.fd.exprs()).select(
+        F.col(S.TARGET).cast("double").alias("_y"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+    xcols = [f"_x{i}" for i in range(len(names))]
+
+    def part(batches):
+        acc = np.zeros((3, len(keys)))
+        n = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[xcols].to_numpy(dtype=np.float64)
+            R = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - X @ W.T - b[None, :]
+            acc += np.stack([R.sum(0), (R ** 2).sum(0), (R ** 3).sum(0)])
+            n += len(pdf)
+        yield pd.DataFrame({"_n": [n], "_s": [acc.tobytes()]})
+
+    tot, n = np.zeros((3, len(keys))), 0
+    for row in src.mapInPandas(part, "_n long, _s binary").collect():      # one row per partition
+        tot += np.frombuffer(row["_s"], dtype=np.float64).reshape(3, len(keys))
+        n += row["_n"]
+    out = {}
+    for j, r in enumerate(keys):
+        if n < 3:
+            out[r] = None
+            continue
+        m1 = tot[0, j] / n
+        m2 = tot[1, j] / n - m1 ** 2
+        m3 = tot[2, j] / n - 3 * m1 * tot[1, j] / n + 2 * m1 ** 3
+        out[r] = float(m3 / m2 ** 1.5) if m2 > 0 else None
+    return out
+
+
 BOOT_METRICS = ["stage_a_train_rmse", "stage_a_test_rmse", "stage_b_train_rmse", "stage_b_test_rmse", "stage_b_test_r2"]
 
 
