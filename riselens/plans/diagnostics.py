@@ -111,20 +111,56 @@ def _record(fit: S.TwoStageFit, **extra) -> dict:
 
 
 def _pairwise_for(ranked: DataFrame, fd: FullDesign, specs: list[tuple[str, int, int, S.TwoStageFit]]) -> dict:
-    """E2 for many splits in one counting job; specs = (label, lo, hi, fit)."""
+    """E2 for many splits in one counting job; specs = (label, lo, hi, fit).
+
+    Each split's Stage A residual and Stage B prediction are linear in the
+    design columns, so one ``mapInPandas`` pass computes them for every split
+    as ``X·Wᵀ`` per batch and emits a row per (split, test row); the pairs are
+    then counted by ``pairwise_accuracy`` with the split as report key.
+    """
     if not specs:
         return {}
-    d = ranked.withColumns(fd.exprs())
-    items = []
-    for label, lo, hi, fit in specs:
-        pa = fit.stage_a.predict_expr()
-        pb = fit.stage_b_raw().predict_expr()
-        cond = (F.col("time_rank") >= F.lit(lo)) & (F.col("time_rank") < F.lit(hi))
-        items.append(F.when(cond, F.struct(F.lit(label).alias("split_label"),
-                                           (F.col(S.TARGET) - pa).alias("actual"), pb.alias("pred"))))
-    ex = d.select("subreddit", F.date_trunc("hour", "created_dt").alias("hour_bucket"),
-                  F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("it")).select(
-        "subreddit", "hour_bucket", "it.*")
+    names = sorted({c for _, _, _, f in specs for c in f.stage_a.features + f.stage_b_raw().features})
+    pos = {c: i for i, c in enumerate(names)}
+
+    def weights(lf):
+        w = np.zeros(len(names))
+        for c, b in zip(lf.features, lf.coef):
+            w[pos[c]] = b
+        return w
+
+    Wa = np.array([weights(f.stage_a) for _, _, _, f in specs])
+    ba = np.array([f.stage_a.intercept for _, _, _, f in specs])
+    rawb = [f.stage_b_raw() for _, _, _, f in specs]
+    Wb = np.array([weights(f) for f in rawb])
+    bb = np.array([f.intercept for f in rawb])
+    lo = np.array([s[1] for s in specs])
+    hi = np.array([s[2] for s in specs])
+    labels = [s[0] for s in specs]
+    src = ranked.withColumns(fd.exprs()).select(
+        "subreddit", F.date_trunc("hour", "created_dt").alias("hour_bucket"), "time_rank",
+        F.col(S.TARGET).cast("double").alias("_y"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+    xcols = [f"_x{i}" for i in range(len(names))]
+
+    def explode_splits(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[xcols].to_numpy(dtype=np.float64)
+            rank = pdf["time_rank"].to_numpy()
+            actual = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - X @ Wa.T - ba[None, :]
+            pred = X @ Wb.T + bb[None, :]
+            member = (rank[:, None] >= lo[None, :]) & (rank[:, None] < hi[None, :])
+            ri, si = np.nonzero(member)
+            yield pd.DataFrame({
+                "split_label": np.array(labels, dtype=object)[si],
+                "subreddit": pdf["subreddit"].to_numpy()[ri],
+                "hour_bucket": pdf["hour_bucket"].to_numpy()[ri],
+                "actual": actual[ri, si], "pred": pred[ri, si]})
+
+    schema = "split_label string, subreddit string, hour_bucket timestamp, actual double, pred double"
+    ex = src.mapInPandas(explode_splits, schema)
     res = pairwise_accuracy(ex, ["split_label", "subreddit", "hour_bucket"], "actual", "pred", by=["split_label"])
     return {r["split_label"]: (r["pairwise_accuracy"], r["pairs"]) for r in res.collect()}
 

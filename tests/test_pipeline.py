@@ -91,3 +91,25 @@ def test_prefix_sum_split_equals_direct_refit(spark):
     assert recs.loc[0, "train_count"] == info["train_count"]
     assert recs.loc[0, "stage_a_test_rmse"] == pytest.approx(fit.metrics["stage_a"]["test"]["rmse"], rel=1e-6)
     assert recs.loc[0, "stage_b_test_rmse"] == pytest.approx(fit.metrics["stage_b"]["test"]["rmse"], rel=1e-6)
+
+
+def test_vectorised_split_pairwise_equals_direct(spark):
+    """Diagnostics' per-split pairwise (X·Wᵀ in mapInPandas) equals scoring the
+    split with the fitted expressions and counting pairs directly."""
+    from riselens.operators.pairwise import pairwise_accuracy
+    from riselens.plans import diagnostics as D
+    from riselens.plans import stage as S
+    from riselens.plans.q_models import stage_frame
+    frame = stage_frame(spark, "/root/testdata/sf0.01").withColumn("subreddit", F.col("lang"))   # denser blocks
+    prep = D.prepare(frame)
+    import dataclasses
+    fit, _, info = S.run_stage_model(frame, 0.7)
+    fit = dataclasses.replace(fit, stage_b=fit.stage_b_ols)      # non-constant predictions
+    nt = info["train_count"]
+    got = D._pairwise_for(prep.ranked, prep.fd, [("q", nt, prep.n, fit)])["q"]
+    scored = S.score(S.ranked_frame(S.with_interactions(frame)), fit).withColumn(
+        "split", F.when(F.col("time_rank") < nt, "train").otherwise("test"))
+    test = scored.filter(F.col("split") == "test").withColumn("hour_bucket", F.date_trunc("hour", "created_dt"))
+    exp = pairwise_accuracy(test, ["subreddit", "hour_bucket"], "stage_a_residual", "stage_b_pred").collect()[0]
+    assert got[1] == exp["pairs"] and got[1] > 0
+    assert got[0] == pytest.approx(exp["pairwise_accuracy"])
