@@ -120,3 +120,32 @@ GROUP BY subreddit HAVING count(R) >= {COMMUNITY_MIN_POSTS}
 @register("community_lift", _lift_sql)
 def q_community_lift(spark, sf):
     return rounded(community_lift(residual_frame(spark, sf), "subreddit", "R", min_posts=COMMUNITY_MIN_POSTS))
+
+
+# -- C11, C12 ----------------------------------------------------------------
+@register("notebook_flags_and_interactions", fx.sql_with(f"""
+SELECT post_id,
+  CAST(starts_with(lower(coalesce(domain, '')), 'self.') AS INTEGER) AS is_self,
+  CAST(lower(coalesce(domain, '')) IN ('i.redd.it', 'imgur.com', 'i.imgur.com') AS INTEGER) AS is_image,
+  CAST(h IN (0, 1, 2, 3, 4, 5, 22, 23) AS DOUBLE) AS is_off_peak, CAST(d >= 5 AS DOUBLE) AS is_weekend_flag,
+  CAST(has_numbers AS DOUBLE) * CAST(h IN (0, 1, 2, 3, 4, 5, 22, 23) AS DOUBLE) AS has_numbers_offpeak,
+  CAST(clickbait_patterns AS DOUBLE) * CAST(h IN (0, 1, 2, 3, 4, 5, 22, 23) AS DOUBLE) AS clickbait_patterns_offpeak,
+  CAST(has_question AS DOUBLE) * CAST(d >= 5 AS DOUBLE) AS has_question_weekend
+FROM (SELECT post_id, domain, hour({O.ts_from_epoch()}) AS h, isodow({O.ts_from_epoch()}) - 1 AS d,
+        {O.title_sql()['has_numbers']} AS has_numbers, {O.title_sql()['clickbait_patterns']} AS clickbait_patterns,
+        {O.title_sql()['has_question']} AS has_question FROM posts)""", "posts"))
+def q_flags_interactions(spark, sf):
+    from riselens.functions import context as ctx
+    from riselens.functions.titles import title_features
+    p = fx.posts(spark, sf)
+    ts = ctx.epoch_to_ts("created_timestamp")
+    tf = title_features("title")
+    base = p.select("post_id", "domain", F.hour(ts).alias("hour_of_day"), F.weekday(ts).alias("day_of_week"),
+                    tf["has_numbers"].alias("has_numbers"), tf["clickbait_patterns"].alias("clickbait_patterns"),
+                    tf["has_question"].alias("has_question"))
+    no_sentiment = {c: F.lit(0.0) for c in ("sentiment_compound", "sentiment_negative", "sentiment_positive")}
+    feats = {**ctx.notebook_content_flags("domain"),
+             **ctx.interaction_features("hour_of_day", "day_of_week", no_sentiment)}
+    out = base.withColumns(feats)
+    return rounded(out.select("post_id", "is_self", "is_image", "is_off_peak", "is_weekend_flag",
+                              "has_numbers_offpeak", "clickbait_patterns_offpeak", "has_question_weekend"))

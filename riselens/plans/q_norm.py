@@ -159,3 +159,30 @@ ORDER BY time DESC, id DESC LIMIT {HIST_MAX}""", "posts"))
 def q_historical(spark, sf):
     h = fx.raw_hn(spark, sf)
     return historical(h, HIST_START, HIST_END, HIST_MAX).select("id", "title", "time", "score")
+
+
+@register("recency_filters", fx.sql_with(f"""
+SELECT post_id, created_timestamp >= {STATE_NOW} - 2 * 3600.0 AS within_2h FROM posts
+WHERE created_timestamp >= {STATE_NOW} - 7 * 86400.0""", "posts"))
+def q_recency(spark, sf):
+    """IO10 (days cutoff) and NM14 (two-hour recency flag) at a fixed clock."""
+    p = fx.posts(spark, sf).select("post_id", "created_timestamp")
+    week = nm.since_days(p, STATE_NOW, 7)
+    recent_ids = nm.recent(week, STATE_NOW, 2.0).select("post_id").withColumn("within_2h", F.lit(True))
+    return week.join(recent_ids, "post_id", "left").select(
+        "post_id", F.coalesce(F.col("within_2h"), F.lit(False)).alias("within_2h"))
+
+
+@register("append_unseen_slice", fx.sql_with(f"""
+SELECT post_id, 'run-0001' AS collection_run_id, CAST({STATE_NOW} AS DOUBLE) AS ingested_timestamp
+FROM posts WHERE coalesce(collection_type, '') <> 'top'""", "posts"))
+def q_append_slice(spark, sf):
+    """IO11: unseen posts stamped with the run id and appended, partitioned by run."""
+    import uuid
+    from riselens.session import ensure_checkpoint_dir
+    from riselens.sources.io import append_slice
+    p = fx.posts(spark, sf).select("post_id", "collection_type")
+    known = p.filter(F.col("collection_type") == "top")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/slices/{uuid.uuid4().hex}"
+    append_slice(p, known, "run-0001", STATE_NOW, path)
+    return spark.read.parquet(path).select("post_id", "collection_run_id", "ingested_timestamp")
