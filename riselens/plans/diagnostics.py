@@ -179,11 +179,19 @@ def prepare(frame: DataFrame) -> Prepared:
     return Prepared(ranked, ranked.count(), fd, fd.all_columns)
 
 
+def bucket_of(rank: Column, cuts: Sequence[int], offset: int = 0) -> Column:
+    """Number of cut points <= rank as a balanced comparison tree: O(log n)
+    comparisons per row however many splits, folds and days are cut."""
+    if not cuts:
+        return F.lit(offset)
+    mid = len(cuts) // 2
+    return F.when(rank < F.lit(cuts[mid]), bucket_of(rank, cuts[:mid], offset)).otherwise(
+        bucket_of(rank, cuts[mid + 1:], offset + mid + 1))
+
+
 def bucket_grams(prep: Prepared, cuts: Iterable[int]) -> tuple[list[int], dict[int, G.AugGram]]:
     bounds = sorted({0, prep.n, *[int(c) for c in cuts if 0 <= c <= prep.n]})
-    # bucket id = number of cut points <= rank, minus one (binary search in SQL)
-    arr = F.array(*[F.lit(b) for b in bounds[1:-1]])
-    bid = F.size(F.filter(arr, lambda b: b <= F.col("time_rank")))
+    bid = bucket_of(F.col("time_rank"), bounds[1:-1])
     grams = G.gram_by_key(prep.ranked.withColumns(prep.fd.exprs()), prep.names, bid)
     return bounds, {int(k): v for k, v in grams.items()}
 

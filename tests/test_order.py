@@ -59,3 +59,12 @@ def test_cap_per_group_same_as_whole_group_ranking(skewed, spark):
         h = g["id"].map(lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
         exp = set(g.assign(h=h).sort_values(["h", "id"]).head(7)["id"])
         assert set(got[got["k"] == k]["id"]) == exp
+
+
+def test_bucket_tree_equals_bisect(spark):
+    import bisect
+    from pyspark.sql import functions as F
+    from riselens.plans.diagnostics import bucket_of
+    cuts = sorted({3, 7, 8, 20, 21, 50, 99, 100, 101, 150})
+    rows = spark.range(0, 200).withColumn("b", bucket_of(F.col("id"), cuts)).collect()
+    assert all(r["b"] == bisect.bisect_right(cuts, r["id"]) for r in rows)
