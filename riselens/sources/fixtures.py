@@ -56,7 +56,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("ts_us") - F.col("g_first_us")) / F.lit(60_000_000.0)).alias("post_age_minutes"),
         F.col("value").alias("score"),
         (F.col("value") / F.lit(100.0)).alias("upvote_ratio"),
-        F.get_json_object("props", "$.k").cast("double").alias("num_comments"),
+        F.get_json_object("props", "$.k").try_cast("double").alias("num_comments"),
     )
 
 
@@ -88,7 +88,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"),
         (F.col("first_us") / F.lit(1_000_000.0)).alias("created_timestamp"),
         F.floor("last_value").cast("long").alias("score"),
-        F.get_json_object("first.props", "$.k").cast("long").alias("comment_count"),
+        F.get_json_object("first.props", "$.k").try_cast("long").alias("comment_count"),
         author.alias("author"),
         author_hash(author).alias("author_hash"),
         (F.col("first.value") / F.lit(100.0)).alias("upvote_ratio"),
