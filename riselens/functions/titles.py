@@ -37,7 +37,9 @@ WH_WORDS = ["who", "what", "when", "where", "why", "how", "is", "are", "can", "s
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 # ---------------------------------------------------------------------------
 
-WS_SPLIT = r"\s+"
+# Python's str.split() separators: ASCII whitespace, the information
+# separators 0x1c-0x1f, NEL and every Unicode space / line / paragraph separator.
+WS_SPLIT = r"[\s\x1c-\x1f\x85\p{Z}]+"
 # A Unicode word boundary written out (Java's and RE2's \b disagree on
 # non-ASCII letters; Python's Unicode \b treats letters and digits as word).
 NON_WORD = r"[^\p{L}\p{N}_]"

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riselens.functions.titles import WS_SPLIT
 from riselens.operators.joins import attach_small
 
 # ---------------------------------------------------------------------------
@@ -39,7 +40,7 @@ EDGE_PUNCT = r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$"
 
 def sentiment_tokens(title: Column) -> Column:
     """Lower-cased whitespace tokens with edge punctuation stripped."""
-    raw = F.split(F.lower(F.coalesce(title, F.lit(""))), r"\s+")
+    raw = F.split(F.lower(F.coalesce(title, F.lit(""))), WS_SPLIT)
     stripped = F.transform(raw, lambda w: F.regexp_replace(w, EDGE_PUNCT, ""))
     return F.filter(stripped, lambda w: w != F.lit(""))
 

@@ -8,6 +8,8 @@ from the same fixed-value lists, never copied by hand.
 
 from __future__ import annotations
 
+from riselens.functions.titles import WS_SPLIT as WS_SQL
+
 from riselens.functions.context import IMAGE_DOMAINS, MEDIA_EXTENSION_PATTERN, NEWS_DOMAINS
 from riselens.functions.titles import CLICKBAIT_KEYWORDS, CLICKBAIT_PATTERNS, PUNCTUATION_CLASS
 
@@ -18,8 +20,8 @@ def q(s: str) -> str:
 
 
 def title_sql(t: str = "coalesce(title, '')") -> dict[str, str]:
-    toks = f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
-    ltoks = f"list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> '')"
+    toks = f"list_filter(regexp_split_to_array({t}, '{WS_SQL}'), lambda w: w <> '')"
+    ltoks = f"list_filter(regexp_split_to_array(lower({t}), '{WS_SQL}'), lambda w: w <> '')"
     n = f"len({toks})"
     letters = f"length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g'))"
     uppers = f"length(regexp_replace({t}, '[^\\p{{Lu}}]', '', 'g'))"

@@ -3,6 +3,8 @@ handcrafted title block (T11–T14, T21–T30)."""
 
 from __future__ import annotations
 
+from riselens.functions.titles import WS_SPLIT as WS_SQL
+
 from pyspark.sql import functions as F
 
 from riselens.functions.titles import NON_WORD, WH_WORDS, handcrafted_features
@@ -13,7 +15,7 @@ from riselens.plans.oracle_sql import q
 from riselens.plans.registry import register, round_sql, rounded
 from riselens.sources import fixtures as fx
 
-_toks = (f"list_filter(list_transform(regexp_split_to_array(lower(coalesce(title, '')), '\\s+'), "
+_toks = (f"list_filter(list_transform(regexp_split_to_array(lower(coalesce(title, '')), '{WS_SQL}'), "
          f"lambda w: regexp_replace(w, {q(EDGE_PUNCT)}, '', 'g')), lambda w: w <> '')")
 _negs = "[" + ", ".join(q(w) for w in NEGATIONS) + "]"
 _boost = "[" + ", ".join(q(w) for w in BOOSTERS) + "]"
@@ -80,8 +82,8 @@ def q_title_entities(spark, sf):
 
 
 _t = "coalesce(title, '')"
-_ltoks = f"list_filter(regexp_split_to_array(lower({_t}), '\\s+'), lambda w: w <> '')"
-_caps = f"len(list_filter(list_filter(regexp_split_to_array({_t}, '\\s+'), lambda w: w <> ''), lambda w: w = upper(w) AND w <> lower(w) AND length(w) > 1))"
+_ltoks = f"list_filter(regexp_split_to_array(lower({_t}), '{WS_SQL}'), lambda w: w <> '')"
+_caps = f"len(list_filter(list_filter(regexp_split_to_array({_t}, '{WS_SQL}'), lambda w: w <> ''), lambda w: w = upper(w) AND w <> lower(w) AND length(w) > 1))"
 _wh = "|".join(WH_WORDS)
 _hand_sql = fx.sql_with(f"""
 SELECT post_id, lower({_t}) AS title_lower, len({_ltoks}) AS title_token_len, length(lower({_t})) AS title_char_len,

@@ -11,7 +11,8 @@ from riselens.functions import context as ctx
 from riselens.functions.titles import CLICKBAIT_KEYWORDS, title_features
 
 TITLES = [None, "", "   ", "a", "ALL CAPS TITLE HERE", "12345 678", "emoji 😀 test 𝔘nicode",
-          "Why you won't believe this?! 10 ways", "Mixed Case, punctuation: (yes) - no..."]
+          "Why you won't believe this?! 10 ways", "Mixed Case, punctuation: (yes) - no...",
+          "nbsp\u00a0split\u2003em\u3000ideographic"]
 
 
 def py_features(t):
