@@ -88,3 +88,18 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     q = both.withColumn("qv", F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(f"{prefix}{i}")
                                   for i in range(len(probs))])
+
+
+def quantiles_of_ranked(ranked: DataFrame, rank: str, value: str, n: int, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of ``value`` when ``rank`` already orders it (0-based):
+    only the neighbouring ranks of each position are read, no new sort."""
+    if n == 0:
+        return [None for _ in probs]
+    want = {}
+    for p in probs:
+        h = (n - 1) * float(p)
+        lo = int(h)
+        want[p] = (lo, min(lo + 1, n - 1), h - lo)
+    positions = sorted({i for lo, hi, _ in want.values() for i in (lo, hi)})
+    vals = {r[0]: r[1] for r in ranked.filter(F.col(rank).isin(positions)).select(rank, F.col(value).cast("double")).collect()}
+    return [vals[lo] + frac * (vals[hi] - vals[lo]) for lo, hi, frac in (want[p] for p in probs)]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riselens.operators import gram as G
-from riselens.operators.order import exact_quantiles
+from riselens.operators.order import exact_quantiles, quantiles_of_ranked
 from riselens.operators.pairwise import pairwise_accuracy
 from riselens.plans import stage as S
 
@@ -200,7 +200,8 @@ def temporal_splits(prep: Prepared, quantiles: Sequence[float] = (0.6, 0.65, 0.7
                     folds: int = S.CV_FOLDS, pairwise: bool = True) -> pd.DataFrame:
     """One record per quantile (train <= quantile time)."""
     qs = [q for q in quantiles if 0 < q < 1]
-    times = exact_quantiles(prep.ranked, "created_timestamp", qs)
+    # the frame is ranked by (created_timestamp, post_id): read the quantile neighbours
+    times = quantiles_of_ranked(prep.ranked, "time_rank", "created_timestamp", prep.n, qs)
     counts = prep.ranked.agg(*[F.count_if(F.col("created_timestamp") <= F.lit(t)).alias(f"c{i}")
                                for i, t in enumerate(times)]).collect()[0]
     n_train = [int(counts[f"c{i}"]) for i in range(len(qs))]
@@ -255,7 +256,7 @@ def blocked_cv(prep: Prepared, min_train: int = MIN_TRAIN, min_test: int = MIN_T
 def learning_curve(prep: Prepared, base_quantile: float = 0.7, fractions: Sequence[float] = (0.3, 0.5, 0.7, 1.0),
                    min_train: int = 500, folds: int = S.CV_FOLDS, pairwise: bool = True) -> pd.DataFrame:
     """First floor(n_train·f) training rows in time order, fixed test."""
-    t = exact_quantiles(prep.ranked, "created_timestamp", [base_quantile])[0]
+    t = quantiles_of_ranked(prep.ranked, "time_rank", "created_timestamp", prep.n, [base_quantile])[0]
     nt = prep.ranked.filter(F.col("created_timestamp") <= F.lit(t)).count()
     sizes = [(f, int(nt * f)) for f in fractions if 0 < f <= 1 and int(nt * f) >= min_train]
     cuts = [nt] + [c for _, m in sizes for c in S.fold_bounds(m, folds)]

@@ -270,8 +270,8 @@ def q_penalized(spark, sf):
     scaler without centering), Stage B on Stage A's residual."""
     r = S.ranked_frame(S.with_interactions(stage_frame(spark, sf)))
     n = r.count()
-    from riselens.operators.order import exact_quantiles
-    t = exact_quantiles(r, "created_timestamp", [0.7])[0]
+    from riselens.operators.order import quantiles_of_ranked
+    t = quantiles_of_ranked(r, "time_rank", "created_timestamp", n, [0.7])[0]
     nt = r.filter(F.col("created_timestamp") <= F.lit(t)).count()
     design = S.fit_design(r.filter(F.col("time_rank") < nt))
     fb = S.fold_bounds(nt, S.CV_FOLDS)

@@ -246,10 +246,10 @@ def run_stage_model(frame: DataFrame, q: float = 0.7, folds: int = CV_FOLDS,
 
     Actions: one rank (sort + counts), one level aggregate, one Gram pass.
     """
-    from riselens.operators.order import exact_quantiles
+    from riselens.operators.order import quantiles_of_ranked
     r = ranked_frame(with_interactions(frame))
     n = r.count()
-    split_time = exact_quantiles(r, "created_timestamp", [q])[0]
+    split_time = quantiles_of_ranked(r, "time_rank", "created_timestamp", n, [q])[0]
     n_train = r.filter(F.col("created_timestamp") <= F.lit(split_time)).count()
     design = fit_design(r.filter(F.col("time_rank") < n_train))
     fb = fold_bounds(n_train, folds)

@@ -68,3 +68,11 @@ def test_bucket_tree_equals_bisect(spark):
     cuts = sorted({3, 7, 8, 20, 21, 50, 99, 100, 101, 150})
     rows = spark.range(0, 200).withColumn("b", bucket_of(F.col("id"), cuts)).collect()
     assert all(r["b"] == bisect.bisect_right(cuts, r["id"]) for r in rows)
+
+
+def test_quantiles_of_ranked_equal_exact(skewed):
+    from riselens.operators.order import quantiles_of_ranked
+    pdf, df = skewed
+    ranked = global_rank(df, ["v", "id"], "rk")
+    probs = [0.0, 0.25, 0.7, 1.0]
+    assert np.allclose(quantiles_of_ranked(ranked, "rk", "v", len(pdf), probs), np.quantile(pdf["v"], probs))
