@@ -15,6 +15,7 @@ these matrices; transformed targets (a Stage A residual) are linear maps
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -72,6 +73,42 @@ class AugGram:
         return n, mx, my, sxx, sxy, syy
 
 
+# ---------------------------------------------------------------------------
+# Wide projections as SQL text: one JVM call per column instead of one per
+# expression node (designs have hundreds of columns).
+# ---------------------------------------------------------------------------
+
+def sql_name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (bool, np.bool_)):
+        return "true" if v else "false"
+    if isinstance(v, (int, np.integer)):
+        return str(int(v))
+    if isinstance(v, (float, np.floating)):
+        f = float(v)
+        return repr(f) + "D" if math.isfinite(f) else f"CAST('{f}' AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def filled_sql(c: str) -> str:
+    """``c`` as double, null -> 0 (SQL text)."""
+    return f"coalesce(CAST({sql_name(c)} AS DOUBLE), 0.0D)"
+
+
+def filled(c: str, alias: str) -> Column:
+    return F.expr(f"{filled_sql(c)} AS {sql_name(alias)}")
+
+
+def indicator(src: str, level) -> Column:
+    """1.0 where ``src`` equals ``level`` (null where ``src`` is null)."""
+    return F.expr(f"CAST({sql_name(src)} = {sql_lit(level)} AS DOUBLE)")
+
+
 # ---------------------------------------------------------------------------
 # Spark side: one pass, any number of keys
 # ---------------------------------------------------------------------------
@@ -87,7 +124,7 @@ def gram_by_key(df: DataFrame, cols: Sequence[str], key: Column | str | None = N
     kcol = F.lit("all") if key is None else (F.col(key) if isinstance(key, str) else key)
     wcol = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     src = df.select(kcol.cast("string").alias("_k"), wcol.cast("double").alias("_w"),
-                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+                    *[filled(c, f"_x{i}") for i, c in enumerate(names)])
     src = src.filter(F.col("_k").isNotNull() & (F.col("_w") != 0))
     xcols = [f"_x{i}" for i in range(len(names))]
 
@@ -147,11 +184,10 @@ class LinearFit:
 
     def predict_expr(self, prefix: str = "") -> Column:
         """Prediction as one Spark expression (coefficients as literals)."""
-        expr = F.lit(float(self.intercept))
-        for c, b in zip(self.features, self.coef):
-            if b != 0.0:
-                expr = expr + F.coalesce(F.col(prefix + c).cast("double"), F.lit(0.0)) * F.lit(float(b))
-        return expr
+        terms = [sql_lit(float(self.intercept))]
+        terms += [f"{filled_sql(prefix + c)} * {sql_lit(float(b))}"
+                  for c, b in zip(self.features, self.coef) if b != 0.0]
+        return F.expr(" + ".join(terms))
 
     def table(self) -> pd.DataFrame:
         d = {"feature": self.features, "coef": self.coef}

@@ -53,7 +53,7 @@ class FullDesign:
                 + [(f"subreddit_{c}", "subreddit", c, "s") for c in self.communities])
 
     def exprs(self) -> dict[str, Column]:
-        return {n: (F.col(src) == F.lit(lv)).cast("double") for n, src, lv, _ in self.specs()}
+        return {n: G.indicator(src, lv) for n, src, lv, _ in self.specs()}
 
     @property
     def all_columns(self) -> list[str]:
@@ -140,7 +140,7 @@ def _pairwise_for(ranked: DataFrame, fd: FullDesign, specs: list[tuple[str, int,
     src = ranked.withColumns(fd.exprs()).select(
         "subreddit", F.date_trunc("hour", "created_dt").alias("hour_bucket"), "time_rank",
         F.col(S.TARGET).cast("double").alias("_y"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+        *[G.filled(c, f"_x{i}") for i, c in enumerate(names)])
     xcols = [f"_x{i}" for i in range(len(names))]
 
     def explode_splits(batches):
@@ -299,7 +299,7 @@ def bootstrap_grams(prep: Prepared, iterations: int, seed: int) -> dict[tuple[in
     k = len(names) + 1
     src = prep.ranked.withColumns(prep.fd.exprs()).select(
         F.xxhash64("post_id").alias("_h"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+        *[G.filled(c, f"_x{i}") for i, c in enumerate(names)])
     xcols = [f"_x{i}" for i in range(len(names))]
 
     def partials(batches):
@@ -387,7 +387,7 @@ def residual_moments(prep: Prepared, fits: dict) -> dict:
     b = np.array([fits[r].intercept for r in keys])
     src = prep.ranked.withColumns(prep.fd.exprs()).select(
         F.col(S.TARGET).cast("double").alias("_y"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(names)])
+        *[G.filled(c, f"_x{i}") for i, c in enumerate(names)])
     xcols = [f"_x{i}" for i in range(len(names))]
 
     def part(batches):

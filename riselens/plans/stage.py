@@ -116,7 +116,7 @@ class Design:
                 + [(f"subreddit_{c}", "subreddit", c) for c in self.communities[1:]])
 
     def dummy_exprs(self) -> dict[str, Column]:
-        return {name: (F.col(src) == F.lit(lv)).cast("double") for name, src, lv in self.dummy_specs()}
+        return {name: G.indicator(src, lv) for name, src, lv in self.dummy_specs()}
 
     @property
     def stage_a(self) -> list[str]:

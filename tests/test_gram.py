@@ -74,3 +74,29 @@ def test_gram_by_key_on_spark(spark):
         sub = pdf[pdf["k"] == k]
         u = np.hstack([np.ones((len(sub), 1)), sub[["a", "b"]].to_numpy()])
         assert np.allclose(g.U, u.T @ u)
+
+
+def test_sql_text_projections_equal_column_expressions(spark):
+    """Prediction / indicator / filled columns built from SQL text give the
+    same values as the equivalent Column expressions (quoting, literals)."""
+    from pyspark.sql import functions as F
+    names = ["plain", "with space", "odd`tick", "dash-name"]
+    rows = [(1.5, None, 3, "a'b"), (-2.0, 4.25, None, "c\\d"), (1e16, -1e-300, 7, None), (0.1, 0.2, 0, "x")]
+    df = spark.createDataFrame(rows, "plain double, `with space` double, `odd``tick` int, `dash-name` string")
+    fit = G.LinearFit(names[:3], np.array([0.1, -1e-12, 3.0]), -0.3, 4.0, {})
+    old = F.lit(-0.3)
+    for c, b in zip(fit.features, fit.coef):
+        old = old + F.coalesce(F.col(f"`{c.replace('`', '``')}`").cast("double"), F.lit(0.0)) * F.lit(float(b))
+    got = df.select(
+        fit.predict_expr().alias("new"), old.alias("old"),
+        *[G.filled(c, f"f{i}") for i, c in enumerate(names[:3])],
+        G.indicator("dash-name", "a'b").alias("i1"), G.indicator("dash-name", "c\\d").alias("i2"),
+        G.indicator("odd`tick", 7).alias("i3"), (F.col("`dash-name`") == F.lit("a'b")).cast("double").alias("j1"),
+        (F.col("`dash-name`") == F.lit("c\\d")).cast("double").alias("j2"),
+    ).collect()
+    for r in got:
+        assert r["new"] == r["old"]
+        assert r["i1"] == r["j1"] and r["i2"] == r["j2"]
+    assert [r["i3"] for r in got] == [0.0, None, 1.0, 0.0]
+    assert [r["f1"] for r in got] == [0.0, 4.25, -1e-300, 0.2]
+    assert [r["f0"] for r in got] == [1.5, -2.0, 1e16, 0.1]
