@@ -97,7 +97,7 @@ def vector_gram(df: DataFrame, dim: int, extra: Sequence[str] = (), key: Column
     k = len(names) + 1
     kcol = F.lit("all") if key is None else (F.col(key) if isinstance(key, str) else key)
     src = df.select(kcol.cast("string").alias("_k"), F.col(vec).cast("array<double>").alias("_v"),
-                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_e{i}") for i, c in enumerate(extra)])
+                    *[G.filled(c, f"_e{i}") for i, c in enumerate(extra)])
     src = src.filter(F.col("_k").isNotNull() & F.col("_v").isNotNull())
 
     def partials(batches: Iterable[pd.DataFrame]):
