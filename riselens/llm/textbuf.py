@@ -18,6 +18,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALNUM_ONLY = _SPACE.copy()
+_ALNUM_ONLY[[b for b in range(128) if not chr(b).isalnum()]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?\n")] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -42,14 +46,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """buf: bytes; start, end: of each word; doc: its text's position; hash: its 64-bit hash; bounds: the first word of each text, and the end."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
+    def __init__(self, texts: list[str], lower: bool = False, alnum: bool = False):
         raw = "\n".join(texts) + "\n"
         self.raw = raw.encode("utf-8", "replace")
         buf = np.frombuffer(self.raw, np.uint8)
         self.buf = _LOWER[buf] if lower else buf
         sizes = np.array([len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], np.int64) + 1
         self.text_end = np.cumsum(sizes)
-        inside = ~_SPACE[self.buf]
+        inside = ~(_ALNUM_ONLY if alnum else _SPACE)[self.buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         self.bounds = np.searchsorted(self.start, np.concatenate(([0], self.text_end)))
@@ -59,6 +63,10 @@ class Words:
         np.cumsum(_BYTE[self.buf] * pos, dtype=np.uint64, out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inv[self.start]) if len(self.start) else np.zeros(0, np.uint64)
 
+    def sentence(self) -> np.ndarray:
+        """Of each word the running number of its sentence; sentences end at . ! ? and line ends."""
+        return np.cumsum(_STOP[self.buf])[self.start]
+
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i]:self.end[i]].tobytes()
 
