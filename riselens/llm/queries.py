@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riselens.llm import minhash_dedup, packing, toxicity
+from riselens.llm import minhash_dedup, packing, quality, sharding, toxicity
 from riselens.llm.common import table
 
 QUERIES = {}
@@ -33,3 +33,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with its worst sentence."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base values and verdict of every document."""
+    return quality.filter_quality(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_quality_rules"] = quality.ORACLE_SQL
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))

@@ -61,12 +61,19 @@ class Words:
         pos, inv = _power(len(buf))
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTE[self.buf] * pos, dtype=np.uint64, out=total[1:])
+        self._total, self._inv = total, inv
         self.hash = mix((total[self.end] - total[self.start]) * inv[self.start]) if len(self.start) else np.zeros(0, np.uint64)
 
     def sentence(self) -> np.ndarray:
         """Of each word the running number of its sentence; sentences end at . ! ? and line ends."""
         return np.cumsum(_STOP[self.buf])[self.start]
 
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words of more than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        at = np.flatnonzero(self.end - self.start > size)
+        s = self.start[at]
+        return at, mix((self._total[s + size] - self._total[s]) * self._inv[s] + np.uint64(size))
+
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i]:self.end[i]].tobytes()
 

@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: noisy-or over sentence scores.
 
-A sentence's score is a logistic function of its hashed words; a document's is
+A sentence's score is a logistic function of its hashed words and word
+beginnings; a document's is
 1 - prod(1 - sentence score).  Only document labels are known, so the weights
 come from the gradient of the document's log likelihood through the noisy-or,
 which flows to the sentences that explain a label.  Afterwards the sentence
@@ -24,8 +25,9 @@ from riselens.llm.common import clean_docs
 from riselens.llm.textbuf import Words, batches
 
 BITS = 18
-PER_CLASS = 3000
+PER_CLASS = 2000
 FOLDS = 5
+PREFIXES = (4, 5, 6)
 
 
 class Model(NamedTuple):
@@ -39,19 +41,25 @@ def held_out(doc_id) -> F.Column:
 
 
 def _features(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Hashed features, and the word of each: the words themselves and their beginnings, which catch inflected forms."""
     words = Words(texts, lower=True, alnum=True)
-    return words, (words.hash >> np.uint64(64 - BITS)).astype(np.int64), words.sentence()
+    at, hashes = [np.arange(len(words.start))], [words.hash]
+    for size in PREFIXES:
+        where, h = words.prefix(size)
+        at.append(where)
+        hashes.append(h)
+    return words, (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(at)
 
 
 def _collect_features(frames):
     for pdf in batches(frames):
-        words, feature, sentence = _features(pdf["text"].tolist())
-        cut = zip(words.bounds[:-1], words.bounds[1:])
-        rows = [(feature[a:b].astype("<i4").tobytes(), sentence[a:b].astype("<i4").tobytes()) for a, b in cut]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "feature": [r[0] for r in rows], "sentence": [r[1] for r in rows]})
+        for doc_id, toxic, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"]):
+            words, feature, at = _features([text])
+            sentence = words.sentence()[at]
+            yield pd.DataFrame({"doc_id": [doc_id], "toxic": [toxic], "feature": [feature.astype("<i4").tobytes()], "sentence": [sentence.astype("<i4").tobytes()]})
 
 
-def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 160, rate: float = 0.25, min_docs: int = 3, decay: float = 1e-5) -> Model:
+def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.1, min_docs: int = 3, l1: float = 5e-5) -> Model:
     """bags: per document the features of its words and the sentence of each."""
     size = 1 << BITS
     seen = np.zeros(size, np.int32)
@@ -79,10 +87,13 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
         # derivative of the document's log likelihood by each sentence's z
         pull = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0) * weight / total
         dz = np.minimum(p, 1 - 1e-12) * pull[doc]
-        g = np.append(np.bincount(feature, dz[sentence], len(ids)) - decay * w, dz.sum())
+        g = np.append(np.bincount(feature, dz[sentence], len(ids)), dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        scale = rate * (1.05 - t / steps) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        shrink = l1 * scale[:-1]
+        step = scale * m / (1 - 0.9**t)
         w, b = w + step[:-1], b + step[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
     out = np.zeros(size)
     out[ids] = w
     return Model(out, float(b))
@@ -116,10 +127,12 @@ def _score(model: Model):
     def run(frames):
         for pdf in batches(frames):
             texts = pdf["text"].tolist()
-            words, feature, sentence = _features(texts)
+            words, feature, at = _features(texts)
+            sentence = words.sentence()
             n, words_of = len(texts), np.diff(words.bounds)
             first = np.flatnonzero(np.diff(sentence, prepend=-1)) if len(sentence) else np.zeros(0, np.int64)
-            z = np.add.reduceat(weights[feature], first) + bias if len(first) else np.zeros(0)
+            rank = np.cumsum(np.diff(sentence, prepend=-1) > 0) - 1
+            z = np.bincount(rank[at], weights[feature], len(first)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             doc = words.doc[first]
             none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
