@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riselens.llm import minhash_dedup, packing, quality, sharding, toxicity
+from riselens.llm import minhash_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
 from riselens.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,15 @@ ORACLE["op6_quality_rules"] = quality.ORACLE_SQL
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that occur earlier, in the same or another document."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
