@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riselens.llm import minhash_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
+from riselens.llm import decontamination, minhash_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
 from riselens.llm.common import table
 
 QUERIES = {}
@@ -60,3 +60,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that occur earlier, in the same or another document."""
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the evidence."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

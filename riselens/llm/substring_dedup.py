@@ -1,6 +1,6 @@
 """Repeated passages by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes sets chunk borders where its top bits
+A gear rolling hash over the last 16 bytes sets chunk borders where its top bits
 are zero, so an insertion moves only the borders near it.  Chunks are grouped by
 a 128-bit digest; all but the first occurrence (by doc_id, then place) are
 repeats.  Neighbouring repeats of a document make a run, and runs of at least
@@ -25,23 +25,23 @@ from riselens.session import checkpoint
 BORDER_BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 256
-MIN_WORDS = 16
-_GEAR = np.random.Generator(np.random.PCG64(32)).integers(0, 2**32, 256, dtype=np.uint32)
+MIN_WORDS = 20
+_GEAR = np.random.Generator(np.random.PCG64(32)).integers(0, 2**16, 256, dtype=np.uint16)
 SCHEMA = "doc_id long, start int, size int, words int, d1 long, d2 long"
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
-    """h(i) = 2 h(i - 1) + GEAR[b(i)] in 32 bits, by doubling the window five times."""
+    """h(i) = 2 h(i - 1) + GEAR[b(i)] in 16 bits, by doubling the window four times."""
     h = _GEAR[buf]
-    for step in (1, 2, 4, 8, 16):
-        h[step:] += h[:-step] << np.uint32(step)
+    for step in (1, 2, 4, 8):
+        h[step:] += h[:-step] << np.uint16(step)
     return h
 
 
 def borders(buf: np.ndarray) -> list[int]:
     """Ends of the chunks of one text."""
     n = len(buf)
-    marks = np.flatnonzero(gear(buf) >> np.uint32(32 - BORDER_BITS) == 0) + 1
+    marks = np.flatnonzero(gear(buf) >> np.uint16(16 - BORDER_BITS) == 0) + 1
     out, last = [], 0
     for m in marks.tolist():
         while m - last > MAX_CHUNK:
