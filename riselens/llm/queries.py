@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riselens.llm import decontamination, minhash_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
+from riselens.llm import decontamination, line_dedup, minhash_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, toxicity
 from riselens.llm.common import table
 
 QUERIES = {}
@@ -66,3 +66,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the evidence."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word, and whether it is the first of its class."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.surrogate_texts(table(spark, sf_dir, "documents"))
