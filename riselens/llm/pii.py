@@ -28,31 +28,36 @@ GIVEN = {
     ("f", "cyrillic"): "алина вера галина дарья елена жанна зоя ирина ксения лариса мария нина ольга полина софья юлия".split(),
 }
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[ -]\p{Lu}[\p{Ll}]+){0,2}"
+_NAME = r"\p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++){0,2}"
+#: What stands before a secret or a name, belongs to the match and stays in the text.
+SECRET_KEY = r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+TITLE_M, TITLE_F = (rf"(?:{'|'.join(t)})\.? " for t in (MALE, FEMALE))
+#: In the order they are tried; all begin at the start of a word or number.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=\b(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{10,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9])",
-    "name_m": rf"(?<=\b(?:{'|'.join(MALE)})\.? ){_NAME}",
-    "name_f": rf"(?<=\b(?:{'|'.join(FEMALE)})\.? ){_NAME}",
+    "name_m": TITLE_M + _NAME,
+    "name_f": TITLE_F + _NAME,
+    "secret": SECRET_KEY + r"[A-Za-z0-9_+/-]{8,}+",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{10,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: The types that the entity alone tells, in the order they are tried.
-_ALONE = ("email", "ip", "ssn", "iban", "phone", "card")
+ANY = r"(?<![\p{L}0-9])(?:" + "|".join(PATTERNS.values()) + ")"
 ATTEMPTS = 20
 
 
-def entity_type(e: Column, before: Column) -> Column:
-    """The type of an entity; ``before`` is the text between it and the entity before."""
-    out = F.when(before.rlike(rf"\b(?:{'|'.join(MALE)})\.? $") & e.rlike(r"^\p{Lu}"), "name_m").when(before.rlike(rf"\b(?:{'|'.join(FEMALE)})\.? $") & e.rlike(r"^\p{Lu}"), "name_f")
-    out = out.when(before.rlike(r"\b(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?$"), "secret")
-    for name in _ALONE:
-        out = out.when(e.rlike(f"^(?:{PATTERNS[name]})$"), name)
-    return out.otherwise("secret")
+def entity_type(match: Column) -> Column:
+    out = F.lit(None)
+    for name in reversed(PATTERNS):
+        out = F.when(match.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(out)
+    return out
+
+
+def lead(match: Column) -> Column:
+    """The part of a match that stays: a title, or the name of a secret."""
+    return F.regexp_extract(match, f"^(?:{SECRET_KEY}|{TITLE_M}|{TITLE_F})", 0)
 
 
 def canonical(kind: Column, e: Column) -> Column:
@@ -151,12 +156,12 @@ def surrogate_texts(docs: DataFrame, key: str = "change me") -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(ANY)), F.lit(0)).alias("n_entities"))
     hit = rows.where("n_entities > 0").select("text").withColumns({"h1": h1, "h2": h2})
     texts = checkpoint(hit.groupBy("h1", "h2").agg(F.first("text").alias("text")).select("h1", "h2", F.regexp_extract_all("text", F.lit(ANY), 0).alias("e"), F.split("text", ANY, -1).alias("gaps")))
-    spans = texts.select("h1", "h2", F.posexplode(F.arrays_zip("e", F.slice("gaps", F.lit(1), F.size("e")).alias("g"))).alias("i", "x"))
-    kind = entity_type(F.col("x.e"), F.col("x.g"))
-    spans = spans.select("h1", "h2", "i", F.col("x.e").alias("e"), kind.alias("kind"))
+    spans = texts.select("h1", "h2", F.posexplode("e").alias("i", "m"))
+    spans = spans.withColumns({"kind": entity_type(F.col("m")), "lead": lead(F.col("m"))})
+    spans = spans.withColumn("e", F.expr("substr(m, length(lead) + 1)"))
     spans = checkpoint(spans.withColumn("canon", canonical(F.col("kind"), F.col("e"))))
     surrogates = settle(spans.select("kind", "canon").distinct(), key)
-    written = spans.join(surrogates, ["kind", "canon"]).select("h1", "h2", "i", render(F.col("kind"), F.col("e"), F.col("surrogate")).alias("r"))
+    written = spans.join(surrogates, ["kind", "canon"]).select("h1", "h2", "i", F.concat("lead", render(F.col("kind"), F.col("e"), F.col("surrogate"))).alias("r"))
     lists = written.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("r"))
     whole = F.array_join(F.zip_with("gaps", F.transform("r", lambda r: r["r"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
     fresh = checkpoint(texts.join(lists, ["h1", "h2"]).select("h1", "h2", whole.alias("fresh")))
