@@ -49,7 +49,7 @@ def _pairs(reps: DataFrame) -> DataFrame:
     n = F.size("sketch")
     keys = F.when(n < 2, F.array(F.xxhash64("sketch"))).otherwise(
         F.zip_with(F.slice("sketch", F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice("sketch", F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    entries = reps.select("id", "n", F.explode(keys).alias("key")).distinct()
+    entries = reps.select("id", "n", F.explode(F.array_distinct(keys)).alias("key"))
     lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("pivot"), F.col("n").alias("pn"))).alias("p")).where("c > 1")
     shared = checkpoint(entries.join(lists.select("key", "c", "p.pivot", "p.pn"), "key"))
     fits = f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)"
