@@ -144,8 +144,14 @@ def _list_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cols = ("h", "rep", "n", "comp", "sketch")
     left = hot.where("comp <> main").select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_rest")).cast("int").alias("i"), every.alias("j"))
     right = hot.select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_all")).cast("int").alias("j"), rest.alias("i"))
-    tiles = left.groupBy("h", "i", "j").cogroup(right.groupBy("h", "i", "j")).applyInPandas(
-        lambda lt, rt: _tile(lt, rt, percent) if len(lt) and len(rt) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), "a long, b long")
+    right = right.toDF(*(c + "_r" for c in right.columns))
+
+    def compare(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+        if lt.empty or rt.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return _tile(lt, rt.rename(columns=lambda c: c.removesuffix("_r")), percent)
+
+    tiles = left.groupBy("h", "i", "j").cogroup(right.groupBy("h_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long")
     return pairs.union(tiles.distinct())
 
 
