@@ -12,11 +12,12 @@ and cost no row).  Candidates come in two steps:
    copies gives at most STAR * n pairs; the best pair of every row is verified
    and the verified links are contracted to components;
 2. lists: pairs within a rare-value list whose rows lie in different components
-   and have fitting sizes.  Lists of more than LIST rows are dealt out in blocks
-   and their sketches compared block against block, rows of the largest
-   component only against rows outside it.
+   and have fitting sizes.  Rows of lists longer than LIST are joined to clusters
+   and dealt out in blocks; the full sets of two blocks are compared by a matrix
+   product, rows outside a cluster's largest component against all, and a block
+   pair returns no more links than it joins components.
 
-All candidates pass the union-sketch estimate (EST, six standard deviations
+All other candidates pass the union-sketch estimate (EST, six standard deviations
 below 0.8) and are then decided on their full sets.  Links inside a component
 need no check, since they cannot change it.
 """
@@ -35,7 +36,7 @@ from riselens.session import checkpoint
 
 K = 48
 STAR = 8
-LIST = 32
+LIST = 8
 BLOCK = 512
 EST = 0.45
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -103,47 +104,79 @@ def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("nx") + F.col("ny") - F.col("i"))).select("a", "b")
 
 
-def _tile(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of two blocks of one list that overlap enough to be linked."""
-    a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-    na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-    sa, sb = left["sketch"].tolist(), right["sketch"].tolist()
-    shared = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
-
-    def incidence(sketches):
-        out = np.zeros((len(sketches), len(shared)), np.float32)
-        for i, s in enumerate(sketches):
-            at = np.searchsorted(shared, s)
-            at[at == len(shared)] = 0
-            out[i, at[shared[at] == s]] = 1
-        return out
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products over blocks of shared values."""
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
+    out = np.zeros((len(a), len(b)), np.float32)
 
-    overlap = incidence(sa) @ incidence(sb).T
-    size = np.maximum(np.array([len(s) for s in sa])[:, None], np.array([len(s) for s in sb])[None, :])
-    ok = (overlap >= np.ceil(EST * size)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-    ok &= (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])) & (a[:, None] != b[None, :])
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+    def places(sets):
+        value = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+        hit = shared[at] == value
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
 
+    if not len(shared):
+        return out
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for lo in range(0, len(shared), width):
+        parts = []
+        for n, r, c in ((len(a), ra, ca), (len(b), rb, cb)):
+            s, e = np.searchsorted(c, [lo, lo + width])
+            part = np.zeros((n, min(width, len(shared) - lo)), np.float32)
+            part[r[s:e], c[s:e] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
-def _list_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Cross-component candidate pairs (a < b) of inverted lists of any length."""
-    per = entries.groupBy("h", "comp").agg(F.count("*").alias("c"))
-    lists = per.groupBy("h").agg(F.sum("c").alias("rows"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"))
+
+def _tile(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the components of two blocks of one cluster: one for each pair that the others leave apart."""
+    a, b = left["members"].tolist(), right["members"].tolist()
+    common = _overlaps(a, b)
+    size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
+    ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
+    i, j = np.nonzero((100 * common >= percent * size) & (ca[:, None] != cb[None, :]))
+    once = np.unique(np.stack((ca[i], cb[j])), axis=1, return_index=True)[1] if len(i) else []
+    top: dict = {}
+
+    def root(x):
+        while x in top:
+            x = top[x]
+        return x
+
+    links = []
+    for k in once:
+        x, y = root(int(ca[i[k]])), root(int(cb[j[k]]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            links.append((int(left["rep"].iat[i[k]]), int(right["rep"].iat[j[k]])))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _list_pairs(entries: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs between components (a < b) of short lists, and verified links of the long ones."""
+    per = entries.groupBy("h", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"))
+    lists = per.groupBy("h").agg(F.sum("c").alias("rows"), F.max("c").alias("most"), F.min("pivot").alias("pivot"))
     entries = checkpoint(entries.join(lists.where("rows > most"), "h"))
     x, y = (entries.where(F.col("rows") <= LIST).select("h", *(F.col(c).alias(c + s) for c in ("rep", "n", "comp"))) for s in "12")
     pairs = x.join(y, "h").where(f"rep1 < rep2 and comp1 <> comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     pairs = pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
     hot = entries.where(F.col("rows") > LIST)
     if hot.isEmpty():
-        return pairs
-    blocks = {c: F.ceil(F.col(n) / BLOCK).cast("int") for c, n in (("of_all", "rows"), ("of_rest", "rest"))}
-    hot = hot.withColumn("rest", F.col("rows") - F.col("most")).withColumns(blocks).join(sets.select("rep", "sketch"), "rep")
-    every = F.explode(F.sequence(F.lit(0), F.col("of_all") - 1))
-    rest = F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1))
-    cols = ("h", "rep", "n", "comp", "sketch")
-    left = hot.where("comp <> main").select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_rest")).cast("int").alias("i"), every.alias("j"))
-    right = hot.select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_all")).cast("int").alias("j"), rest.alias("i"))
+        return pairs, None
+    cluster = connected_components(hot.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    rows = checkpoint(hot.select("rep", "comp").distinct().join(cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"))
+    per = rows.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    sizes = per.groupBy("cluster").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main"))
+    blocks = {"of_all": F.ceil(F.col("all") / BLOCK).cast("int"), "of_rest": F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int")}
+    sizes = sizes.where(F.col("all") > F.col("main.c")).withColumns(blocks).select("cluster", "of_all", "of_rest", F.col("main.comp").alias("main"))
+    rows = checkpoint(rows.join(sizes, "cluster").join(full, "rep"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("comp <> main").select("cluster", "rep", "comp", "members", block("of_rest").alias("i"), every("of_all").alias("j"))
+    right = rows.select("cluster", "rep", "comp", "members", every("of_rest").alias("i"), block("of_all").alias("j"))
     right = right.toDF(*(c + "_r" for c in right.columns))
 
     def compare(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
@@ -151,8 +184,8 @@ def _list_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         return _tile(lt, rt.rename(columns=lambda c: c.removesuffix("_r")), percent)
 
-    tiles = left.groupBy("h", "i", "j").cogroup(right.groupBy("h_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long")
-    return pairs.union(tiles.distinct())
+    tiles = left.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster_r", "i_r", "j_r"))
+    return pairs, checkpoint(tiles.applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, k: int = K) -> DataFrame:
@@ -191,10 +224,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, k: int =
     entries = shared.join(able.select("rep", "n", need.alias("need")).where("need > 0"), "rep")
     entries = entries.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("c", "h"))).where("r <= need")
     entries = entries.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    more = _estimate(_list_pairs(entries, able, percent), able, k).select("a", "b")
+    more, links = _list_pairs(entries, full.dropDuplicates(["rep"]), percent)
+    more = _estimate(more, able, k).select("a", "b")
     apart = star.select("a", "b").join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     late = _verify(more.union(apart).distinct(), full, percent)
+    late = late if links is None else late.union(links)
 
     of_row = sk.join(sets.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     of_row = of_row.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
