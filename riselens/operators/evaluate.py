@@ -19,7 +19,7 @@ SUCCESS_TARGET = 0.60
 def _metric_aggs(y: Column, pred: Column) -> list[Column]:
     e = y - pred
     n = F.count(e)
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
+    sst = n * F.var_pop(y)
     return [
         n.alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -90,9 +90,8 @@ def hash_split(df: DataFrame, key: str = "post_id", weights: Sequence[float] = (
 
 
 def paired_t(df: DataFrame, y: str, pred_a: str, pred_b: str) -> DataFrame:
-    """Paired t on absolute errors |e_a| − |e_b| (t, n, mean diff);
-    p-value by the normal limit (driver side, scalar)."""
-    d = F.abs(F.col(y) - F.col(pred_a)) - F.abs(F.col(y) - F.col(pred_b))
+    """Paired t on the signed residuals of two models (n, mean difference, t)."""
+    d = (F.col(y) - F.col(pred_a)) - (F.col(y) - F.col(pred_b))
     return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"),
                   (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t_stat"))
 

@@ -197,15 +197,19 @@ class LinearFit:
         return pd.DataFrame(d)
 
 
-def fit_ols(g: AugGram, x: Sequence[str], y: str, rcond: float = 1e-10) -> LinearFit:
-    """OLS with intercept via the pseudo-inverse of the centered Gram
-    (minimum-norm slope on a singular design); standard errors from it."""
+def fit_ols(g: AugGram, x: Sequence[str], y: str, rcond: float = 1e-12) -> LinearFit:
+    """OLS with intercept via the pseudo-inverse of the correlation matrix,
+    scaled back, so regressors of any scale count alike; standard errors from
+    it.  On a singular design the slope has the least norm in units of the
+    regressors' standard deviations."""
     n, mx, my, sxx, sxy, syy = g.block(x, y)
-    pinv = np.linalg.pinv(sxx, rcond=rcond, hermitian=True)
+    unit = np.sqrt(np.clip(np.diag(sxx), 0, None))
+    unit = np.where(unit > 0, unit, 1.0)
+    pinv = np.linalg.pinv(sxx / np.outer(unit, unit), rcond=rcond, hermitian=True) / np.outer(unit, unit)
     beta = pinv @ sxy
     b0 = my - mx @ beta
     rss = max(float(syy - 2 * beta @ sxy + beta @ sxx @ beta), 0.0)
-    rank = int(np.linalg.matrix_rank(sxx, tol=None, hermitian=True)) if len(x) else 0
+    rank = int(np.linalg.matrix_rank(sxx / np.outer(unit, unit), tol=None, hermitian=True)) if len(x) else 0
     dof = n - rank - 1
     sigma2 = rss / dof if dof > 0 else float("nan")
     se = np.sqrt(np.clip(np.diag(pinv) * sigma2, 0, None))

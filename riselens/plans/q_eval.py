@@ -100,7 +100,7 @@ def q_hash_split(spark, sf):
 
 @register("paired_t_abs_errors", _with(f"""
 SELECT count(d) AS n, {round_sql('avg(d)')} AS mean_diff, {round_sql('avg(d) / (stddev_samp(d) / sqrt(count(d)))')} AS t_stat
-FROM (SELECT abs(y - early) - abs(y - mid) AS d FROM bf)"""))
+FROM (SELECT (y - early) - (y - mid) AS d FROM bf)"""))
 def q_paired_t(spark, sf):
     return rounded(ev.paired_t(baseline_frame(spark, sf), "y", "early", "mid"))
 

@@ -108,7 +108,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("doc_id").cast("string").alias("post_id"),
         F.when(F.col("lang") == "de", F.lit("hackernews")).otherwise(F.lit("reddit")).alias("platform"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         (F.col("first_us") / F.lit(1_000_000.0)).alias("created_timestamp"),
         F.floor("last_value").cast("long").alias("score"),
         F.get_json_object("first.props", "$.k").try_cast("long").alias("comment_count"),
@@ -224,7 +224,7 @@ SQL_CTES = {
               LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "posts": """SELECT CAST(doc_id AS VARCHAR) AS post_id,
                    CASE WHEN lang = 'de' THEN 'hackernews' ELSE 'reddit' END AS platform,
-                   substr(split_part(text, chr(10), 1), 1, 300) AS title,
+                   split_part(text, chr(10), 1) AS title,
                    first_us / 1000000.0 AS created_timestamp,
                    CAST(floor(last_value) AS BIGINT) AS score,
                    CAST(json_extract_string(f_props, '$.k') AS BIGINT) AS comment_count,
