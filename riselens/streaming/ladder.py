@@ -12,8 +12,10 @@ snapshot_time, score, upvote_ratio, num_comments) with event time
   earlier observation can arrive after that (it would be late) — so the
   output does not depend on arrival order within the watermark delay and
   equals ``ladder_batch``.  One late observation may satisfy several
-  intervals (studied behaviour, kept).  State is removed when every interval
-  is emitted or its window has closed (event-time timer, D10).
+  intervals (studied behaviour, kept).  A finished post stays in the state
+  until the watermark has passed its prune horizon, created + (last interval +
+  grace) (event-time timer, D10): later observations of it are recognised until
+  then, and rows beyond the horizon are ignored, so no ladder starts twice.
 * ST4: rows older than the watermark are ignored by the state function.
 * ST5/ST6: triggers (``availableNow`` / processing time) and restart from the
   checkpoint location are plain ``writeStream`` options.
@@ -72,11 +74,17 @@ def _state_schema(slots: int) -> T.StructType:
     return T.StructType(fields)
 
 
+def _horizon(intervals: Sequence[int], grace: float) -> float:
+    """Age in minutes beyond which a post is no longer followed."""
+    return max(intervals, default=0) + grace
+
+
 def _ladder_fn(intervals: Sequence[int], tolerance: float, grace: float):
     slots = [0, *intervals]
+    horizon = _horizon(intervals, grace)
 
     def window(m: int) -> tuple[float, float]:
-        return (-np.inf, np.inf) if m == 0 else (m - tolerance, m + grace)
+        return (-np.inf, horizon) if m == 0 else (m - tolerance, m + grace)
 
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (post_id,) = key
@@ -87,6 +95,8 @@ def _ladder_fn(intervals: Sequence[int], tolerance: float, grace: float):
             st = [None, None] + [None, None, None, None, False] * len(slots)
         for pdf in pdfs:
             pdf = pdf[pdf["snapshot_time"] >= wm] if wm > 0 else pdf      # ST4: late rows ignored
+            # beyond the prune horizon (of a post's constant created time) nothing is due, nor a new post begun
+            pdf = pdf[pdf["snapshot_time"] - pdf["created_timestamp"] <= horizon * 60.0]
             if pdf.empty:
                 continue
             if st[1] is None:
@@ -121,7 +131,7 @@ def _ladder_fn(intervals: Sequence[int], tolerance: float, grace: float):
             if st[base + 4]:
                 continue
             cand_t = st[base]
-            close = st[1] + (window(m)[1] * 60.0 if m else 0.0)
+            close = st[1] + window(m)[1] * 60.0
             if cand_t is not None and cand_t <= wm:
                 age = max((cand_t - st[1]) / 60.0, 0.0) if m == 0 else (cand_t - st[1]) / 60.0
                 out.append((post_id, st[0], m, cand_t, age, st[base + 1], st[base + 2], st[base + 3]))
@@ -130,11 +140,12 @@ def _ladder_fn(intervals: Sequence[int], tolerance: float, grace: float):
                 st[base + 4] = True                                  # window closed without a snapshot
             else:
                 pending_times.append(cand_t if cand_t is not None else close)
-        if all(st[2 + 5 * i + 4] for i in range(len(slots))):
+        forget = st[1] + horizon * 60.0
+        if not pending_times and forget < wm:
             state.remove()
         else:
             state.update(tuple(st))
-            state.setTimeoutTimestamp(int(min(pending_times) * 1000) + 1)
+            state.setTimeoutTimestamp(int(min(pending_times, default=forget) * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
 
@@ -154,13 +165,15 @@ def ladder_stream(obs: DataFrame, intervals: Sequence[int] = DEFAULT_INTERVALS,
 def ladder_batch(obs: DataFrame, intervals: Sequence[int] = DEFAULT_INTERVALS, tolerance: float = TOLERANCE_MINUTES,
                  grace: float = GRACE_MINUTES) -> DataFrame:
     """The same rows from a static table: per post and interval the earliest
-    observation in the interval's age window (interval 0: the earliest)."""
+    observation in the interval's age window (interval 0: the earliest within
+    the prune horizon)."""
     created = obs.groupBy("post_id").agg(F.min("created_timestamp").alias("_created"))   # partial aggregate
     o = obs.join(created, "post_id").withColumn("_age", (F.col("snapshot_time") - F.col("_created")) / 60.0)
     row = F.struct("snapshot_time", "_age", "score", "upvote_ratio", "num_comments")
-    aggs = [F.min_by(row, F.col("snapshot_time")).alias("r0")]
-    for m in intervals:
-        cond = (F.col("_age") >= m - tolerance) & (F.col("_age") <= m + grace)
+    aggs = []
+    for m in [0, *intervals]:
+        until = m + grace if m else _horizon(intervals, grace)
+        cond = ((F.col("_age") >= m - tolerance) | F.lit(m == 0)) & (F.col("_age") <= until)
         aggs.append(F.min_by(F.when(cond, row), F.when(cond, F.col("snapshot_time"))).alias(f"r{m}"))
     g = o.groupBy("post_id").agg(F.first("subreddit").alias("subreddit"), *aggs)
     items = F.array(*[F.struct(F.lit(m).alias("interval_minutes"), F.col(f"r{m}").alias("r")) for m in [0, *intervals]])

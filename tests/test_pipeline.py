@@ -80,6 +80,35 @@ def test_stream_equals_batch(spark):
     assert spark.read.parquet(f"{root}/out").count() == got.count()
 
 
+def test_finished_posts_start_no_second_ladder(spark):
+    """A post seen again after its last interval, also after a restart, and one first seen beyond the prune horizon."""
+    from riselens.streaming import ladder as L
+    root = tempfile.mkdtemp(prefix="riselens-stream-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+    def slice_of(i, rows):
+        obs = [(post, "c", 1e6, 1e6 + 60.0 * age, float(age), None, None) for post, age in rows]
+        spark.createDataFrame(obs, L.OBS_SCHEMA).coalesce(1).write.parquet(f"{root}/input/slice={i:04d}")
+
+    def run():
+        src = spark.readStream.schema(L.OBS_SCHEMA).option("maxFilesPerTrigger", 1).option(
+            "recursiveFileLookup", "true").parquet(f"{root}/input")
+        L.start(L.ladder_stream(src), f"{root}/out", f"{root}/ck").awaitTermination()
+
+    first = [[("a", 0)], [("a", 61)], [("clock", 120)], [("a", 125), ("b", 130)], [("a", 170), ("clock", 175)]]
+    later = [[("clock", 260)], [("a", 265), ("old", 270)], [("clock", 400)], [("a", 410)], [("end", 900)]]
+    for i, rows in enumerate(first):
+        slice_of(i, rows)
+    run()
+    for i, rows in enumerate(later, len(first)):
+        slice_of(i, rows)
+    run()
+    got = spark.read.parquet(f"{root}/out")
+    assert sorted(tuple(r) for r in got.where("post_id = 'a'").select("interval_minutes", "post_age_minutes").collect()) == [
+        (0, 0.0), (5, 61.0), (15, 61.0), (30, 61.0), (60, 61.0)]
+    batch = L.ladder_batch(spark.read.schema(L.OBS_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{root}/input"))
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
 def test_prefix_sum_split_equals_direct_refit(spark):
     from riselens.plans import diagnostics as D
     from riselens.plans import stage as S
