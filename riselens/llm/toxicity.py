@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riselens.llm.common import clean_docs
-from riselens.llm.textbuf import Words, batches
+from riselens.llm.textbuf import Words, batches, distinct
 
 BITS = 18
 PER_CLASS = 2000
@@ -64,7 +64,7 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
     size = 1 << BITS
     seen = np.zeros(size, np.int32)
     for feature, _ in bags:
-        seen[np.unique(feature)] += 1
+        seen[distinct(feature)] += 1
     use = seen >= min_docs
     feature, sentence, doc, count = [], [], [], 0
     for d, (f, s) in enumerate(bags):
@@ -76,8 +76,11 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
         n = int(ranks.max()) + 1 if len(s) else 1
         doc.append(np.full(n, d))
         count += n
-    feature, sentence, doc = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (feature, sentence, doc))
-    ids, feature = np.unique(feature, return_inverse=True)
+    # one array after the other, each list freed before the next: the driver's memory is bounded by the sample
+    ids = np.flatnonzero(use)
+    feature = (np.cumsum(use) - 1)[np.concatenate(feature)] if feature else np.zeros(0, np.int64)
+    sentence = np.concatenate(sentence).astype(np.int64, copy=False) if sentence else np.zeros(0, np.int64)
+    doc = np.concatenate(doc).astype(np.int64, copy=False) if doc else np.zeros(0, np.int64)
     w, b, n = np.zeros(len(ids)), -6.0, len(bags)
     m, v, total = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), weight.sum()
     for t in range(1, steps + 1):
@@ -116,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return Model(np.zeros(1 << BITS), -6.0)
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     rows, y = rows.iloc[order], y[order]
-    bags = [(np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(s, "<i4").astype(np.int64)) for f, s in zip(rows["feature"], rows["sentence"])]
+    bags = [(np.frombuffer(f, "<i4"), np.frombuffer(s, "<i4")) for f, s in zip(rows["feature"], rows["sentence"])]
     share = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     return fit_noisy_or(bags, y, share)
 
