@@ -94,4 +94,5 @@ def checkpoint(df):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: no job reads it from the files again
+    return spark.read.schema(df.schema).parquet(path)
