@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ BITS = 18
 PER_CLASS = 2000
 FOLDS = 5
 PREFIXES = (4, 5, 6)
+SLICE = 1 << 20
 
 
 class Model(NamedTuple):
@@ -60,37 +62,42 @@ def _collect_features(frames):
 
 
 def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.1, min_docs: int = 3, l1: float = 5e-5) -> Model:
-    """bags: per document the features of its words and the sentence of each."""
-    size = 1 << BITS
+    """bags: per document the features of its words and the sentence of each; the list is emptied, so that its memory is free during the fit."""
+    size, n = 1 << BITS, len(bags)
     seen = np.zeros(size, np.int32)
     for feature, _ in bags:
         seen[distinct(feature)] += 1
     use = seen >= min_docs
-    feature, sentence, doc, count = [], [], [], 0
+    ids, column = np.flatnonzero(use), (np.cumsum(use) - 1).astype(np.int32)
+    total = sum(int(np.count_nonzero(use[f])) for f, _ in bags)
+    feature, sentence = np.empty(total, np.int32), np.empty(total, np.int32)
+    per_doc, at, count = np.empty(n, np.int64), 0, 0
     for d, (f, s) in enumerate(bags):
         # a sentence without a known word scores by the bias alone, and still counts
         ranks = np.unique(s, return_inverse=True)[1] if len(s) else s
         known = use[f]
-        feature.append(f[known])
-        sentence.append(ranks[known] + count)
-        n = int(ranks.max()) + 1 if len(s) else 1
-        doc.append(np.full(n, d))
-        count += n
-    # one array after the other, each list freed before the next: the driver's memory is bounded by the sample
-    ids = np.flatnonzero(use)
-    feature = (np.cumsum(use) - 1)[np.concatenate(feature)] if feature else np.zeros(0, np.int64)
-    sentence = np.concatenate(sentence).astype(np.int64, copy=False) if sentence else np.zeros(0, np.int64)
-    doc = np.concatenate(doc).astype(np.int64, copy=False) if doc else np.zeros(0, np.int64)
-    w, b, n = np.zeros(len(ids)), -6.0, len(bags)
-    m, v, total = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), weight.sum()
+        end = at + int(np.count_nonzero(known))
+        feature[at:end], sentence[at:end] = column[f[known]], ranks[known] + count
+        per_doc[d] = int(ranks.max()) + 1 if len(s) else 1
+        at, count = end, count + int(per_doc[d])
+    bags.clear()
+    doc = np.repeat(np.arange(n), per_doc)
+    # sums go over the sample in slices: no step makes another array of its length
+    parts = [(feature[k : k + SLICE], sentence[k : k + SLICE]) for k in range(0, total, SLICE)]
+    w, b = np.zeros(len(ids)), -6.0
+    m, v, mass = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), weight.sum()
     for t in range(1, steps + 1):
-        z = np.clip(b + np.bincount(sentence, w[feature], count), -30, 30)
-        p = 1 / (1 + np.exp(-z))
+        z = np.full(count, b)
+        for f, s in parts:
+            low = s.min()
+            sums = np.bincount(s - low, w[f])
+            z[low : low + len(sums)] += sums
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
         # derivative of the document's log likelihood by each sentence's z
-        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0) * weight / total
+        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0) * weight / mass
         dz = np.minimum(p, 1 - 1e-12) * pull[doc]
-        g = np.append(np.bincount(feature, dz[sentence], len(ids)), dz.sum())
+        g = np.append(sum((np.bincount(f, dz[s], len(ids)) for f, s in parts), np.zeros(len(ids))), dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         scale = rate * (1.05 - t / steps) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         shrink = l1 * scale[:-1]
@@ -102,6 +109,13 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
     return Model(out, float(b))
 
 
+def _bags(rows: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Bags and labels in the order of doc_id; the arrays are views of the table's own buffers."""
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    feature, sentence = ([np.frombuffer(x.as_buffer(), "<i4") for x in rows[c]] for c in ("feature", "sentence"))
+    return [(feature[k], sentence[k]) for k in order], rows["toxic"].to_numpy()[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fits on at most ``per_class`` rows of each label outside the held-out fold.
 
@@ -113,13 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     rank = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == c).orderBy(rank, "doc_id").limit(per_class) for c in (0, 1)]
     picked = picked[0].union(picked[1])
-    rows = clean_docs(docs).join(F.broadcast(picked), "doc_id").mapInPandas(_collect_features, "doc_id long, toxic int, feature binary, sentence binary").toPandas()
-    y = rows["toxic"].to_numpy()
+    rows = clean_docs(docs).join(F.broadcast(picked), "doc_id").mapInPandas(_collect_features, "doc_id long, toxic int, feature binary, sentence binary")
+    bags, y = _bags(rows.toArrow())
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), -6.0)
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    rows, y = rows.iloc[order], y[order]
-    bags = [(np.frombuffer(f, "<i4"), np.frombuffer(s, "<i4")) for f, s in zip(rows["feature"], rows["sentence"])]
     share = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     return fit_noisy_or(bags, y, share)
 
