@@ -26,6 +26,8 @@ DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # Rows hold whole texts: what a Python worker gets at once is bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
