@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 WINDOW = 4096
 STRETCH = 1 << 19
 END_ID = 2
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 #: The pre-token pattern of the vocabulary file, and the characters
 #: (printable ASCII, precomposed Latin letters) on which its NFC step does nothing.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -196,7 +196,7 @@ def _pack(path: str, window: int, sentence: int, hard: int):
             fragments, held = left, sum(len(x[2]) for x in left)
             return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
 
-        for pdf in batches(frames, 2_000_000):
+        for pdf in batches(frames):
             for doc_id, ids in zip(pdf["doc_id"].astype("Int64"), tokens.encode(pdf["text"].tolist())):
                 ids = np.append(ids, np.int32(END_ID))
                 fragments.append((doc_id, 0, ids, len(ids)))

@@ -84,7 +84,7 @@ class Words:
         return self.buf[self.start[i]:self.end[i]].tobytes()
 
 
-def batches(frames, limit: int = 2_500_000):
+def batches(frames, limit: int = 1_000_000):
     """Re-cuts Arrow batches so that one buffer stays small; one text alone may exceed the limit."""
     for pdf in frames:
         size, first = 0, 0
