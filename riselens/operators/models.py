@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -23,20 +23,27 @@ from pyspark.sql import functions as F
 from riselens.operators.order import global_rank
 
 
-def mode_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def modes(df: DataFrame, cols: Sequence[str]) -> dict:
     """Most-frequent value per categorical column (ties by value), one aggregate each."""
     fills = {}
     for c in cols:
         top = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.col("count").desc(), F.col(c)).first()
         if top is not None:
             fills[c] = top[c]
-    return df.na.fill(fills) if fills else df
+    return fills
 
 
-def tabular_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
-    """Median-impute + standardise numerics; one-hot categoricals with
-    unknown levels mapped to all zeros (index 'keep' + drop of that last slot)."""
-    stages = []
+def fill_stage(fills: dict) -> SQLTransformer:
+    """``c__fill`` per column: nulls replaced by the value fitted on the training rows."""
+    quoted = {c: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for c, v in fills.items()}
+    return SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(`{c}`, {v}) AS `{c}__fill`" for c, v in quoted.items()) + " FROM __THIS__")
+
+
+def tabular_pipeline(numeric: Sequence[str], categorical: Sequence[str], fills: dict, out: str = "features") -> Pipeline:
+    """Median-impute + standardise numerics; mode-fill (``fills``) and
+    one-hot categoricals with unknown levels mapped to all zeros (index 'keep' +
+    drop of that last slot)."""
+    stages = [fill_stage(fills)] if fills else []
     num_imp = [f"{c}__imp" for c in numeric]
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=num_imp))
@@ -44,7 +51,7 @@ def tabular_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: st
         stages.append(StandardScaler(inputCol="_num_raw", outputCol="_num", withMean=True, withStd=True))
     cat_vec = []
     for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(StringIndexer(inputCol=f"{c}__fill" if c in fills else c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", dropLast=True))
         cat_vec.append(f"{c}__ohe")
     stages.append(VectorAssembler(inputCols=(["_num"] if numeric else []) + cat_vec, outputCol=out))
@@ -65,9 +72,9 @@ def regressor(kind: str, label: str = "label", features: str = "features", seed:
 def fit_trees(train: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str], label: str,
               **params):
     """Preprocessing pipeline + regressor, fitted on ``train``."""
-    pipe = tabular_pipeline(numeric, categorical)
+    pipe = tabular_pipeline(numeric, categorical, modes(train, categorical))
     est = regressor(kind, label=label, **params)
-    return Pipeline(stages=[pipe, est]).fit(mode_fill(train, categorical))
+    return Pipeline(stages=[pipe, est]).fit(train)
 
 
 def boosted_residual_model(train: DataFrame, features: Sequence[str], label: str, valid_col: str,
@@ -82,12 +89,12 @@ def boosted_residual_model(train: DataFrame, features: Sequence[str], label: str
 
 
 def evaluate(model, df: DataFrame, label: str, pred: str = "prediction") -> dict:
-    out = model.transform(df)
-    agg = out.agg(F.sqrt(F.avg((F.col(label) - F.col(pred)) ** 2)).alias("rmse"),
-                  F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"),
-                  F.count(F.lit(1)).alias("n")).collect()[0]
-    r2 = RegressionEvaluator(labelCol=label, predictionCol=pred, metricName="r2").evaluate(out)
-    return {"rmse": agg["rmse"], "mae": agg["mae"], "r2": r2, "n": agg["n"]}
+    """rmse, mae, r2 and n in one pass; r2 is null where the label does not vary."""
+    mse, spread = F.avg((F.col(label) - F.col(pred)) ** 2), F.var_pop(label)
+    agg = model.transform(df).agg(
+        F.sqrt(mse).alias("rmse"), F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"),
+        F.when(spread > 0, 1 - mse / spread).alias("r2"), F.count(F.lit(1)).alias("n")).first()
+    return agg.asDict()
 
 
 def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, repeats: int = 15,
@@ -130,7 +137,7 @@ def grid_search(train: DataFrame, kind: str, features: Sequence[str], label: str
     for name, values in grid.items():
         pb = pb.addGrid(est.getParam(name), list(values))
     maps = pb.build()
-    fold = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % folds).cast("int")
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
     data = asm.transform(train).withColumn("_fold", fold)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=2,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), seed=seed)

@@ -190,7 +190,7 @@ def concordance_counts(
         # Many small blocks per pandas call: blocks are packed into hash buckets
         # (a bucket holds about ``max_group`` points on average).
         n_buckets = max(1, int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")) * 4)
-        bucket = F.abs(F.xxhash64("rk", "g")) % F.lit(n_buckets)
+        bucket = F.pmod(F.xxhash64("rk", "g"), F.lit(n_buckets))
         parts.append(small_pts.withColumn("_b", bucket).groupBy("_b").applyInPandas(
             lambda pdf: _count_bucket(pdf), _COUNT_SCHEMA))
         if last:
@@ -282,7 +282,7 @@ def pairwise_signs(df: DataFrame, block_cols: Sequence[str], actual: str, preds:
     n_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")) * 4)
     res = capped.select(key.alias("bk"), F.col(actual).cast("double").alias("a"),
                         *[F.col(m).cast("double").alias(m) for m in models]).withColumn(
-        "_b", F.abs(F.xxhash64("bk")) % F.lit(n_buckets)).groupBy("_b").applyInPandas(
+        "_b", F.pmod(F.xxhash64("bk"), F.lit(n_buckets))).groupBy("_b").applyInPandas(
         count, "bk string, model string, correct long, pairs long")
     schema = T.StructType([f for f in df.schema.fields if f.name in block_cols])
     res = res.filter(F.col("pairs") > 0)

@@ -371,7 +371,7 @@ def cap_per_group(df: DataFrame, keys: Sequence[str], n: int = 30, seed: int = 4
     from riselens.operators.joins import attach_small
     d = attach_small(df, sizes, keys, "left")
     subs = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(target)))
-    salted = d.withColumn("_h", h).withColumn("_salt", F.abs(F.xxhash64(F.col(id_col), F.lit(seed))) % subs)
+    salted = d.withColumn("_h", h).withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), subs))
     w1 = Window.partitionBy(*keys, "_salt").orderBy("_h", id_col)
     pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
     w2 = Window.partitionBy(*keys).orderBy("_h", id_col)
