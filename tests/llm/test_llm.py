@@ -259,6 +259,18 @@ def test_leaks_whole_and_reworded(spark):
     assert {(r.doc_id, r.item_id) for r in out} == {(100, 0), (101, 1), (102, 12)}
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Items planted word for word are found whatever the number of items, or the latent space."""
+    rng = random.Random(14)
+    items = [(i, prose(rng, rng.randint(14, 48))) for i in range(1500)]
+    rows = [(i, prose(rng, rng.randint(0, 60)) + " " + items[i][1] + " " + prose(rng, rng.randint(0, 60))) for i in range(0, 1500, 2)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.find_leaks(frame(spark, rows), benchmark).collect()
+    assert {(i, i) for i, _ in rows} <= {(r.doc_id, r.item_id) for r in out}
+    few = decontamination.find_leaks(frame(spark, rows[:50]), spark.createDataFrame([*items[:50], (9000, "w1"), (9001, "w2 w3")], "item_id long, text string"), rank=2, cosine=0.9).collect()
+    assert {(i, i) for i, _ in rows[:25]} <= {(r.doc_id, r.item_id) for r in few}
+
+
 def test_lcs_equals_plain_table():
     rng = random.Random(11)
     for _ in range(50):
