@@ -1,12 +1,14 @@
-"""Repeated passages by content-defined chunks.
-
-A gear rolling hash over the last 16 bytes sets chunk borders where its top bits
-are zero, so an insertion moves only the borders near it.  Chunks are grouped by
-a 128-bit digest; all but the first occurrence (by doc_id, then place) are
-repeats.  Neighbouring repeats of a document make a run, and runs of at least
-MIN_WORDS words are reported as repeated passages.  A run lacks less than one
-chunk and one window at either end of the passage, so passages of over 50 words
-have far longer runs, and a shared line of a dozen words has none.
+"""Repeated passages by winnowed runs of words.
+
+Every run of MIN_WORDS words has a rolling hash.  Of each WINDOW neighbouring runs
+of a text the one with the smallest hash is kept, so any passage of at least
+MIN_WORDS + WINDOW - 1 (35) words that stands in two places has a kept run in
+both: which one depends on the passage's own words alone.  Kept runs are grouped
+by a 128-bit digest of their bytes; all but the first occurrence (by doc_id, then
+place) are repeats.  Overlapping repeats of a document make a passage, which has
+MIN_WORDS words at least by construction; it lacks less than WINDOW words at
+either end.  Shorter repeats, from MIN_WORDS words on, are found by chance, and a
+shared line of a dozen words never.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riselens.llm.common import clean_docs
-from riselens.llm.textbuf import _SPACE, batches
+from riselens.llm.textbuf import Words, batches, mix
 from riselens.session import checkpoint
 
-BORDER_BITS = 5
-MIN_CHUNK = 16
-MAX_CHUNK = 256
+WINDOW = 16
 MIN_WORDS = 20
+_MUL = np.uint64(0xD6E8FEB86659FD93)
 _GEAR = np.random.Generator(np.random.PCG64(32)).integers(0, 2**16, 256, dtype=np.uint16)
-SCHEMA = "doc_id long, start int, size int, words int, d1 long, d2 long"
+SCHEMA = "doc_id long, start int, size int, word int, d1 long, d2 long"
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -38,50 +39,58 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-def borders(buf: np.ndarray) -> list[int]:
-    """Ends of the chunks of one text."""
-    n = len(buf)
-    marks = np.flatnonzero(gear(buf) >> np.uint16(16 - BORDER_BITS) == 0) + 1
-    out, last = [], 0
-    for m in marks.tolist():
-        while m - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            out.append(last)
-        if m - last >= MIN_CHUNK:
-            out.append(m)
-            last = m
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        out.append(last)
-    if n > last:
-        out.append(n)
-    return out
-
-
-def _chunks(frames):
-    for pdf in batches(frames):
-        ids, starts, sizes, words, digests = [], [], [], [], []
-        for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-            raw = text.encode("utf-8", "replace")
-            if not raw:
+def winnow(words: Words, size: int) -> np.ndarray:
+    """First words of the kept runs of ``size`` words."""
+    width = min(WINDOW, size)
+    n = len(words.hash)
+    if n < size:
+        return np.zeros(0, np.int64)
+    value = np.full(n + width, np.uint64(2**64 - 1))
+    rolled = words.hash
+    for k in range(1, size):
+        rolled = rolled[: max(0, n - k)] * _MUL + words.hash[k:]
+    count = np.maximum(np.diff(words.bounds) - size + 1, 0)[words.doc]
+    place = np.arange(n) - words.bounds[:-1][words.doc]
+    # runs stay inside a text; the size - 1 words that begin none keep windows of two texts apart
+    fits = np.flatnonzero(place < count)
+    value[fits] = mix(rolled)[fits] >> np.uint64(1)
+    least = value[:n].copy()
+    for k in range(1, width):
+        np.minimum(least, value[k : n + k], out=least)
+    # windows end with the text; a text of fewer runs has one window
+    least[~((place + width <= count) | (place == 0))] = 0
+    most = least.copy()
+    for k in range(1, width):
+        np.maximum(most[k:], least[: n - k], out=most[k:])
+    kept = fits[value[fits] == most[fits]]
+    # a text that repeats itself has its smallest hash at even gaps: one for each window is enough
+    if len(kept) < 3:
+        return kept
+    gap = np.diff(kept)
+    even = (value[kept[1:]] == value[kept[:-1]]) & (gap < width) & (words.doc[kept[1:]] == words.doc[kept[:-1]])
+    same = even[1:] & even[:-1] & (gap[1:] == gap[:-1])
+    middle = np.concatenate(([False], same, [False]))
+    at = np.arange(len(kept))
+    since = at - np.maximum.accumulate(np.where(middle, 0, at))
+    step = np.concatenate(([1], np.maximum(width // gap, 1)))
+    return kept[~middle | (since % step == 0)]
+
+
+def _runs(size: int):
+    def run(frames):
+        for pdf in batches(frames):
+            words = Words(pdf["text"].tolist())
+            with np.errstate(over="ignore"):
+                kept = winnow(words, size)
+            if not len(kept):
                 continue
-            buf = np.frombuffer(raw, np.uint8)
-            ends = borders(buf)
-            inside = ~_SPACE[buf]
-            begun = np.concatenate(([0], np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))))
-            e = np.array(ends)
-            s = np.concatenate(([0], e[:-1]))
-            ids.append(np.full(len(e), doc_id))
-            starts.append(s)
-            sizes.append(e - s)
-            words.append(begun[e] - begun[s])
-            a = 0
-            for b in ends:
-                digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
-                a = b
-        if ids:
-            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": np.concatenate(ids), "start": np.concatenate(starts), "size": np.concatenate(sizes), "words": np.concatenate(words), "d1": d[:, 0], "d2": d[:, 1]})
+            s, e, doc = words.start[kept], words.end[kept + size - 1], words.doc[kept]
+            begin = np.concatenate(([0], words.text_end))[doc]
+            raw = words.raw
+            d = np.frombuffer(b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(s.tolist(), e.tolist())), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "start": s - begin, "size": e - s, "word": kept - words.bounds[doc], "d1": d[:, 0], "d2": d[:, 1]})
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -95,19 +104,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are ignored; an empty table gives an empty one.
     """
     rows = clean_docs(docs).where("doc_id is not null")
-    chunks = checkpoint(rows.mapInPandas(_chunks, SCHEMA))
-    found = chunks.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("f")).where("c > 1")
+    kept = checkpoint(rows.mapInPandas(_runs(min_words), SCHEMA))
+    found = kept.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("f")).where("c > 1")
     found = found.select("d1", "d2", F.col("f.doc_id").alias("fd"), F.col("f.start").alias("fs"))
-    again = chunks.join(found, ["d1", "d2"]).where("doc_id <> fd or start <> fs")
-    again = again.select("doc_id", "start", "size", "words", "fd", "fs")
+    again = kept.join(found, ["d1", "d2"]).where("doc_id <> fd or start <> fs")
+    again = again.select("doc_id", "start", "size", "word", "fd", "fs")
     w = Window.partitionBy("doc_id").orderBy("start", "size")
     end = F.col("start") + F.col("size")
     runs = again.withColumn("end", end).withColumn("gap", (F.col("start") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     runs = runs.withColumn("run", F.sum("gap").over(w))
     out = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("size"), F.sum("words").alias("words"),
+        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("size"), (F.max("word") - F.min("word") + min_words).alias("words"),
         F.min(F.struct("start", "fd")).alias("f"), F.max(F.col("fd") != F.col("doc_id")).alias("across"))
-    return out.where(F.col("words") >= min_words).select("doc_id", "start", "size", "words", F.col("f.fd").alias("first_doc_id"), "across")
+    return out.select("doc_id", "start", "size", "words", F.col("f.fd").alias("first_doc_id"), "across")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

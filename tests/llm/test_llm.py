@@ -184,6 +184,21 @@ def test_repeated_passage_survives_a_shift(spark):
         assert cut in passage
 
 
+def test_every_repeat_of_35_words_is_found(spark):
+    rng = random.Random(15)
+    passages = [prose(rng, n) for n in [35, 51, 55] * 200] + ["word " * 50 + "word", "x y " * 30 + "z"]
+    rows = []
+    for passage in passages:
+        rows += [(len(rows) + k, f"{prose(rng, rng.randint(0, 40))} {passage} {prose(rng, rng.randint(0, 40))}") for k in range(2)]
+    out = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    found = {r.doc_id for r in out if r.across}
+    assert {2 * k + 1 for k in range(len(passages))} == found
+    text = dict(rows)
+    for r in out:
+        cut = text[r.doc_id].encode()[r.start : r.start + r["size"]].decode()
+        assert cut in text[r.first_doc_id] and len(cut.split()) == r.words >= 20 and (r.doc_id > 1199 or cut in passages[r.doc_id // 2])
+
+
 def test_gear_equals_plain_recurrence():
     buf = np.frombuffer(bytes(random.Random(8).randbytes(200)), np.uint8)
     h, out = 0, []
