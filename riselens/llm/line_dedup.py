@@ -7,18 +7,23 @@ length take a shingle of SHORT characters at every character instead.  The
 KEEP smallest hashes are the signature; each two neighbours among them make a
 band key, and lines with Jaccard 0.8 share one with a probability of 0.995.
 Lists of at most LIST lines give all their pairs, longer ones a star around a
-pseudo-random line.  Pairs are verified on whole sets, and connected components
-by star contraction keep their first line.
+pseudo-random line.  Pairs are verified on whole sets and contracted to components;
+then the lines of each long list outside its largest component are compared with
+all of the list, in blocks dealt to tasks.  Connected components by star
+contraction keep their first line.
 
 A line is identified by a 64-bit hash; equal lines collapse before anything else.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riselens.llm.components import connected_components
+from riselens.llm.minhash_dedup import BLOCK, _tile
 from riselens.session import checkpoint
 
 Q, SHORT, KEEP, LIST, PERCENT = 9, 5, 8, 16, 80
@@ -45,7 +50,8 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _pairs(reps: DataFrame) -> DataFrame:
+def _pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b), and the entries (key, id) of long lists."""
     n = F.size("sketch")
     keys = F.when(n < 2, F.array(F.xxhash64("sketch"))).otherwise(
         F.zip_with(F.slice("sketch", F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice("sketch", F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
@@ -58,21 +64,51 @@ def _pairs(reps: DataFrame) -> DataFrame:
     other = small.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"))
     full = small.join(other, "key").where("id < pivot").where(fits).select("id", "pivot")
     both = star.union(full)
-    return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), shared.where(F.col("c") > LIST).select("key", "id")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = ends.join(reps.select("id", "first.doc_id", "first.line_no"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
+def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole sets (id, s) of the named lines."""
+    places = ids.join(reps.select("id", "first.doc_id", "first.line_no"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
     texts = docs.select("doc_id", "text").where("text is not null").join(places, "doc_id")
     lines = texts.select(F.split("text", "\n", -1).alias("l"), "at").select(F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.get("l", a["line_no"]).alias("line")))).alias("x"))
     lines = lines.select("x.id", "x.line").where(F.xxhash64("line") == F.col("id"))
-    sets = checkpoint(with_set(lines, "s").select("id", "s"))
+    return checkpoint(with_set(lines, "s").select("id", "s").dropDuplicates(["id"]))
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    sets = _sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", same.alias("i"), (F.size("x") + F.size("y") - same).alias("u")).where(f"100 * i >= {PERCENT} * u").select("a", "b")
 
 
+def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Links within long lists between lines that ``comp`` leaves apart; None if it leaves none apart."""
+    rows = entries.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sizes = per.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main")).where(F.col("all") > F.col("main.c"))
+    blocks = {"of_all": F.ceil(F.col("all") / BLOCK).cast("int"), "of_rest": F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int")}
+    sizes = sizes.withColumns(blocks).select("key", "of_all", "of_rest", F.col("main.comp").alias("main"))
+    rows = checkpoint(rows.join(sizes, "key"))
+    if rows.isEmpty():
+        return None
+    sets = _sets(docs, reps, rows.select("id").distinct())
+    rows = checkpoint(rows.join(sets, "id").select("key", "comp", "main", "of_all", "of_rest", F.col("id").alias("rep"), F.col("s").alias("members")))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("comp <> main").select("key", "rep", "comp", "members", block("of_rest").alias("i"), every("of_all").alias("j"))
+    right = rows.select("key", "rep", "comp", "members", every("of_rest").alias("i"), block("of_all").alias("j"))
+    right = right.toDF(*(c + "_r" for c in right.columns))
+
+    def compare(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+        if lt.empty or rt.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return _tile(lt, rt.rename(columns=lambda c: c.removesuffix("_r")), PERCENT)
+
+    return checkpoint(left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long"))
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line_id, kept, first_doc_id, first_line_no) of every line with a word.
 
@@ -85,8 +121,12 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = with_set(split_lines(docs), "s").select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.size("s").alias("n"), F.slice("s", 1, KEEP).alias("sketch"))
     lines = checkpoint(lines)
     reps = checkpoint(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    pairs = checkpoint(_pairs(reps))
-    comp = checkpoint(connected_components(_verify(docs, pairs, reps)))
+    pairs, long = _pairs(reps)
+    links = checkpoint(_verify(docs, checkpoint(pairs), reps))
+    comp = checkpoint(connected_components(links))
+    rest = _rest(docs, reps, long, comp)
+    if rest is not None:
+        comp = checkpoint(connected_components(links.union(rest)))
     of_comp = comp.join(reps.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = comp.join(of_comp, "component").select("id", "keeper")
     by_line = reps.select("id", "first").join(keepers, "id", "left").select("id", F.coalesce("keeper", "first").alias("f"))

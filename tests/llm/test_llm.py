@@ -230,6 +230,23 @@ def test_line_dedup(spark):
     assert out[1] == f"{line}\n\nalone one two" and "\n" not in out[2] and out[3] == "" and out[4] is None
 
 
+def test_long_lists_lose_no_line(spark, monkeypatch):
+    """Families of near lines whose template makes long lists: the same classes whatever the length from which lists are long."""
+    rng = random.Random(16)
+    rows = []
+    for _ in range(8):
+        template = prose(rng, 28)
+        for _ in range(12):
+            own = prose(rng, 12)
+            rows += [f"{template} {own}", f"{template} {own[:-1]}z"]
+    docs = frame(spark, list(enumerate(rows)))
+    classes = []
+    for limit in (10**9, 2):
+        monkeypatch.setattr(line_dedup, "LIST", limit)
+        classes.append({(r.doc_id, r.first_doc_id) for r in line_dedup.line_classes(docs).collect()})
+    assert classes[0] == classes[1] and 50 < sum(a != b for a, b in classes[0]) < len(rows)
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail Ann.Lee@Site.example.org or ann.lee@site.example.org, card 4111 1111 1111 1111."),
