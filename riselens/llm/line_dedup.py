@@ -1,10 +1,9 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations.
+"""Fuzzy line deduplication by MinHash.
 
-A line's set holds the hashes of its character shingles of Q characters, one at
-every word start (after any character but a Latin letter, so scripts without
-spaces have one at every character).  Lines with few such places for their
-length take a shingle of SHORT characters at every character instead.  The
-KEEP smallest hashes are the signature; each two neighbours among them make a
+A line's set holds the hashes of its shingles of Q characters, one at every
+character (the last ones are shorter).  Native functions cannot build these sets
+within the budget, so numpy does in tasks, over Arrow's own buffers.  The KEEP
+smallest hashes are the signature; each two neighbours among them make a
 band key, and lines with Jaccard 0.8 share one with a probability of 0.995.
 Lists of at most LIST lines give all their pairs, longer ones a star around a
 pseudo-random line.  Pairs are verified on whole sets and contracted to components;
@@ -19,29 +18,65 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from riselens.llm.components import connected_components
 from riselens.llm.minhash_dedup import BLOCK, _tile
-from riselens.session import checkpoint
-
-Q, SHORT, KEEP, LIST, PERCENT = 9, 5, 8, 16, 80
-STARTS = rf"(?s)(?<![A-Za-zÀ-ÖØ-öø-ɏ])(?=(.{{1,{Q}}}))"
-EVERY = rf"(?s)(?=(.{{1,{SHORT}}}))"
-
-
-def shingles(line: str) -> Column:
-    at_starts = F.regexp_extract_all(line, F.lit(STARTS), 1)
-    sparse = (F.size("_s") < 4) | (F.length(line) > 24 * F.size("_s"))
-    return at_starts, F.when(sparse, F.regexp_extract_all(line, F.lit(EVERY), 1)).otherwise(F.col("_s"))
-
-
-def with_set(lines: DataFrame, name: str) -> DataFrame:
-    """Adds the line's sorted set of shingle hashes; ``lines`` has a column line."""
-    starts, all_of_them = shingles("line")
-    out = lines.withColumn("_s", starts).withColumn("_s", all_of_them)
-    return out.withColumn(name, F.sort_array(F.array_distinct(F.transform("_s", lambda s: F.xxhash64(s))))).drop("_s")
+from riselens.llm.textbuf import _BYTE, _power, mix
+from riselens.session import checkpoint, configure
+
+Q, KEEP, LIST, PERCENT = 5, 8, 16, 80
+#: Bytes of the lines worked on at once, fewer than 2^20; one line alone may exceed it.
+SLICE = 1_000_000
+
+
+def shingles(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 44-bit shingle hashes of each line of UTF-8 bytes, end to end, and the lines' bounds in them."""
+    start = (buf & 0xC0) != 0x80
+    start[bounds[:-1]] = True
+    first = np.flatnonzero(start)
+    line = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(first, bounds)))
+    end = np.minimum(np.append(first, np.full(Q, len(buf)))[Q:], bounds[1:][line])
+    pos, inv = _power(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * pos[:-1], dtype=np.uint64, out=total[1:])
+    h = mix((total[end] - total[first]) * inv[first])
+    key = np.sort(line.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    ends = np.searchsorted(key, np.arange(len(bounds), dtype=np.uint64) << np.uint64(44))
+    ends[-1] = len(key)
+    return (key & np.uint64(2**44 - 1)).view(np.int64), ends
+
+
+def with_set(lines: DataFrame, name: str, keep: int | None = None) -> DataFrame:
+    """n and the line's sorted set of shingle hashes, or its ``keep`` smallest, in place of the column line."""
+    others = [c for c in lines.columns if c != "line"]
+    schema = StructType([*lines.select(others).schema.fields]).add("n", IntegerType()).add(name, ArrayType(LongType()))
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("line")).cast(pa.large_string())
+            if not len(text):
+                continue
+            bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2], np.uint8)
+            lo = 0
+            while lo < len(text):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+                values, ends = shingles(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                n = np.diff(ends)
+                if keep is not None:
+                    values = values[np.arange(len(values)) - np.repeat(ends[:-1], n) < keep]
+                    ends = np.concatenate(([0], np.cumsum(np.minimum(n, keep))))
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+                columns = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), sets], [*others, "n", name])
+                lo = hi
+
+    return lines.mapInArrow(run, schema)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -118,8 +153,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     repeated rows give equal lines at equal places, all kept or all dropped.  An
     empty table gives an empty one; extra columns are ignored.
     """
-    lines = with_set(split_lines(docs), "s").select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.size("s").alias("n"), F.slice("s", 1, KEEP).alias("sketch"))
-    lines = checkpoint(lines)
+    configure(docs.sparkSession)
+    lines = checkpoint(with_set(split_lines(docs).withColumn("id", F.xxhash64("line")), "sketch", KEEP))
     reps = checkpoint(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, long = _pairs(reps)
     links = checkpoint(_verify(docs, checkpoint(pairs), reps))

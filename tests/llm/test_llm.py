@@ -247,6 +247,23 @@ def test_long_lists_lose_no_line(spark, monkeypatch):
     assert classes[0] == classes[1] and 50 < sum(a != b for a, b in classes[0]) < len(rows)
 
 
+def test_near_lines_of_medium_length(spark):
+    """Lines with one changed word, against Jaccard 0.8 over shingles at every character."""
+    rng = random.Random(17)
+    grams = lambda t: {t[i : i + 5] for i in range(len(t))}
+    rows, want = [], set()
+    for _ in range(400):
+        words = ["".join(rng.choice("abcdeéfgh日") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(10, 19))]
+        changed = list(words)
+        changed[rng.randrange(len(words))] = rng.choice(VOCAB)
+        a, b = " ".join(words), " ".join(changed)
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+        if 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b)):
+            want.add(len(rows) - 1)
+    got = {r.doc_id for r in line_dedup.line_classes(frame(spark, rows)).collect() if not r.kept}
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail Ann.Lee@Site.example.org or ann.lee@site.example.org, card 4111 1111 1111 1111."),
