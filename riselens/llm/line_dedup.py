@@ -51,34 +51,58 @@ def shingles(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (key & np.uint64(2**44 - 1)).view(np.int64), ends
 
 
-def with_set(lines: DataFrame, name: str, keep: int | None = None) -> DataFrame:
-    """n and the line's sorted set of shingle hashes, or its ``keep`` smallest, in place of the column line."""
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of lines, and their bounds."""
+    column = column.cast(pa.large_string())
+    return np.frombuffer(column.buffers()[2], np.uint8), np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _slices(bounds: np.ndarray):
+    lo = 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def with_sketch(lines: DataFrame) -> DataFrame:
+    """n, the size of the line's set, and its KEEP smallest hashes, in place of the column line."""
     others = [c for c in lines.columns if c != "line"]
-    schema = StructType([*lines.select(others).schema.fields]).add("n", IntegerType()).add(name, ArrayType(LongType()))
+    schema = StructType([*lines.select(others).schema.fields]).add("n", IntegerType()).add("sketch", ArrayType(LongType()))
 
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("line")).cast(pa.large_string())
-            if not len(text):
+            if not batch.num_rows:
                 continue
-            bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8)
-            lo = 0
-            while lo < len(text):
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+            data, bounds = _text(batch.column(batch.schema.get_field_index("line")))
+            for lo, hi in _slices(bounds):
                 values, ends = shingles(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 n = np.diff(ends)
-                if keep is not None:
-                    values = values[np.arange(len(values)) - np.repeat(ends[:-1], n) < keep]
-                    ends = np.concatenate(([0], np.cumsum(np.minimum(n, keep))))
-                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+                values = values[np.arange(len(values)) - np.repeat(ends[:-1], n) < KEEP]
+                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(n, KEEP)))), pa.int32()), pa.array(values, pa.int64()))
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), sets], [*others, "n", name])
-                lo = hi
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), sketch], [*others, "n", "sketch"])
 
     return lines.mapInArrow(run, schema)
 
 
+def _linked(batches):
+    """Of pairs (a, b, x, y) with the texts of their lines those at PERCENT."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (dx, bx), (dy, by) = (_text(batch.column(batch.schema.get_field_index(c))) for c in "xy")
+        keep = []
+        for lo, hi in _slices(bx + by):
+            (vx, ex), (vy, ey) = (shingles(d[b[lo] : b[hi]], b[lo : hi + 1] - b[lo]) for d, b in ((dx, bx), (dy, by)))
+            nx, ny = np.diff(ex), np.diff(ey)
+            pair = np.arange(hi - lo)
+            both = np.sort(np.concatenate((np.repeat(pair, nx) << 44 | vx, np.repeat(pair, ny) << 44 | vy)))
+            same = np.bincount(both[1:][both[1:] == both[:-1]] >> 44, minlength=hi - lo)
+            keep.append(100 * same >= PERCENT * (nx + ny - same))
+        yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of every line with a word, of rows with an id."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -102,20 +126,18 @@ def _pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), shared.where(F.col("c") > LIST).select("key", "id")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """The whole sets (id, s) of the named lines."""
+def _lines(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (id, line) of the named lines: a few times shorter than their sets."""
     places = ids.join(reps.select("id", "first.doc_id", "first.line_no"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
     texts = docs.select("doc_id", "text").where("text is not null").join(places, "doc_id")
     lines = texts.select(F.split("text", "\n", -1).alias("l"), "at").select(F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.get("l", a["line_no"]).alias("line")))).alias("x"))
-    lines = lines.select("x.id", "x.line").where(F.xxhash64("line") == F.col("id"))
-    return checkpoint(with_set(lines, "s").select("id", "s").dropDuplicates(["id"]))
+    return checkpoint(lines.select("x.id", "x.line").where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"]))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    sets = _sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", same.alias("i"), (F.size("x") + F.size("y") - same).alias("u")).where(f"100 * i >= {PERCENT} * u").select("a", "b")
+    lines = _lines(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
 def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame | None:
@@ -128,18 +150,23 @@ def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame)
     rows = checkpoint(rows.join(sizes, "key"))
     if rows.isEmpty():
         return None
-    sets = _sets(docs, reps, rows.select("id").distinct())
-    rows = checkpoint(rows.join(sets, "id").select("key", "comp", "main", "of_all", "of_rest", F.col("id").alias("rep"), F.col("s").alias("members")))
+    lines = _lines(docs, reps, rows.select("id").distinct())
+    rows = checkpoint(rows.join(lines, "id").select("key", "comp", "main", "of_all", "of_rest", F.col("id").alias("rep"), "line"))
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("comp <> main").select("key", "rep", "comp", "members", block("of_rest").alias("i"), every("of_all").alias("j"))
-    right = rows.select("key", "rep", "comp", "members", every("of_rest").alias("i"), block("of_all").alias("j"))
+    left = rows.where("comp <> main").select("key", "rep", "comp", "line", block("of_rest").alias("i"), every("of_all").alias("j"))
+    right = rows.select("key", "rep", "comp", "line", every("of_rest").alias("i"), block("of_all").alias("j"))
     right = right.toDF(*(c + "_r" for c in right.columns))
 
+    def members(block: pd.DataFrame) -> pd.DataFrame:
+        data, bounds = _text(pa.array(block["line"], pa.large_string()))
+        values, ends = shingles(data, bounds)
+        return block.assign(members=np.split(values, ends[1:-1]))
+
     def compare(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
         if lt.empty or rt.empty:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return _tile(lt, rt.rename(columns=lambda c: c.removesuffix("_r")), PERCENT)
+        return _tile(members(lt), members(rt.rename(columns=lambda c: c.removesuffix("_r"))), PERCENT)
 
     return checkpoint(left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long"))
 
@@ -154,7 +181,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     empty table gives an empty one; extra columns are ignored.
     """
     configure(docs.sparkSession)
-    lines = checkpoint(with_set(split_lines(docs).withColumn("id", F.xxhash64("line")), "sketch", KEEP))
+    lines = checkpoint(with_sketch(split_lines(docs).withColumn("id", F.xxhash64("line"))))
     reps = checkpoint(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs, long = _pairs(reps)
     links = checkpoint(_verify(docs, checkpoint(pairs), reps))
