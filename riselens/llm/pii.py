@@ -6,7 +6,8 @@ equal surrogates in every document, however they are written.  A surrogate keeps
 the type (valid Luhn and IBAN check digits, octets, country codes, top-level
 domains), script, case, separators and length, and names keep the gender of
 their title.  Over the table of distinct entities, surrogates that equal another
-one or any entity found in the corpus are drawn again until none is left.
+one or any entity found in the corpus are drawn again until none is left.  A format
+that runs out of values gets one more character every WIDEN rounds.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
 ANY = r"(?<![\p{L}0-9])(?:" + "|".join(PATTERNS.values()) + ")"
-ATTEMPTS = 20
+WIDEN = 4
 
 
 def entity_type(match: Column) -> Column:
@@ -73,9 +74,14 @@ def surrogate_of_canonical(rows: DataFrame, key: str) -> DataFrame:
     """rows: kind, canon, attempt; adds surrogate."""
     rows = rows.withColumn("stream", F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon", F.col("attempt").cast("string")), 512))
     kind, canon = F.col("kind"), F.col("canon")
+    # every WIDEN rounds one more character: in front of a mail address, else at the end; addresses of hosts have values enough
+    more = (F.col("attempt") / WIDEN).cast("int")
+    last = F.when(kind.isin("name_m", "name_f"), F.expr("substr(canon, -1)")).when(kind == "secret", "a").otherwise("0")
+    wide = F.when(kind == "ip", canon).when(kind == "email", F.concat(F.repeat(F.lit("a"), more), canon)).otherwise(F.concat(canon, F.repeat(last, more)))
+    rows = rows.withColumn("wide", wide)
     # the leading part that stays: country codes, and of mail addresses the top-level domain
     keep = F.when(kind == "iban", 2).when(kind == "phone", F.greatest(F.length("canon") - 10, F.lit(0))).otherwise(0)
-    stay = F.when(kind == "email", F.length(canon) - F.length(F.regexp_extract(canon, r"[^.]*$", 0))).otherwise(F.length(canon))
+    stay = F.when(kind == "email", F.length("wide") - F.length(F.regexp_extract(canon, r"[^.]*$", 0))).otherwise(F.length("wide"))
     rows = rows.withColumns({"keep": keep, "stay": stay, "hexa": (kind == "secret") & canon.rlike("^[0-9a-f]+$")})
 
     def letter(c: Column, i: Column) -> Column:
@@ -86,9 +92,12 @@ def surrogate_of_canonical(rows: DataFrame, key: str) -> DataFrame:
         plain = plain.when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", number)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number))
         plain = plain.when(c.rlike("[а-яё]"), _pick("абвгдежзиклмнопрстуфхцчшэюя", number)).when(c.rlike("[α-ω]"), _pick("αβγδεζηθικλμνξοπρστυφχψω", number))
         plain = plain.when(c.rlike(r"\p{IsLatin}"), _pick("áéíóúàèìòùâêîôû", number))
+        # letters outside these alphabets: by script, and Latin ones for all others
+        plain = plain.when(c.rlike(r"\p{IsCyrillic}"), _pick("абвгдежзиклмнопрстуфхцчшэюя", number)).when(c.rlike(r"\p{IsGreek}"), _pick("αβγδεζηθικλμνξοπρστυφχψω", number))
+        plain = plain.when(c.rlike(r"\p{IsArmenian}"), _pick("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփք", number)).when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", number))
         return F.when((i < F.col("keep")) | (i >= F.col("stay")), c).otherwise(F.coalesce(plain, c))
 
-    mapped = F.array_join(F.transform(F.split("canon", ""), letter), "")
+    mapped = F.array_join(F.transform(F.split("wide", ""), letter), "")
     rows = rows.withColumn("mapped", mapped)
     octets = F.concat_ws(".", *(F.conv(F.substring("stream", 1 + 4 * j, 4), 16, 10).cast("int") % 223 + 1 for j in range(4)))
     # Luhn: doubled digits counted from the second last place
@@ -111,12 +120,12 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
     """entities: distinct (kind, canon); (kind, canon, surrogate) without collisions within a kind.
 
     A surrogate that equals an entity of the corpus, its own or another's, or one
-    already drawn by a smaller canonical form, is drawn again.  ATTEMPTS rounds
-    that still leave collisions (a format too small for its entities) raise.
+    already drawn by a smaller canonical form, is drawn again, every WIDEN rounds
+    with one more character, so that formats too small for their entities grow.
     """
     found = checkpoint(entities)
     done, todo = None, found.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
+    while True:
         drawn = surrogate_of_canonical(todo, key)
         if done is not None:
             taken = done.select("kind", "surrogate").withColumn("taken", F.lit(True))
@@ -132,15 +141,18 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
         todo = drawn.where("not free").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
             return done
-    raise ValueError("no surrogates without collisions; a format has too few values")
 
 
 def render(kind: Column, e: Column, surrogate: Column) -> Column:
-    """The surrogate in the entity's own spelling: separators and case."""
+    """The surrogate in the entity's own spelling: separators and case; characters beyond the entity's length as they are."""
+    beyond = F.greatest(F.length(surrogate) - F.length(e), F.lit(0))
+    mail = F.substring(surrogate, beyond + 1, F.length(surrogate))
     chars = F.split(e, "")
     place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.when(c.rlike("[a-z]"), F.lower(F.substring(surrogate, place(i), F.lit(1)))).otherwise(F.substring(surrogate, place(i), F.lit(1)))).otherwise(c)), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(F.upper(c) == c, F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
+    spaced = F.concat(spaced, F.substring(surrogate, F.length(F.regexp_replace(e, "[^0-9A-Za-z]", "")) + 1, F.length(surrogate)))
+    cased = F.array_join(F.transform(chars, lambda c, i: F.when(F.upper(c) == c, F.upper(F.substring(mail, i + 1, F.lit(1)))).otherwise(F.substring(mail, i + 1, F.lit(1)))), "")
+    cased = F.concat(F.substring(surrogate, F.lit(1), beyond), cased)
     name = F.when(F.upper(e) == e, F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return F.when(kind.isin("ssn", "iban", "phone", "card"), spaced).when(kind == "email", cased).when(kind.isin("name_m", "name_f"), name).otherwise(surrogate)
 

@@ -295,6 +295,20 @@ def test_surrogates_stay_distinct(spark):
     assert len(out) == len(drawn) == 300 and not drawn & {f"{k:03d}" for k in range(300)}
 
 
+def test_surrogates_of_small_formats(spark):
+    """Other scripts, secrets without letters, and more two-letter names than there are surrogates of two letters."""
+    two = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    names = [("name_m", n) for n in two] + [("email", f"{n[0]}@x.org") for n in two]
+    few = spark.createDataFrame(sorted(set(names)), "kind string, canon string")
+    out = pii.settle(few, "key").collect()
+    assert len(out) == len(set(names)) == len({(r.kind, r.surrogate) for r in out}) and not {(r.kind, r.surrogate) for r in out} & set(names)
+    rows = [(1, "Mr Արամ and Mr Іван"), (2, "password=--------"), *((3 + k, f"Mr {n.title()} wrote to {n[0].upper()}@x.org") for k, n in enumerate(two))]
+    got = {r.doc_id: r.text for r in pii.surrogate_texts(frame(spark, rows), "key").collect()}
+    assert "Արամ" not in got[1] and "Іван" not in got[1] and got[2].startswith("password=") and got[2] != rows[1][1]
+    assert len({got[3 + k].split()[1] for k in range(len(two))}) == len(two)
+    assert len({got[3 + k].split()[-1] for k in range(len(two))}) == 21 and all(got[3 + k].endswith(".org") for k in range(len(two)))
+
+
 def test_leaks_whole_and_reworded(spark):
     rng = random.Random(10)
     items = [(i, ". ".join(prose(rng, 10) for _ in range(3)) + ".") for i in range(12)] + [(12, prose(rng, 150))]
