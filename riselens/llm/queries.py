@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riselens.llm import decontamination, line_dedup, minhash_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, toxicity
+from riselens.llm import alignment, decontamination, divergence, line_dedup, minhash_dedup, packing, pieces, pii, quality, sharding, substring_dedup, token_counts, toxicity
 from riselens.llm.common import table
 
 QUERIES = {}
@@ -78,3 +79,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     return pii.surrogate_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers cover every document, against the corpus's pair counts."""
+    return alignment.link_statistics(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    rows = pieces.round_trip(table(spark, sf_dir, "documents"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that set each apart."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = divergence.ORACLE_SQL
