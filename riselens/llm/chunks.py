@@ -56,16 +56,23 @@ class Chunked:
         self.bounds = np.searchsorted(self.start, self.text_at)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        words = np.ndarray(len(self.raw) + 1, "<u8", self.raw + bytes(8), strides=(1,))
-        size = self.end - self.start
-        one, two = (size.astype(np.uint64) * odd for odd in _ODD)
-        at, live, left = self.start, np.arange(len(size)), size
-        while len(live):
-            w = words[at] & _KEEP[np.minimum(left, 8)]
+        return span_hashes(self.raw, self.start, self.end - self.start)
+
+
+def span_hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the given bytes of ``raw``, eight bytes of all spans at a time."""
+    words = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
+    one, two = (size.astype(np.uint64) * odd for odd in _ODD)
+    at, live, left = start, None, size
+    while len(at):
+        w = words[at] & _KEEP[np.minimum(left, 8)]
+        if live is None:
+            one, two = _stir(one ^ w, _ODD[0]), _stir(two + w, _ODD[1])
+        else:
             one[live], two[live] = _stir(one[live] ^ w, _ODD[0]), _stir(two[live] + w, _ODD[1])
-            more = left > 8
-            at, live, left = at[more] + 8, live[more], left[more] - 8
-        return one, two
+        more = np.flatnonzero(left > 8)
+        at, left, live = at[more] + 8, left[more] - 8, more if live is None else live[more]
+    return one, two
 
 
 def _stir(h: np.ndarray, odd: np.uint64) -> np.ndarray:

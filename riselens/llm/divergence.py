@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riselens.llm.chunks import pieces_of
+from riselens.llm.chunks import pieces_of, span_hashes
 from riselens.llm.textbuf import mix
 from riselens.session import checkpoint, configure
 
@@ -33,9 +33,11 @@ LEAST_DOCS = 30
 TOP = 50
 #: Bits of the filter that carries survivors, and byte length of the first prefixes.
 FILTER_BITS = 1 << 25
-FIRST = 3
+FIRST = 4
+#: Characters of document terms that are counted together before they leave a worker.
+TERM_LIMIT = 6_000_000
 #: Cells of the (terms x sources) matrix that one task of the pair sums holds.
-CELLS = 1 << 20
+CELLS = 1 << 16
 ONE = 1_000_000_000
 _END = 0x20  # ends every term: no term holds it
 _TERM = np.ones(256, bool)
@@ -43,30 +45,15 @@ _TERM[:0x80] = False
 _TERM[0x41:0x5B] = _TERM[0x61:0x7B] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_BYTE = np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Spans:
-    """Hashes of byte spans of one buffer, from prefix sums of a polynomial."""
-
-    def __init__(self, buf: np.ndarray):
-        self.total = np.zeros(len(buf) + 1, np.uint64)
-        power = np.full(len(buf), _POWER, np.uint64)
-        power[:1] = 1
-        np.cumsum(_BYTE[buf] * np.cumprod(power, dtype=np.uint64), dtype=np.uint64, out=self.total[1:])
-        power[:] = _INVERSE
-        power[:1] = 1
-        self.inverse = np.append(np.cumprod(power, dtype=np.uint64), np.uint64(0))
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+def _hash(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(raw, start, end - start)[0]
 
 
 def _bits(h: np.ndarray, lang: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The two places of a (language, prefix) in a filter of ``size`` bits, a power of two."""
-    one, last = mix(h ^ mix(lang)), np.uint64(size - 1)
+    one, last = mix(h ^ lang), np.uint64(size - 1)
     return (one & last).astype(np.int64), (one >> np.uint64(32) & last).astype(np.int64)
 
 
@@ -80,22 +67,30 @@ def _lang_hash(names: list[str]) -> np.ndarray:
     """A hash of each name that every worker computes alike."""
     known: dict[str, np.uint64] = {}
     for name in set(names):
-        raw = np.frombuffer(name.encode() + b"\0", np.uint8)
-        known[name] = Spans(raw).hash(np.array([0]), np.array([len(raw)]))[0]
+        raw = name.encode() + b"\0"
+        known[name] = mix(_hash(raw, np.array([0]), np.array([len(raw)])))[0]
     return np.array([known[n] for n in names], np.uint64)
 
 
-def _codes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact numbers of distinct key tuples, and the first place of each."""
-    code = np.zeros(len(keys[0]), np.int64)
-    for key in keys:
-        own, values = pd.factorize(key)
-        code, _ = pd.factorize(code * len(values) + own)
-    first = np.empty(int(code.max()) + 1 if len(code) else 0, np.int64)
+def _codes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct keys, and the first place of each."""
+    code, values = pd.factorize(key)
+    first = np.empty(len(values), np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     return code, first
 
 
+def _spans(raw: bytes, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the given spans as Arrow values."""
+    at = np.concatenate(([0], np.cumsum(end - start)))
+    flat = np.frombuffer(raw, np.uint8)[np.repeat(start - at[:-1], end - start) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _texts(kind: pa.DataType, at: np.ndarray, flat: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), flat])
+
+
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every text its distinct terms, each ended by a space, and how often each occurs."""
     for batch, texts in pieces_of(batches):
@@ -105,24 +100,20 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         edge = np.flatnonzero(np.diff(np.concatenate(([False], _TERM[buf], [False])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
         doc = np.searchsorted(at, start, "right") - 1
-        term, _ = _codes(Spans(buf).hash(start, end))
-        own, first = _codes(doc * (int(term.max()) + 1) + term if len(term) else doc)
-        counts = np.bincount(own, minlength=len(first)).astype("<i8")
-        order = np.argsort(first)  # by text
-        first, counts = first[order], counts[order]
         raw = buf.tobytes()
+        term, terms = pd.factorize(_hash(raw, start, end))
+        own, first = _codes(doc * len(terms) + term)  # numbered as they occur, so by text
+        counts = np.bincount(own, minlength=len(first)).astype("<i4")
         bounds = np.searchsorted(first, np.searchsorted(start, at))
-        s, e = start[first].tolist(), end[first].tolist()
-        words = [raw[a:b] for a, b in zip(s, e)]
-        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("source"), pa.array([b" ".join(words[a:b]) + b" " if b > a else b"" for a, b in spans], pa.binary()).cast(pa.string()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())],
-            ["lang", "source", "text", "counts"],
-        )
+        upto = np.concatenate(([0], np.cumsum(end[first] - start[first] + 1)))
+        buf[end[first]] = _END  # what ends a term is no part of another
+        terms = _spans(buf.tobytes(), start[first], end[first] + 1).buffers()[2]
+        columns = [_texts(pa.string(), upto[bounds], terms), _texts(pa.binary(), 4 * bounds, pa.py_buffer(counts))]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *columns], ["lang", "source", "text", "counts"])
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, text, counts) per row of ``docs``: the distinct terms, ended by spaces, and 64-bit counts."""
+    """(lang, source, text, counts) per row of ``docs``: the distinct terms, ended by spaces, and 32-bit counts."""
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     return named.mapInArrow(_document_terms, "lang string, source string, text string, counts binary")
 
@@ -138,13 +129,11 @@ class _Terms:
         ends = np.flatnonzero(buf == _END) + 1
         start = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         doc = np.searchsorted(at, start, "right") - 1
-        langs = batch.column("lang").to_pylist()
-        self.langs, lang = langs, _lang_hash(langs)
-        self.spans = Spans(buf)
+        lang = _lang_hash(batch.column("lang").to_pylist())
         self.at = np.arange(len(start))
         if survivors is not None:
             longer = np.flatnonzero(ends - start > length)
-            self.at = longer[_held(survivors, self.spans.hash(start[longer], start[longer] + length), lang[doc[longer]])]
+            self.at = longer[_held(survivors, _hash(self.raw, start[longer], start[longer] + length), lang[doc[longer]])]
         self.start, self.end, self.doc = start[self.at], ends[self.at], doc[self.at]
         self.lang = lang[self.doc]
 
@@ -154,17 +143,15 @@ def _prefix_counts(survivors, length: int, upto: int):
 
     def run(batches):
         words = None if survivors is None else survivors.value
-        for batch, texts in pieces_of(batches):
+        for batch, texts in pieces_of(batches, TERM_LIMIT):
             t = _Terms(batch, texts, words, length)
             if not len(t.start):
                 continue
             end = np.minimum(t.end, t.start + upto)
-            prefix, first = _codes(t.spans.hash(t.start, end), t.lang)
-            in_doc = np.unique(t.doc * len(first) + prefix)
-            n = np.bincount(in_doc % len(first), minlength=len(first))
-            raw = t.raw
-            names = [raw[a:b] for a, b in zip(t.start[first].tolist(), end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([t.langs[d] for d in t.doc[first].tolist()], pa.string()), pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["lang", "prefix", "n"])
+            prefix, first = _codes(_hash(t.raw, t.start, end) ^ t.lang)
+            n = np.bincount(pd.unique(t.doc * len(first) + prefix) % len(first), minlength=len(first))
+            lang = batch.column("lang").take(pa.array(t.doc[first]))
+            yield pa.RecordBatch.from_arrays([lang, _spans(t.raw, t.start[first], end[first]), pa.array(n, pa.int64())], ["lang", "prefix", "n"])
 
     return run
 
@@ -178,8 +165,7 @@ def _filter(prefixes: DataFrame):
             names = batch.column("prefix").to_pylist()
             end = np.cumsum([len(x) for x in names], dtype=np.int64)
             start = np.concatenate(([0], end[:-1]))
-            spans = Spans(np.frombuffer(b"".join(names), np.uint8))
-            places = np.concatenate(_bits(spans.hash(start, end), _lang_hash(batch.column("lang").to_pylist()), size))
+            places = np.concatenate(_bits(_hash(b"".join(names), start, end), _lang_hash(batch.column("lang").to_pylist()), size))
             yield pa.RecordBatch.from_arrays([pa.array(places >> 5), pa.array(1 << (places & 31))], ["word", "bit"])
 
     words = prefixes.select("lang", "prefix").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -207,27 +193,29 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
         survivors = _filter(level.where(~complete))
         if survivors is None:
             return found
-        length, upto = upto, upto + max(2, upto // 2)
+        length, upto = upto, upto + max(3, upto // 2)
 
 
 def _term_counts(survivors):
     """(lang, source, term, count): occurrences in each batch of the terms that the filter lets through."""
 
     def run(batches):
-        for batch, texts in pieces_of(batches):
+        for batch, texts in pieces_of(batches, TERM_LIMIT):
             t = _Terms(batch, texts, None, 0)
-            some = np.flatnonzero(_held(survivors.value, t.spans.hash(t.start, t.end), t.lang))
+            h = _hash(t.raw, t.start, t.end)
+            some = np.flatnonzero(_held(survivors.value, h, t.lang))
             if not len(some):
                 continue
             sources = batch.column("source").to_pylist()
-            source, _ = pd.factorize(np.array(sources, object))
-            code, first = _codes(t.spans.hash(t.start[some], t.end[some]), t.lang[some], source[t.doc[some]])
-            weights = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i8")[some]
-            order = np.argsort(code, kind="stable")
-            n = np.add.reduceat(weights[order], np.searchsorted(code[order], np.arange(len(first))))
-            raw, docs = t.raw, t.doc[some][first].tolist()
-            names = [raw[a : b - 1].decode() for a, b in zip(t.start[some][first].tolist(), t.end[some][first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([t.langs[d] for d in docs], pa.string()), pa.array([sources[d] for d in docs], pa.string()), pa.array(names, pa.string()), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
+            source, names = pd.factorize(np.array(sources, object))
+            term, _ = pd.factorize(h[some] ^ t.lang[some])
+            code, first = _codes(term * len(names) + source[t.doc[some]])
+            weights = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4")[some]
+            n = np.zeros(len(first), np.int64)
+            np.add.at(n, code, weights)
+            at = some[first]
+            keys = [batch.column(c).take(pa.array(t.doc[at])) for c in ("lang", "source")]
+            yield pa.RecordBatch.from_arrays([*keys, _spans(t.raw, t.start[at], t.end[at] - 1).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
 
     return run
 
