@@ -14,7 +14,6 @@ these matrices; transformed targets (a Stage A residual) are linear maps
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -26,6 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = 64
+#: A column whose centred sum of squares is below this share of its raw one is constant:
+#: rounding leaves about 1e-15 of it, whatever the constant and the scale.
+CONSTANT = 1e-12
+#: Least eigenvalue of a correlation matrix, per column, that counts for the rank.
+RANK_TOL = 1e-10
 
 
 @dataclass
@@ -140,27 +144,36 @@ def gram_by_key(df: DataFrame, cols: Sequence[str], key: Column | str | None = N
                 w = g["_w"].to_numpy(dtype=np.float64)
                 part = (X * w[:, None]).T @ X
                 acc[kv] = acc[kv] + part if kv in acc else part
-        if acc:
-            # Deterministic salt (partition id): a retried task writes the same rows.
-            ctx = TaskContext.get()
-            salt = (ctx.partitionId() if ctx is not None else 0) % SALT
-            yield pd.DataFrame({"_k": list(acc.keys()), "_salt": salt,
-                                "_u": [m.tobytes() for m in acc.values()]})
+        yield from partial_frames({name: m.ravel() for name, m in acc.items()})
+
+    found = reduce_partials(src.mapInPandas(partials, PARTIAL_SCHEMA))
+    return {name: AugGram(names, flat.reshape(k, k)) for name, flat in found.items()}
+
+
+PARTIAL_SCHEMA = "_k string, _salt int, _u binary"
+
+
+def partial_frames(acc: dict[str, np.ndarray]) -> Iterable[pd.DataFrame]:
+    """A task's flat partial sums by key, as rows of PARTIAL_SCHEMA."""
+    if acc:
+        # Deterministic salt (partition id): a retried task writes the same rows.
+        ctx = TaskContext.get()
+        salt = (ctx.partitionId() if ctx is not None else 0) % SALT
+        yield pd.DataFrame({"_k": list(acc), "_salt": salt, "_u": [m.tobytes() for m in acc.values()]})
+
+
+def reduce_partials(partials: DataFrame) -> dict[str, np.ndarray]:
+    """Sums of the partials per key, in two levels: no task gets the partials of all tasks."""
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        tot = np.zeros(k * k)
-        for b in pdf["_u"]:
+        tot = np.frombuffer(pdf["_u"].iloc[0], dtype=np.float64).copy()
+        for b in pdf["_u"].iloc[1:]:
             tot += np.frombuffer(b, dtype=np.float64)
         return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "_salt": [0], "_u": [tot.tobytes()]})
 
-    schema = "_k string, _salt int, _u binary"
-    level1 = src.mapInPandas(partials, schema)
-    level2 = level1.groupBy("_k", "_salt").applyInPandas(reduce, schema)
-    final = level2.groupBy("_k").applyInPandas(reduce, schema)
-    out = {}
-    for r in final.collect():
-        out[r["_k"]] = AugGram(names, np.frombuffer(r["_u"], dtype=np.float64).reshape(k, k).copy())
-    return out
+    level = partials.groupBy("_k", "_salt").applyInPandas(reduce, PARTIAL_SCHEMA)
+    final = level.groupBy("_k").applyInPandas(reduce, PARTIAL_SCHEMA)
+    return {r["_k"]: np.frombuffer(r["_u"], dtype=np.float64).copy() for r in final.collect()}
 
 
 def sum_grams(grams: Iterable[AugGram], names: Sequence[str]) -> AugGram:
@@ -201,15 +214,18 @@ def fit_ols(g: AugGram, x: Sequence[str], y: str, rcond: float = 1e-12) -> Linea
     """OLS with intercept via the pseudo-inverse of the correlation matrix,
     scaled back, so regressors of any scale count alike; standard errors from
     it.  On a singular design the slope has the least norm in units of the
-    regressors' standard deviations."""
+    regressors' standard deviations; a constant column gets 0 and no rank."""
     n, mx, my, sxx, sxy, syy = g.block(x, y)
-    unit = np.sqrt(np.clip(np.diag(sxx), 0, None))
-    unit = np.where(unit > 0, unit, 1.0)
-    pinv = np.linalg.pinv(sxx / np.outer(unit, unit), rcond=rcond, hermitian=True) / np.outer(unit, unit)
-    beta = pinv @ sxy
+    raw = np.diag(g.U)[g.idx(x)]
+    diag = np.clip(np.diag(sxx), 0, None)
+    varies = diag > CONSTANT * raw  # a constant leaves a rounding residue of its raw square
+    unit = np.sqrt(np.where(varies, diag, 1.0))
+    corr = np.where(np.outer(varies, varies), sxx / np.outer(unit, unit), 0.0)
+    pinv = np.linalg.pinv(corr, rcond=rcond, hermitian=True) / np.outer(unit, unit)
+    beta = np.where(varies, pinv @ sxy, 0.0)
     b0 = my - mx @ beta
     rss = max(float(syy - 2 * beta @ sxy + beta @ sxx @ beta), 0.0)
-    rank = int(np.linalg.matrix_rank(sxx / np.outer(unit, unit), tol=None, hermitian=True)) if len(x) else 0
+    rank = int(np.linalg.matrix_rank(corr, tol=RANK_TOL * max(1, len(x)), hermitian=True)) if len(x) else 0
     dof = n - rank - 1
     sigma2 = rss / dof if dof > 0 else float("nan")
     se = np.sqrt(np.clip(np.diag(pinv) * sigma2, 0, None))
@@ -219,13 +235,6 @@ def fit_ols(g: AugGram, x: Sequence[str], y: str, rcond: float = 1e-12) -> Linea
                                                  "sigma2": sigma2})
 
 
-def fit_ridge(g: AugGram, x: Sequence[str], y: str, alpha: float) -> LinearFit:
-    """Ridge with unpenalised intercept: (Sxx + αI)β = Sxy."""
-    n, mx, my, sxx, sxy, _ = g.block(x, y)
-    beta = np.linalg.solve(sxx + alpha * np.eye(len(x)), sxy)
-    return LinearFit(list(x), beta, float(my - mx @ beta), n, {"alpha": alpha})
-
-
 def fit_ridge_loo(g: AugGram, x: Sequence[str], y: str, alphas: Sequence[float]) -> LinearFit:
     """V7: ridge with alpha chosen by generalised cross-validation error from
     the eigen-decomposition of the centered Gram (efficient LOO surrogate)."""
@@ -245,37 +254,6 @@ def fit_ridge_loo(g: AugGram, x: Sequence[str], y: str, alphas: Sequence[float])
     return LinearFit(list(x), beta, float(my - mx @ beta), n, {"alpha": a, "gcv": best[0]})
 
 
-def _enet_cd(sxx: np.ndarray, sxy: np.ndarray, n: float, alpha: float, l1: float,
-             beta0: np.ndarray | None = None, max_iter: int = 20000, tol: float = 1e-4) -> np.ndarray:
-    """Coordinate descent on 1/(2n)‖y−Xβ‖² + α·l1‖β‖₁ + ½α(1−l1)‖β‖² using
-    centered sums only (covariance updates)."""
-    p = len(sxy)
-    beta = np.zeros(p) if beta0 is None else beta0.copy()
-    if p == 0 or n <= 0:
-        return beta
-    diag = np.diag(sxx)
-    l1_pen = n * alpha * l1
-    l2_pen = n * alpha * (1 - l1)
-    grad = sxy - sxx @ beta
-    for _ in range(max_iter):
-        max_step = 0.0
-        max_beta = 0.0
-        for j in range(p):
-            if diag[j] <= 0:
-                continue
-            old = beta[j]
-            rho = grad[j] + diag[j] * old
-            new = np.sign(rho) * max(abs(rho) - l1_pen, 0.0) / (diag[j] + l2_pen)
-            if new != old:
-                grad -= sxx[:, j] * (new - old)
-                beta[j] = new
-            max_step = max(max_step, abs(new - old))
-            max_beta = max(max_beta, abs(new))
-        if max_beta == 0.0 or max_step / max_beta < tol:
-            break
-    return beta
-
-
 def fit_elastic_net(g: AugGram, x: Sequence[str], y: str, alpha: float, l1_ratio: float, **kw) -> LinearFit:
     n, mx, my, sxx, sxy, _ = g.block(x, y)
     beta = _enet_active_set(sxx, sxy, n, alpha, l1_ratio)
@@ -310,62 +288,6 @@ def metrics(g: AugGram, fit: LinearFit, y: str) -> dict:
     return {"rmse": float(np.sqrt(e2 / n)), "r2": float(1 - e2 / syy) if syy > 0 else None, "n": int(round(n))}
 
 
-def _enet_cd_batch(sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, n: np.ndarray, alphas: np.ndarray,
-                   l1: float, max_iter: int = 20000, tol: float = 1e-4) -> np.ndarray:
-    """Coordinate descent for many (fold, alpha) problems at once.
-
-    sxx: (F, p, p), sxy: (F, p), syy: (F,), n: (F,), alphas: (A,) -> beta (F, A, p).
-    Each coordinate update is vectorised over folds and alphas, so the
-    Python loop runs p times per sweep regardless of the grid size.  Stopping
-    rule: small relative step, confirmed by the duality gap < tol·‖y‖².
-    """
-    Fn, p = sxy.shape
-    A = len(alphas)
-    beta = np.zeros((Fn, A, p))
-    if p == 0:
-        return beta
-    diag = np.einsum("fii->fi", sxx)                       # (F, p)
-    l1_pen = n[:, None] * alphas[None, :] * l1             # (F, A)
-    l2_pen = n[:, None] * alphas[None, :] * (1 - l1)       # (F, A)
-    grad = np.repeat(sxy[:, None, :], A, axis=1)           # (F, A, p) = q - Q w
-    cols = np.transpose(sxx, (0, 2, 1))                    # cols[f, j] = sxx[f, :, j]
-    ynorm2 = syy[:, None]
-    active = np.ones((Fn, A), dtype=bool)
-    for _ in range(max_iter):
-        max_step = np.zeros((Fn, A))
-        max_beta = np.zeros((Fn, A))
-        for j in range(p):
-            dj = diag[:, j][:, None]
-            old = beta[:, :, j]
-            rho = grad[:, :, j] + dj * old
-            den = dj + l2_pen
-            new = np.sign(rho) * np.maximum(np.abs(rho) - l1_pen, 0.0) / np.where(den > 0, den, 1.0)
-            new = np.where((dj > 0) & active, new, old)
-            delta = new - old
-            if np.any(delta):
-                grad -= delta[:, :, None] * cols[:, None, j, :]
-                beta[:, :, j] = new
-            np.maximum(max_step, np.abs(delta), out=max_step)
-            np.maximum(max_beta, np.abs(new), out=max_beta)
-        small = (max_beta == 0) | (max_step <= tol * np.where(max_beta > 0, max_beta, 1.0))
-        check = small & active
-        if check.any():
-            qw = np.einsum("fp,fap->fa", sxy, beta)
-            wHw = qw - np.einsum("fap,fap->fa", grad, beta)          # wᵀQw = qᵀw − (q − Qw)ᵀw
-            xta = grad - l2_pen[:, :, None] * beta
-            dual = np.max(np.abs(xta), axis=2)
-            r2 = np.maximum(ynorm2 + wHw - 2 * qw, 0.0)
-            const = np.where(dual > l1_pen, l1_pen / np.where(dual > 0, dual, 1.0), 1.0)
-            gap = np.where(dual > l1_pen, 0.5 * (r2 + r2 * const ** 2), r2)
-            gap = gap + l1_pen * np.abs(beta).sum(axis=2) - const * (ynorm2 - qw) \
-                + 0.5 * l2_pen * (1 + const ** 2) * (beta * beta).sum(axis=2)
-            converged = check & (gap < tol * ynorm2)
-            active &= ~converged
-        if not active.any():
-            break
-    return beta
-
-
 def _enet_active_set(Q: np.ndarray, q: np.ndarray, n: float, alpha: float, l1: float,
                      w0: np.ndarray | None = None, max_iter: int = 500) -> np.ndarray:
     """Exact elastic net by feature-sign (active-set) search.
@@ -516,7 +438,3 @@ def residual_gram(g: AugGram, fit: LinearFit, y: str, out: str = "_resid") -> Au
     c[g.idx([y])[0]] += 1.0
     M = np.vstack([np.eye(k), c[None, :]])
     return g.linear(g.names + [out], M)
-
-
-def key_json(**kv) -> str:
-    return json.dumps(kv, sort_keys=True)
