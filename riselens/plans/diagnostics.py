@@ -8,9 +8,12 @@ points: the ranked frame is bucketed by the union of cut points and ONE pass
 computes an augmented Gram per bucket.  Each split's fold and test Grams are
 sums of buckets; the solve is ``stage.solve_two_stage`` on the driver.
 
-The design is a superset (dummies for every level); for each training set the
-levels present there are selected and the first one dropped, as a per-split
-``get_dummies(drop_first=True)`` would do.
+The design is a superset (dummies for every hour and weekday); for each training
+set the levels present there are selected and the first one dropped, as a
+per-split ``get_dummies(drop_first=True)`` would do.  Communities are eliminated
+(``operators.factors``): the same buckets give sums per community, which are
+spread to the splits and folds a bucket belongs to, and all splits are solved
+together (``stage.solve_many``).
 
 Pairwise accuracy for all splits is one counting job: each test row is
 exploded once per split it belongs to, with that split's prediction.
@@ -27,14 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riselens.operators import factors as X
 from riselens.operators import gram as G
-from riselens.operators.order import exact_quantiles, quantiles_of_ranked
+from riselens.operators.joins import attach_small
+from riselens.operators.order import quantiles_of_ranked
 from riselens.operators.pairwise import pairwise_accuracy
 from riselens.plans import stage as S
+from riselens.session import checkpoint
 
 # Function defaults of the studied diagnostics (their CLI used other values).
 MIN_TRAIN, MIN_TEST, MIN_TARGET_STD, MIN_STAGE_B_RMSE = 200, 100, 1e-6, 0.05
@@ -45,12 +50,10 @@ BOOT_MIN_OOB_RATIO, BOOT_MIN_OOB, BOOT_MAX_ABS_SKEW = 0.1, 50, 10.0
 class FullDesign:
     hours: list
     dows: list
-    communities: list
 
     def specs(self):
         return ([(f"hour_{h}", "hour_of_day", h, "h") for h in self.hours]
-                + [(f"dow_{d}", "day_of_week", d, "d") for d in self.dows]
-                + [(f"subreddit_{c}", "subreddit", c, "s") for c in self.communities])
+                + [(f"dow_{d}", "day_of_week", d, "d") for d in self.dows])
 
     def exprs(self) -> dict[str, Column]:
         return {n: G.indicator(src, lv) for n, src, lv, _ in self.specs()}
@@ -62,33 +65,64 @@ class FullDesign:
 
     def for_train(self, train: G.AugGram) -> S.Design:
         """Levels present in the training Gram, first one dropped."""
-        present = {"h": [], "d": [], "s": []}
+        present = {"h": [], "d": []}
         for name, _, lv, kind in self.specs():
             if train.U[0, train.idx([name])[0]] > 0:
                 present[kind].append(lv)
-        return S.Design(present["h"], present["d"], present["s"])
+        return S.Design(present["h"], present["d"])
 
 
 def fit_full_design(frame: DataFrame) -> FullDesign:
     d = S.fit_design(frame)
-    return FullDesign(d.hours, d.dows, d.communities)
+    return FullDesign(d.hours, d.dows)
 
 
-def _solve_split(buckets: dict[int, G.AugGram], bounds: list[int], fd: FullDesign, train_end: int,
-                 test_lo: int, test_hi: int, folds: int, names: list[str]):
-    """Fit one split from bucket Grams: train = ranks [0, train_end), folds
-    contiguous inside it, test = ranks [test_lo, test_hi)."""
-    pos = {b: i for i, b in enumerate(bounds)}
+@dataclass
+class Split:
+    """Train = ranks [0, train_end) in contiguous folds, test = ranks [lo, hi)."""
+
+    name: str
+    train_end: int
+    lo: int
+    hi: int
+
+    def parts(self, folds: int) -> list[tuple[str, int, int]]:
+        fb = S.fold_bounds(self.train_end, folds)
+        return [*((f"f{i}", fb[i], fb[i + 1]) for i in range(folds)), ("test", self.lo, self.hi)]
 
-    def span(lo: int, hi: int) -> G.AugGram:
-        return G.sum_grams([buckets.get(i, G.AugGram.zeros(names)) for i in range(pos[lo], pos[hi])], names)
 
-    fb = S.fold_bounds(train_end, folds)
-    fold_grams = [span(fb[i], fb[i + 1]) for i in range(folds)]
-    train = G.sum_grams(fold_grams, names)
-    design = fd.for_train(train)
-    test = span(test_lo, test_hi)
-    return S.solve_two_stage(fold_grams, test, design), train, test
+def solve_splits(prep: Prepared, splits: Sequence[Split], folds: int = S.CV_FOLDS,
+                 accept=lambda train, test: True) -> dict[str, tuple[S.TwoStageFit, G.AugGram, G.AugGram]]:
+    """(fit, train Gram, test Gram) of every accepted split, by name.
+
+    One pass over the rows for the bucket Grams and one for the community sums
+    of the buckets; what follows reads the sums only.
+    """
+    cuts = [c for s in splits for _, lo, hi in s.parts(folds) for c in (lo, hi)]
+    bounds, bid = buckets_of(prep, cuts)
+    d = prep.ranked.withColumns(prep.fd.exprs())
+    buckets = {int(k): v for k, v in G.gram_by_key(d, prep.names, bid).items()}
+    pos = {b: i for i, b in enumerate(bounds)}
+    grams, designs, members = {}, {}, []
+    for s in splits:
+        spans = {part: range(pos[lo], pos[hi]) for part, lo, hi in s.parts(folds)}
+        own = {part: G.sum_grams([buckets.get(i, G.AugGram.zeros(prep.names)) for i in span], prep.names) for part, span in spans.items()}
+        train = G.sum_grams([g for part, g in own.items() if part != "test"], prep.names)
+        if not accept(train, own["test"]):
+            continue
+        grams |= {(s.name, part): g for part, g in own.items()}
+        designs[s.name] = prep.fd.for_train(train)
+        members += [(str(i), s.name, part) for part, span in spans.items() for i in span]
+    if not designs:
+        return {}
+    sums = checkpoint(X.level_sums(d, S.FACTOR, prep.names, part=bid))
+    moments = [c for c in sums.columns if c not in ("fit", "part", "level")]
+    of = prep.ranked.sparkSession.createDataFrame(members, "bucket string, fit string, member string")
+    spread = sums.drop("fit").withColumnRenamed("part", "bucket").join(F.broadcast(of), "bucket")  # as many rows as buckets of splits
+    levels = checkpoint(spread.groupBy("fit", F.col("member").alias("part"), "level").agg(*[F.expr(f"sum({c}) AS {c}") for c in moments]))
+    fits = S.solve_many(grams, levels, designs, prep.names)
+    train_of = {f: G.sum_grams([grams[f, f"f{i}"] for i in range(folds)], prep.names) for f in fits}
+    return {f: (fit, train_of[f], grams[f, "test"]) for f, fit in fits.items()}
 
 
 def _target_std(g: G.AugGram) -> float:
@@ -113,20 +147,22 @@ def _record(fit: S.TwoStageFit, **extra) -> dict:
 def _pairwise_for(ranked: DataFrame, fd: FullDesign, specs: list[tuple[str, int, int, S.TwoStageFit]]) -> dict:
     """E2 for many splits in one counting job; specs = (label, lo, hi, fit).
 
-    Each split's Stage A residual and Stage B prediction are linear in the
-    design columns, so one ``mapInPandas`` pass computes them for every split
-    as ``X·Wᵀ`` per batch and emits a row per (split, test row); the pairs are
-    then counted by ``pairwise_accuracy`` with the split as report key.
+    Each split's Stage A residual (but for the community effect, which is joined
+    by split and community) and Stage B prediction are linear in the design
+    columns, so one ``mapInPandas`` pass computes them for every split as ``X·Wᵀ``
+    per batch and emits a row per (split, test row); the pairs are then counted
+    by ``pairwise_accuracy`` with the split as report key.
     """
     if not specs:
         return {}
-    names = sorted({c for _, _, _, f in specs for c in f.stage_a.features + f.stage_b_raw().features})
+    names = sorted({c for _, _, _, f in specs for c in f.stage_a.features + f.stage_b_raw().features} - {X.EFFECT})
     pos = {c: i for i, c in enumerate(names)}
 
     def weights(lf):
         w = np.zeros(len(names))
         for c, b in zip(lf.features, lf.coef):
-            w[pos[c]] = b
+            if c != X.EFFECT:
+                w[pos[c]] = b
         return w
 
     Wa = np.array([weights(f.stage_a) for _, _, _, f in specs])
@@ -147,10 +183,10 @@ def _pairwise_for(ranked: DataFrame, fd: FullDesign, specs: list[tuple[str, int,
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[xcols].to_numpy(dtype=np.float64)
+            Z = pdf[xcols].to_numpy(dtype=np.float64)
             rank = pdf["time_rank"].to_numpy()
-            actual = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - X @ Wa.T - ba[None, :]
-            pred = X @ Wb.T + bb[None, :]
+            actual = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - Z @ Wa.T - ba[None, :]
+            pred = Z @ Wb.T + bb[None, :]
             member = (rank[:, None] >= lo[None, :]) & (rank[:, None] < hi[None, :])
             ri, si = np.nonzero(member)
             yield pd.DataFrame({
@@ -161,6 +197,11 @@ def _pairwise_for(ranked: DataFrame, fd: FullDesign, specs: list[tuple[str, int,
 
     schema = "split_label string, subreddit string, hour_bucket timestamp, actual double, pred double"
     ex = src.mapInPandas(explode_splits, schema)
+    named = F.coalesce(*[F.when(F.col("fit") == f.name, F.lit(label)) for label, _, _, f in specs])
+    effects = specs[0][3].effects.select(named.alias("split_label"), F.col("level").alias("_level"), F.col("e0").alias(X.EFFECT)).where("split_label IS NOT NULL")
+    unseen = F.coalesce(*[F.when(F.col("split_label") == label, F.lit(float(f.base[0]))) for label, _, _, f in specs])
+    ex = attach_small(ex.withColumn("_level", X.level_of("subreddit")), effects, ["split_label", "_level"], "left")
+    ex = ex.withColumn("actual", F.col("actual") - F.coalesce(F.col(X.EFFECT), unseen)).drop("_level", X.EFFECT)
     res = pairwise_accuracy(ex, ["split_label", "subreddit", "hour_bucket"], "actual", "pred", by=["split_label"])
     return {r["split_label"]: (r["pairwise_accuracy"], r["pairs"]) for r in res.collect()}
 
@@ -189,11 +230,10 @@ def bucket_of(rank: Column, cuts: Sequence[int], offset: int = 0) -> Column:
         bucket_of(rank, cuts[mid + 1:], offset + mid + 1))
 
 
-def bucket_grams(prep: Prepared, cuts: Iterable[int]) -> tuple[list[int], dict[int, G.AugGram]]:
+def buckets_of(prep: Prepared, cuts: Iterable[int]) -> tuple[list[int], Column]:
+    """Sorted cut points with both ends, and the number of a row's bucket between them."""
     bounds = sorted({0, prep.n, *[int(c) for c in cuts if 0 <= c <= prep.n]})
-    bid = bucket_of(F.col("time_rank"), bounds[1:-1])
-    grams = G.gram_by_key(prep.ranked.withColumns(prep.fd.exprs()), prep.names, bid)
-    return bounds, {int(k): v for k, v in grams.items()}
+    return bounds, bucket_of(F.col("time_rank"), bounds[1:-1])
 
 
 def temporal_splits(prep: Prepared, quantiles: Sequence[float] = (0.6, 0.65, 0.7, 0.75, 0.8),
@@ -205,13 +245,11 @@ def temporal_splits(prep: Prepared, quantiles: Sequence[float] = (0.6, 0.65, 0.7
     counts = prep.ranked.agg(*[F.count_if(F.col("created_timestamp") <= F.lit(t)).alias(f"c{i}")
                                for i, t in enumerate(times)]).collect()[0]
     n_train = [int(counts[f"c{i}"]) for i in range(len(qs))]
-    cuts = [c for nt in n_train for c in S.fold_bounds(nt, folds)]
-    bounds, buckets = bucket_grams(prep, cuts)
+    some = [(q, t, nt) for q, t, nt in zip(qs, times, n_train) if 0 < nt < prep.n]
+    found = solve_splits(prep, [Split(f"q{q}", nt, nt, prep.n) for q, _, nt in some], folds)
     recs, specs = [], []
-    for q, t, nt in zip(qs, times, n_train):
-        if nt == 0 or nt == prep.n:
-            continue
-        fit, _, _ = _solve_split(buckets, bounds, prep.fd, nt, nt, prep.n, folds, prep.names)
+    for q, t, nt in some:
+        fit = found[f"q{q}"][0]
         recs.append(_record(fit, split_quantile=q, split_time=t, train_count=nt, test_count=prep.n - nt))
         specs.append((f"q{q}", nt, prep.n, fit))
     _attach_pairwise(prep, recs, specs, pairwise)
@@ -233,17 +271,14 @@ def blocked_cv(prep: Prepared, min_train: int = MIN_TRAIN, min_test: int = MIN_T
     days = (prep.ranked.groupBy(F.to_date("created_dt").alias("day"))
             .agg(F.min("time_rank").alias("lo"), F.max("time_rank").alias("hi")).orderBy("day").collect())
     blocks = [(str(r["day"]), int(r["lo"]), int(r["hi"]) + 1) for r in days]
-    cuts = []
-    for _, lo, hi in blocks:
-        cuts += S.fold_bounds(lo, folds) + [hi]
-    bounds, buckets = bucket_grams(prep, cuts)
+    some = [(day, lo, hi) for day, lo, hi in blocks if lo >= min_train and hi - lo >= min_test]
+    varied = lambda train, test: min(_target_std(train), _target_std(test)) > min_target_std
+    found = solve_splits(prep, [Split(day, lo, lo, hi) for day, lo, hi in some], folds, varied)
     recs, specs = [], []
-    for day, lo, hi in blocks:
-        if lo < min_train or hi - lo < min_test:
-            continue
-        fit, train, test = _solve_split(buckets, bounds, prep.fd, lo, lo, hi, folds, prep.names)
-        if _target_std(train) <= min_target_std or _target_std(test) <= min_target_std:
+    for day, lo, hi in some:
+        if day not in found:
             continue
+        fit = found[day][0]
         rb = fit.metrics["stage_b"]
         if min(rb["train"]["rmse"] or 0, rb["test"]["rmse"] or 0) < min_stage_b_rmse:
             continue
@@ -259,11 +294,10 @@ def learning_curve(prep: Prepared, base_quantile: float = 0.7, fractions: Sequen
     t = quantiles_of_ranked(prep.ranked, "time_rank", "created_timestamp", prep.n, [base_quantile])[0]
     nt = prep.ranked.filter(F.col("created_timestamp") <= F.lit(t)).count()
     sizes = [(f, int(nt * f)) for f in fractions if 0 < f <= 1 and int(nt * f) >= min_train]
-    cuts = [nt] + [c for _, m in sizes for c in S.fold_bounds(m, folds)]
-    bounds, buckets = bucket_grams(prep, cuts)
+    found = solve_splits(prep, [Split(f"f{f}", m, nt, prep.n) for f, m in sizes], folds)
     recs, specs = [], []
     for f, m in sizes:
-        fit, _, _ = _solve_split(buckets, bounds, prep.fd, m, nt, prep.n, folds, prep.names)
+        fit = found[f"f{f}"][0]
         recs.append(_record(fit, fraction=f, train_count=m, test_count=prep.n - nt, base_split_time=t))
         specs.append((f"f{f}", nt, prep.n, fit))
     _attach_pairwise(prep, recs, specs, pairwise)
@@ -307,44 +341,70 @@ def bootstrap_grams(prep: Prepared, iterations: int, seed: int) -> dict[tuple[in
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.empty((len(pdf), k))
-            X[:, 0] = 1.0
-            X[:, 1:] = pdf[xcols].to_numpy(dtype=np.float64)
+            Z = np.ones((len(pdf), k))
+            Z[:, 1:] = pdf[xcols].to_numpy(dtype=np.float64)
             h = pdf["_h"].to_numpy().astype(np.uint64)
             for r in range(iterations):
                 w, fold = replicate_weights(h, r, seed)
                 oob = w == 0
                 if oob.any():
-                    Xo = X[oob]
+                    Zo = Z[oob]
                     key = f"{r}|oob"
-                    acc[key] = acc.get(key, 0) + Xo.T @ Xo
+                    acc[key] = acc.get(key, 0) + Zo.T @ Zo
                 for f in range(S.CV_FOLDS):
                     m = (fold == f) & ~oob
                     if m.any():
-                        Xi = X[m]
+                        Zi = Z[m]
                         key = f"{r}|f{f}"
-                        acc[key] = acc.get(key, 0) + (Xi * w[m][:, None]).T @ Xi
-        if acc:
-            ctx = TaskContext.get()
-            salt = (ctx.partitionId() if ctx is not None else 0) % G.SALT
-            yield pd.DataFrame({"_k": list(acc.keys()), "_salt": salt, "_u": [m.tobytes() for m in acc.values()]})
-
-    def reduce(pdf):
-        tot = np.zeros(k * k)
-        for b in pdf["_u"]:
-            tot += np.frombuffer(b, dtype=np.float64)
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "_salt": [0], "_u": [tot.tobytes()]})
-
-    schema = "_k string, _salt int, _u binary"
-    out = (src.mapInPandas(partials, schema).groupBy("_k", "_salt").applyInPandas(reduce, schema)
-           .groupBy("_k").applyInPandas(reduce, schema).collect())
+                        acc[key] = acc.get(key, 0) + (Zi * w[m][:, None]).T @ Zi
+        yield from G.partial_frames({key: m.ravel() for key, m in acc.items()})
+
     res = {}
-    for r in out:
-        rep, part = r["_k"].split("|")
-        res[(int(rep), part)] = G.AugGram(names, np.frombuffer(r["_u"], dtype=np.float64).reshape(k, k).copy())
+    for key, flat in G.reduce_partials(src.mapInPandas(partials, G.PARTIAL_SCHEMA)).items():
+        rep, part = key.split("|")
+        res[(int(rep), part)] = G.AugGram(names, flat.reshape(k, k))
     return res
 
 
+def bootstrap_levels(prep: Prepared, iterations: int, seed: int) -> DataFrame:
+    """Community sums per replicate and part ("f0"... in the bag, "test" out of it).
+
+    Each batch sums its rows per (replicate, part, community) before anything
+    is shuffled.
+    """
+    names = prep.names
+    k = len(names) + 1
+    src = prep.ranked.withColumns(prep.fd.exprs()).select(
+        X.level_of(S.FACTOR).alias("_level"), F.xxhash64("post_id").alias("_h"),
+        *[G.filled(c, f"_x{i}") for i, c in enumerate(names)])
+    xcols = [f"_x{i}" for i in range(len(names))]
+    parts = np.array([*(f"f{f}" for f in range(S.CV_FOLDS)), "test"], object)
+    moments = ["d0_0", *[f"c0_{j}" for j in range(k)]]
+
+    def sums(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            U = np.ones((len(pdf), k))
+            U[:, 1:] = pdf[xcols].to_numpy(dtype=np.float64)
+            h = pdf["_h"].to_numpy().astype(np.uint64)
+            level, found = pd.factorize(pdf["_level"])
+            for r in range(iterations):
+                w, fold = replicate_weights(h, r, seed)
+                key = level * len(parts) + np.where(w == 0, len(parts) - 1, fold)
+                order = np.argsort(key, kind="stable")
+                keys, first = np.unique(key[order], return_index=True)
+                C = np.add.reduceat(U[order] * np.where(w == 0, 1.0, w)[order, None], first)
+                out = pd.DataFrame(np.concatenate((C[:, :1], C), axis=1), columns=moments)
+                out.insert(0, "level", np.asarray(found, object)[keys // len(parts)])
+                out.insert(0, "part", parts[keys % len(parts)])
+                out.insert(0, "fit", str(r))
+                yield out
+
+    schema = "fit string, part string, level string, " + ", ".join(f"{m} double" for m in moments)
+    return src.mapInPandas(sums, schema).groupBy("fit", "part", "level").agg(*[F.expr(f"sum({m}) AS {m}") for m in moments])
+
+
 def bootstrap(prep: Prepared, iterations: int = 30, seed: int = 42, min_oob_ratio: float = BOOT_MIN_OOB_RATIO,
               max_abs_skew: float = BOOT_MAX_ABS_SKEW) -> pd.DataFrame:
     """Per replicate fit on in-bag rows (weights), test on out-of-bag rows;
@@ -354,17 +414,20 @@ def bootstrap(prep: Prepared, iterations: int = 30, seed: int = 42, min_oob_rati
     grams = bootstrap_grams(prep, iterations, seed)
     names = prep.names
     min_oob = max(int(prep.n * min_oob_ratio), BOOT_MIN_OOB)
-    fits = {}
+    parts, designs, n_in = {}, {}, {}
     for r in range(iterations):
         oob = grams.get((r, "oob"), G.AugGram.zeros(names))
         if oob.n < min_oob:
             continue
-        folds = [grams.get((r, f"f{f}"), G.AugGram.zeros(names)) for f in range(S.CV_FOLDS)]
-        design = prep.fd.for_train(G.sum_grams(folds, names))
-        fits[r] = (S.solve_two_stage(folds, oob, design), oob, G.sum_grams(folds, names).n)
-    if not fits:
+        folds = {(str(r), f"f{f}"): grams.get((r, f"f{f}"), G.AugGram.zeros(names)) for f in range(S.CV_FOLDS)}
+        train = G.sum_grams(folds.values(), names)
+        parts |= folds | {(str(r), "test"): oob}
+        designs[str(r)], n_in[r] = prep.fd.for_train(train), train.n
+    if not designs:
         return pd.DataFrame()
-    mom = residual_moments(prep, {r: f.stage_a for r, (f, _, _) in fits.items()})
+    solved = S.solve_many(parts, checkpoint(bootstrap_levels(prep, iterations, seed)), designs, names)
+    fits = {r: (solved[str(r)], parts[str(r), "test"], n) for r, n in n_in.items()}
+    mom = residual_moments(prep, {r: f for r, (f, _, _) in fits.items()})
     recs = []
     n = float(prep.n)
     adj = np.sqrt(n * (n - 1)) / (n - 2) if n > 2 else float("nan")
@@ -382,11 +445,16 @@ def residual_moments(prep: Prepared, fits: dict) -> dict:
     rows, for every replicate in ONE pass: per batch the residual matrix is
     y − X·Wᵀ − b (numpy), and Σr, Σr², Σr³ per replicate are summed."""
     keys = sorted(fits)
-    names = sorted({c for f in fits.values() for c in f.features})
-    W = np.array([[dict(zip(fits[r].features, fits[r].coef)).get(c, 0.0) for c in names] for r in keys])
-    b = np.array([fits[r].intercept for r in keys])
-    src = prep.ranked.withColumns(prep.fd.exprs()).select(
-        F.col(S.TARGET).cast("double").alias("_y"),
+    stage_a = [fits[r].stage_a for r in keys]
+    names = sorted({c for f in stage_a for c in f.features} - {X.EFFECT})
+    W = np.array([[dict(zip(f.features, f.coef)).get(c, 0.0) for c in names] for f in stage_a])
+    b = np.array([f.intercept for f in stage_a])
+    effects = fits[keys[0]].effects.groupBy(F.col("level").alias("_level")).agg(
+        F.map_from_entries(F.collect_list(F.struct("fit", "e0"))).alias("_e"))  # an entry per replicate
+    own = F.array(*[F.coalesce(F.element_at("_e", fits[r].name), F.lit(float(fits[r].base[0]))) for r in keys])
+    rows = attach_small(prep.ranked.withColumns(prep.fd.exprs()).withColumn("_level", X.level_of(S.FACTOR)), effects, "_level", "left")
+    src = rows.select(
+        F.col(S.TARGET).cast("double").alias("_y"), own.alias("_own"),
         *[G.filled(c, f"_x{i}") for i, c in enumerate(names)])
     xcols = [f"_x{i}" for i in range(len(names))]
 
@@ -396,8 +464,7 @@ def residual_moments(prep: Prepared, fits: dict) -> dict:
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[xcols].to_numpy(dtype=np.float64)
-            R = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - X @ W.T - b[None, :]
+            R = pdf["_y"].to_numpy(dtype=np.float64)[:, None] - pdf[xcols].to_numpy(dtype=np.float64) @ W.T - b[None, :] - np.stack(pdf["_own"])
             acc += np.stack([R.sum(0), (R ** 2).sum(0), (R ** 3).sum(0)])
             n += len(pdf)
         yield pd.DataFrame({"_n": [n], "_s": [acc.tobytes()]})

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riselens.operators import factors as X
 from riselens.operators import gram as G
 from riselens.operators.pairwise import pairwise_accuracy
 from riselens.operators.stats import calibration, lift_by, residual_summary
@@ -250,24 +251,58 @@ def q_centered(spark, sf):
     return rounded(cmp.withColumns({"abs_coef_raw": F.abs("coef_raw"), "abs_coef_centered": F.abs("coef_centered")}))
 
 
+def _community_slopes(spark, sf):
+    """Stage B with an own level and an own slope of ``has_clickbait`` per community, fitted on train."""
+    def build():
+        _, scored, _ = fitted(spark, sf)
+        x = [c for c in S.STAGE_B_TITLE_COLS if c != SLOPE]
+        return X.fit_with_factor(scored.filter(F.col("split") == "train"), S.FACTOR, x, "stage_a_residual", by=[SLOPE])
+    return _memo(spark, sf, "slopes", build)
+
+
+SLOPE = "has_clickbait"
+
+
 @register("stage_b_community_interaction")
 def q_interaction(spark, sf):
+    """Metrics of the model with community slopes on both splits."""
+    _, scored, _ = fitted(spark, sf)
+    fit, effects, base = _community_slopes(spark, sf)
+    rows = X.attach_effect(scored, S.FACTOR, effects, "all", base, [SLOPE]).withColumn("pred", fit.predict_expr())
+    e = F.col("stage_a_residual") - F.col("pred")
+    return rounded(rows.groupBy("split").agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        (1 - F.sum(e * e) / (F.var_pop("stage_a_residual") * F.count("*"))).alias("r2"), F.count("*").alias("n")))
+
+
+@register("stage_b_community_slopes")
+def q_slopes(spark, sf):
+    """The ten communities whose slope differs most from zero, with their level and rows."""
+    _, effects, _ = _community_slopes(spark, sf)
+    top = effects.select(F.col("level").alias("subreddit"), F.col("n").cast("long").alias("n"), F.col("e0").alias("level_effect"), F.col("e1").alias("slope"))
+    return rounded(top.orderBy(F.abs("slope").desc(), "subreddit").limit(10))
+
+
+@register("stage_a_community_effects")
+def q_community_effects(spark, sf):
+    """The effect of every community in Stage A, and its distance to the first one (the dummy's coefficient)."""
     fit, _, _ = fitted(spark, sf)
-    comms = fit.design.communities
-    extra = {f"ix_{c}": (F.col("subreddit") == F.lit(c)).cast("double") * F.col("has_clickbait").cast("double")
-             for c in comms}
-    tr, te = _train_test_grams(spark, sf, extra, list(extra))
-    x = list(S.STAGE_B_TITLE_COLS) + list(extra)
-    f = G.fit_ols(tr, x, "stage_a_residual")
-    rows = [("train", *G.metrics(tr, f, "stage_a_residual").values()),
-            ("test", *G.metrics(te, f, "stage_a_residual").values())]
-    return rounded(spark.createDataFrame(rows, "split string, rmse double, r2 double, n long"))
+    own = fit.effects.where(F.col("fit") == fit.name)
+    return rounded(own.select(F.col("level").alias("subreddit"), F.col("n").cast("long").alias("n"), F.col("e0").alias("effect"), (F.col("e0") - F.lit(fit.base[0])).alias("coef")))
+
+
+#: Communities with a dummy of their own in the penalised model.
+PENALIZED_LEVELS = 300
 
 
 @register("penalized_two_stage")
 def q_penalized(spark, sf):
     """Stage A and Stage B both elastic-net CV (default alpha path,
-    scaler without centering), Stage B on Stage A's residual."""
+    scaler without centering), Stage B on Stage A's residual.
+
+    A penalty acts on the dummies themselves, so they cannot be eliminated:
+    the PENALIZED_LEVELS most frequent communities get one each, and the
+    others share the level without a dummy."""
     r = S.ranked_frame(S.with_interactions(stage_frame(spark, sf)))
     n = r.count()
     from riselens.operators.order import quantiles_of_ranked
@@ -276,13 +311,16 @@ def q_penalized(spark, sf):
     design = S.fit_design(r.filter(F.col("time_rank") < nt))
     fb = S.fold_bounds(nt, S.CV_FOLDS)
     key = S.interval_key(F.col("time_rank"), fb + [n], [f"f{i}" for i in range(S.CV_FOLDS)] + ["test"])
-    names = S.stage_columns(design)
-    grams = G.gram_by_key(design.transform(r), names, key)
+    common = r.filter(F.col("time_rank") < nt).groupBy(S.FACTOR).count().orderBy(F.desc("count"), S.FACTOR).limit(PENALIZED_LEVELS)
+    levels = sorted(row[0] for row in common.collect() if row[0] is not None)
+    dummies = {f"{S.FACTOR}_{c}": G.indicator(S.FACTOR, c) for c in levels[1:]}
+    names = design.stage_a + list(dummies) + design.stage_b + [S.TARGET]
+    grams = G.gram_by_key(design.transform(r).withColumns(dummies), names, key)
     folds = [grams.get(f"f{i}", G.AugGram.zeros(names)) for i in range(S.CV_FOLDS)]
     test = grams.get("test", G.AugGram.zeros(names))
     train = G.sum_grams(folds, names)
     l1s = (0.1, 0.3, 0.5, 0.7, 0.9)
-    xa = design.stage_a
+    xa = design.stage_a + list(dummies)
     _, sa = G.scaler_from_gram(train, xa)
     fa, cva = G.fit_elastic_net_cv([G.standardize(f, xa, np.zeros(len(xa)), sa, center=False) for f in folds],
                                    xa, S.TARGET, l1s, None)

@@ -5,9 +5,12 @@ the split and fold boundaries become rank intervals, and ONE pass computes an
 augmented Gram per interval over [Stage A design, Stage B design, target].
 Everything else — Stage A OLS, its residual, the Stage B scaler, variance
 filter, elastic-net CV over l1 × alpha, Stage B OLS, train/test metrics — is
-matrix algebra on those Grams on the driver.  Per-row outputs (predictions,
-residuals) are a single projection with the coefficients as literals, and the
-pairwise evaluation counts pairs on the test rows (``operators.pairwise``).
+matrix algebra on those Grams on the driver.  The community factor has any
+number of levels: it is eliminated by per-level sums (``operators.factors``),
+and its effects stay a distributed table.  Per-row outputs (predictions,
+residuals) are one join with that table and a projection with the coefficients
+as literals, and the pairwise evaluation counts pairs on the test rows
+(``operators.pairwise``).
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riselens.functions.context import interaction_features
+from riselens.operators import factors as X
 from riselens.operators import gram as G
 from riselens.operators.order import global_rank
+from riselens.session import checkpoint
 
 # ---------------------------------------------------------------------------
 # The design column lists and search grids of the studied model
@@ -52,6 +57,7 @@ ENET_ALPHAS = list(np.logspace(-3, 2, 30))
 CV_FOLDS = 5
 VARIANCE_FLOOR = 1e-8
 TARGET = "stage_a_target"
+FACTOR = "subreddit"
 # ---------------------------------------------------------------------------
 
 
@@ -62,8 +68,8 @@ def _first_present(df: DataFrame, names: Sequence[str]) -> Column:
     return F.lit(None).cast("double")
 
 
-def prepare_stage(features: DataFrame, platform: str | None = "reddit") -> DataFrame:
-    """M1: platform filter, score fallbacks, targets, default fills (A4)."""
+def prepare_stage(features: DataFrame, platform: str | None = None) -> DataFrame:
+    """M1 / NM13: platform filter (all by default), score fallbacks, targets, default fills (A4)."""
     df = features if platform is None else features.filter(F.col("platform") == platform)
     s5 = F.coalesce(_first_present(df, ["score_5m", "score_at_5min"]), F.lit(0.0))
     s30 = F.coalesce(_first_present(df, ["score_30m", "score_at_30min"]), s5)
@@ -102,18 +108,20 @@ def with_interactions(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Design:
-    """M2: fitted level lists (from train) and the resulting design columns."""
+    """M2: fitted level lists (from train) and the resulting design columns.
+
+    Hours and weekdays become dummies; the community is a factor of any number
+    of levels and never a column.
+    """
 
     hours: list
     dows: list
-    communities: list
     stage_b: list[str] = field(default_factory=lambda: STAGE_B_TITLE_COLS + STAGE_B_INTERACTION_COLS)
 
     def dummy_specs(self) -> list[tuple[str, str, object]]:
         """(dummy name, source column, level); the first level of each is dropped."""
         return ([(f"hour_{h}", "hour_of_day", h) for h in self.hours[1:]]
-                + [(f"dow_{d}", "day_of_week", d) for d in self.dows[1:]]
-                + [(f"subreddit_{c}", "subreddit", c) for c in self.communities[1:]])
+                + [(f"dow_{d}", "day_of_week", d) for d in self.dows[1:]])
 
     def dummy_exprs(self) -> dict[str, Column]:
         return {name: G.indicator(src, lv) for name, src, lv in self.dummy_specs()}
@@ -127,26 +135,13 @@ class Design:
         return df.withColumns(self.dummy_exprs())
 
 
-MAX_COMMUNITY_LEVELS = 2000   # dummies become Gram columns: p² doubles per key
-
-
 def fit_design(train: DataFrame) -> Design:
-    """Level lists from the training rows.
-
-    Hours (24) and weekdays (7) are bounded by construction; the community
-    count is checked first (a distinct count, then a bounded collect) so an
-    unbounded key space never reaches the driver or the Gram width.
-    """
-    n_comm = train.agg(F.count_distinct("subreddit").alias("n")).collect()[0]["n"]
-    if n_comm > MAX_COMMUNITY_LEVELS:
-        raise ValueError(f"{n_comm} communities exceed MAX_COMMUNITY_LEVELS={MAX_COMMUNITY_LEVELS}: "
-                         "group rare communities before the dummy design")
+    """Hours (24) and weekdays (7) present in the training rows: bounded by construction."""
     lv = train.agg(
         F.sort_array(F.collect_set("hour_of_day")).alias("h"),
         F.sort_array(F.collect_set("day_of_week")).alias("d"),
-        F.sort_array(F.collect_set("subreddit")).alias("s"),
     ).collect()[0]
-    return Design(list(lv["h"]), list(lv["d"]), list(lv["s"]))
+    return Design(list(lv["h"]), list(lv["d"]))
 
 
 def fold_bounds(n: int, k: int) -> list[int]:
@@ -175,7 +170,7 @@ def interval_key(rank: Column, bounds: Sequence[int], labels: Sequence[str]) ->
 @dataclass
 class TwoStageFit:
     design: Design
-    stage_a: G.LinearFit
+    stage_a: G.LinearFit            # with the column X.EFFECT, the effect of the row's community
     stage_b: G.LinearFit            # elastic net on standardized active columns
     stage_b_ols: G.LinearFit
     scaler_mean: np.ndarray
@@ -183,6 +178,9 @@ class TwoStageFit:
     active: list[str]
     cv: dict
     metrics: dict
+    name: str = "all"               # of this fit in the tables of community effects
+    effects: DataFrame | None = None
+    base: list[float] = field(default_factory=lambda: [0.0])
 
     def stage_b_raw(self) -> G.LinearFit:
         """Stage B coefficients on the raw (unscaled) columns."""
@@ -194,13 +192,38 @@ class TwoStageFit:
         return G.LinearFit(b.features, coef, float(b.intercept - np.sum(mu * coef)), b.n, {})
 
 
-def solve_two_stage(train_folds: Sequence[G.AugGram], test: G.AugGram, design: Design,
+def solve_many(grams: dict[tuple[str, str], G.AugGram], levels: DataFrame, designs: dict[str, Design], cols: Sequence[str],
+               l1_ratios=ENET_L1_RATIOS, alphas=ENET_ALPHAS) -> dict[str, TwoStageFit]:
+    """All fits at once, from Grams by (fit, part) and the written level table
+    of the same fits and parts ("f0"... are the training folds, "test" the rest).
+
+    Three passes over the level table whatever the number of fits: what the
+    levels explain, their effects, and the effects' moments in every part.
+    """
+    train = checkpoint(X.merge_parts(levels.where("part <> 'test'")))
+    between = X.between_grams(train, cols)
+    folds = {f: [grams.get((f, f"f{i}"), G.AugGram.zeros(cols)) for i in range(CV_FOLDS)] for f in designs}
+    none = G.AugGram.zeros(cols), 0
+    stage_a = {f: X.fit_absorbed(G.sum_grams(folds[f], cols), *between.get(f, none), d.stage_a, TARGET) for f, d in designs.items()}
+    effects = X.level_effects(train, stage_a, cols, TARGET)
+    base = X.base_effects(effects)
+    moments = X.effect_moments(levels, effects, base, cols)
+    out = {}
+    for f, design in designs.items():
+        own = [X.with_effect(g, moments.get((f, f"f{i}"))) for i, g in enumerate(folds[f])]
+        test = X.with_effect(grams.get((f, "test"), G.AugGram.zeros(cols)), moments.get((f, "test")))
+        fit = solve_two_stage(own, test, design, stage_a[f], l1_ratios, alphas)
+        fit.name, fit.effects, fit.base = f, effects, base.get(f, [0.0])
+        out[f] = fit
+    return out
+
+
+def solve_two_stage(train_folds: Sequence[G.AugGram], test: G.AugGram, design: Design, fa: G.LinearFit,
                     l1_ratios=ENET_L1_RATIOS, alphas=ENET_ALPHAS) -> TwoStageFit:
-    """Driver solve from fold Grams (train = sum of folds) and the test Gram."""
+    """Driver solve from fold Grams (train = sum of folds), the test Gram and Stage A's fit."""
     names = train_folds[0].names
     train = G.sum_grams(train_folds, names)
-    xa, xb = design.stage_a, design.stage_b
-    fa = G.fit_ols(train, xa, TARGET)
+    xb = design.stage_b
     ma_tr, ma_te = G.metrics(train, fa, TARGET), G.metrics(test, fa, TARGET)
     # Residual of Stage A appended to every Gram.
     rf = [G.residual_gram(g, fa, TARGET, "stage_a_residual") for g in train_folds]
@@ -232,7 +255,7 @@ def score(df: DataFrame, fit: TwoStageFit) -> DataFrame:
     """Per-row predictions and residuals as one projection."""
     pa = fit.stage_a.predict_expr()
     pb = fit.stage_b_raw().predict_expr()
-    d = fit.design.transform(df)
+    d = X.attach_effect(fit.design.transform(df), FACTOR, fit.effects, fit.name, fit.base)
     d = d.withColumn("stage_a_pred", pa).withColumn("stage_a_residual", F.col(TARGET) - F.col("stage_a_pred"))
     return d.withColumns({"stage_b_pred": pb}).withColumns({
         "combined_pred": F.col("stage_a_pred") + F.col("stage_b_pred"),
@@ -244,7 +267,8 @@ def run_stage_model(frame: DataFrame, q: float = 0.7, folds: int = CV_FOLDS,
                     l1_ratios=ENET_L1_RATIOS, alphas=ENET_ALPHAS) -> tuple[TwoStageFit, DataFrame, dict]:
     """Fit on the time split at quantile ``q``; return fit, scored rows, info.
 
-    Actions: one rank (sort + counts), one level aggregate, one Gram pass.
+    Actions: one rank (sort + counts), one Gram pass, one pass of level sums,
+    and the passes of ``solve_many`` over the level table.
     """
     from riselens.operators.order import quantiles_of_ranked
     r = ranked_frame(with_interactions(frame))
@@ -255,10 +279,10 @@ def run_stage_model(frame: DataFrame, q: float = 0.7, folds: int = CV_FOLDS,
     fb = fold_bounds(n_train, folds)
     labels = [f"f{i}" for i in range(folds)] + ["test"]
     key = interval_key(F.col("time_rank"), fb + [n], labels)
-    grams = G.gram_by_key(design.transform(r), stage_columns(design), key)
-    names = stage_columns(design)
-    fold_grams = [grams.get(f"f{i}", G.AugGram.zeros(names)) for i in range(folds)]
-    fit = solve_two_stage(fold_grams, grams.get("test", G.AugGram.zeros(names)), design, l1_ratios, alphas)
+    d, names = design.transform(r), stage_columns(design)
+    grams = {("all", part): g for part, g in G.gram_by_key(d, names, key).items()}
+    levels = checkpoint(X.level_sums(d, FACTOR, names, part=key))
+    fit = solve_many(grams, levels, {"all": design}, names, l1_ratios, alphas)["all"]
     scored = score(r, fit).withColumn("split", F.when(F.col("time_rank") < n_train, F.lit("train")).otherwise(F.lit("test")))
     info = {"split_quantile": q, "split_time": split_time, "train_count": n_train, "test_count": n - n_train}
     return fit, scored, info
