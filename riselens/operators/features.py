@@ -56,7 +56,7 @@ def community_stats(df: DataFrame, key: str = "subreddit", value: str = "score",
     )
     if not exact_median:
         return moments
-    # Exact median by distributed ranks (no per-group value buffer).
+    # Exact median by selection (no per-group value buffer, no sort).
     from riselens.operators.order import group_quantiles
     med = group_quantiles(src, [key], value, [0.5]).withColumnRenamed("q0", f"{key}_median_score")
     return moments.join(med, key, "left").select(

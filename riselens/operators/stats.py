@@ -2,8 +2,8 @@
 
 All are ``groupBy`` / ``GROUPING SETS`` aggregates with built-in functions.
 Exact quantiles (linear interpolation, like pandas) come from a distributed
-global rank (``order.exact_quantiles`` / ``order.group_quantiles``), never
-from a per-group value buffer; ``exact=False`` switches to sketches.
+selection (``order.quantile_table``), never from a per-group value buffer or a
+sort of the rows; ``exact=False`` switches to sketches.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def community_lift(df: DataFrame, community: str = "subreddit", residual: str =
         F.avg(F.abs(r)).alias("mean_abs_residual"),
     )
     if exact:
-        # Exact quantiles by distributed ranks: a hot community is never one buffer.
+        # Exact quantiles by selection: a hot community is never one buffer.
         from riselens.operators.order import group_quantiles
         q = group_quantiles(src, [community], residual, [0.5, 0.9, 0.1])
         agg = agg.join(q, community, "left").withColumn("_q", F.array("q0", "q1", "q2")).drop("q0", "q1", "q2")
@@ -215,19 +215,33 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def trimmed(df: DataFrame, metric: str, value: str, frac: float = 0.1) -> DataFrame:
     """Per group, drop floor(n*frac) values at each tail; mean and std.
 
-    Ranks inside a group come from one distributed global rank minus the
-    group's start rank (no window over a whole group).
+    The values at both cuts are selected (no ranks of all rows); what lies
+    between them is summed around the lower one, of which copies add nothing,
+    with as many copies of the upper one as stay.
     """
-    from riselens.operators.order import global_rank
+    from riselens.operators.order import MOST_CELLS, select_ranks
+    from riselens.session import checkpoint
     v = F.col(value).cast("double")
-    base = df.filter(v.isNotNull()).select(metric, v.alias("_v"))
-    ranked = global_rank(base, [metric, "_v"], "_r")
-    starts = ranked.groupBy(metric).agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(starts, metric)
-    pos = F.col("_r") - F.col("_s") + 1
-    k = F.floor(F.col("_n") * F.lit(frac))
-    kept = j.filter((pos > k) & (pos <= F.col("_n") - k))
-    return kept.groupBy(metric).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.count(F.lit(1)).alias("n"))
+    base = df.select(F.col(metric).alias("_m"), v.alias("_v")).where("_v IS NOT NULL")
+    cut = lambda n: F.floor(n * F.lit(frac)).cast("long")
+    found = select_ranks(base, ["_m"], ["_v"], lambda n: [F.least(cut(n), n - 1), F.greatest(n - 1 - cut(n), F.lit(0).cast("long"))])
+    n, k = F.col("n"), cut(F.col("n"))
+    cuts = found.select(F.col("_m").alias("_g"), "n", k.alias("k"), F.element_at("at", F.least(k, n - 1)).alias("a"),
+                        F.element_at("at", F.greatest(n - 1 - k, F.lit(0).cast("long"))).alias("b"))
+    cuts = checkpoint(cuts)
+    small = cuts.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    j = base.join(F.broadcast(cuts) if small else cuts, F.col("_m").eqNullSafe(F.col("_g")))
+    inner = F.when((F.col("_v") > F.col("a")) & (F.col("_v") < F.col("b")), F.col("_v") - F.col("a"))
+    sums = j.groupBy("_m", "n", "k", "a", "b").agg(
+        F.count(inner).alias("c"), F.coalesce(F.sum(inner), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(inner * inner), F.lit(0.0)).alias("s2"),
+        F.count_if(F.col("_v") < F.col("b")).alias("below"))
+    kept = F.col("n") - 2 * F.col("k")
+    high = F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.col("n") - F.col("k") - F.col("below"))
+    width = F.col("b") - F.col("a")
+    t1, t2 = F.col("s1") + high * width, F.col("s2") + high * width * width
+    mean = t1 / kept
+    std = F.when(kept > 1, F.sqrt(F.greatest((t2 - t1 * mean) / (kept - 1), F.lit(0.0))))
+    return sums.where(kept > 0).select(F.col("_m").alias(metric), (F.col("a") + mean).alias("mean"), std.alias("std"), kept.alias("n"))
 
 
 def best_row(df: DataFrame, metric: str, mode: str = "max", tie: str | None = None) -> DataFrame:
@@ -253,7 +267,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, lo: float | None = None,
 
 def qq_table(df: DataFrame, col: str, k: int = 99) -> DataFrame:
     """Empirical quantiles against standard-normal quantiles (QQ data);
-    exact quantiles from one distributed rank."""
+    exact quantiles from one selection."""
     from riselens.operators.order import exact_quantiles
     probs = [(i + 0.5) / k for i in range(k)]
     nd = statistics.NormalDist()
@@ -264,18 +278,16 @@ def qq_table(df: DataFrame, col: str, k: int = 99) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Count, mean, std, min, percentiles, max for numeric columns, long
-    form.  Moments in one aggregate; exact percentiles by distributed rank."""
-    from riselens.operators.order import exact_quantiles
+    form.  Moments in one aggregate; exact percentiles of all columns by one selection."""
+    from riselens.operators.order import quantile_table
     aggs = []
     for c in cols:
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"{c}__n"), F.avg(v).alias(f"{c}__m"), F.stddev_samp(v).alias(f"{c}__s"),
                  F.min(v).alias(f"{c}__lo"), F.max(v).alias(f"{c}__hi")]
     row = df.agg(*aggs).collect()[0]
-    out = []
-    for c in cols:
-        qs = exact_quantiles(df, c, percentiles)
-        out.append((c, row[f"{c}__n"], row[f"{c}__m"], row[f"{c}__s"], row[f"{c}__lo"], *qs, row[f"{c}__hi"]))
+    found = {r["column"]: [r[f"q{i}"] for i in range(len(percentiles))] for r in quantile_table(df, [], cols, percentiles).collect()}
+    out = [(c, row[f"{c}__n"], row[f"{c}__m"], row[f"{c}__s"], row[f"{c}__lo"], *found.get(c, [None] * len(percentiles)), row[f"{c}__hi"]) for c in cols]
     pcols = ", ".join(f"p{int(round(p * 100))} double" for p in percentiles)
     return df.sparkSession.createDataFrame(out, f"column string, count long, mean double, std double, min double, {pcols}, max double")
 

@@ -76,3 +76,84 @@ def test_quantiles_of_ranked_equal_exact(skewed):
     ranked = global_rank(df, ["v", "id"], "rk")
     probs = [0.0, 0.25, 0.7, 1.0]
     assert np.allclose(quantiles_of_ranked(ranked, "rk", "v", len(pdf), probs), np.quantile(pdf["v"], probs))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """60 % of rows on one (key, value), signs, zeros, infinities, NaN, nulls, null keys, neighbours of powers of two."""
+    rng = np.random.default_rng(11)
+    n = 4000
+    v = rng.choice([0.0, -0.0, 8.0, np.nextafter(8, 0), np.nextafter(8, 9), -1.5, 1e-300, -1e300, 5e-324, 3.0], n)
+    v = np.where(rng.random(n) < 0.4, rng.normal(size=n) * 10.0 ** rng.integers(-8, 9, n), v)
+    k = rng.choice(["a", "b", None], n)
+    hot = rng.random(n) < 0.6
+    k, v = np.where(hot, "hot", k), np.where(hot, 7.25, v)
+    rows = [(kk, None if i % 97 == 0 else float(x), float(i % 5)) for i, (kk, x) in enumerate(zip(k, v))]
+    rows += [("none", None, None), ("one", 4.0, None)]
+    return rows, spark.createDataFrame(rows, "k string, v double, w double").repartition(9)
+
+
+def _expected(rows, at, probs):
+    out = {}
+    for key in {r[0] for r in rows}:
+        x = np.array([r[at] for r in rows if r[0] == key and r[at] is not None])
+        if len(x):
+            out[key] = np.quantile(x, probs)
+    return out
+
+
+@pytest.mark.parametrize("open_values, cells", [(100_000, 200_000), (3, 0)])
+def test_selection_equals_numpy(awkward, monkeypatch, open_values, cells):
+    """Also with cells divided down to a few values, and with more cells than are broadcast."""
+    from riselens.operators import order
+    monkeypatch.setattr(order, "OPEN_VALUES", open_values)
+    monkeypatch.setattr(order, "MOST_CELLS", cells)
+    monkeypatch.setattr(order, "SPLIT", 1024 if cells else 4)
+    rows, df = awkward
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+    got = order.quantile_table(df, ["k"], ["v", "w"], probs).collect()
+    for at, c in ((1, "v"), (2, "w")):
+        want = _expected(rows, at, probs)
+        own = {r["k"]: [r[f"q{i}"] for i in range(len(probs))] for r in got if r["column"] == c}
+        assert own.keys() == want.keys()
+        for key in want:
+            assert np.allclose(own[key], want[key], rtol=1e-12, atol=0), (c, key)
+    assert np.allclose(exact_quantiles(df, "v", probs), np.quantile([r[1] for r in rows if r[1] is not None], probs), rtol=1e-12, atol=0)
+
+
+def test_selection_of_infinities_and_nothing(spark):
+    from riselens.operators.order import quantile_table
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (float("nan"),), (None,)], "v double")
+    r = quantile_table(df, [], ["v"], [0.0, 1 / 3, 2 / 3, 1.0]).first()
+    assert r["n"] == 4 and (r["q0"], r["q1"], r["q2"]) == (float("-inf"), 1.0, float("inf")) or np.isnan(r["q2"])
+    assert exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert group_quantiles(df.withColumn("k", df["v"].cast("string")).where("v IS NULL"), ["k"], "v", [0.5]).collect() == []
+
+
+def test_selection_reads_no_sorted_rows(awkward):
+    """A hot value leaves one partial row per task: the largest shuffled partition stays small."""
+    from pyspark.sql import functions as F
+    from riselens.operators.order import cell_of
+    rows, df = awkward
+    sizes = df.where("v IS NOT NULL").groupBy("k", cell_of(F.col("v")).alias("c"), "v").count()
+    assert sizes.count() < 0.6 * len(rows)
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("frac", [0.0, 0.1, 0.34, 0.5])
+def test_trimmed_on_hot_values(awkward, frac):
+    rows, df = awkward
+    from pyspark.sql import functions as F
+    got = {r["k"]: r for r in trimmed(df.where(F.abs("v") < 1e9), "k", "v", frac).collect()}
+    for key in {r[0] for r in rows}:
+        x = np.sort([r[1] for r in rows if r[0] == key and r[1] is not None and abs(r[1]) < 1e9])
+        cut = int(np.floor(len(x) * frac))
+        x = x[cut:len(x) - cut]
+        if not len(x):
+            assert key not in got
+            continue
+        assert got[key]["n"] == len(x)
+        assert got[key]["mean"] == pytest.approx(x.mean(), rel=1e-9, abs=1e-9)
+        if len(x) > 1:
+            assert got[key]["std"] == pytest.approx(x.std(ddof=1), rel=1e-6, abs=1e-6)
