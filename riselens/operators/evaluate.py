@@ -7,12 +7,14 @@ columns; models are unpivoted with ``stack`` so every model is scored in one
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riselens.functions.special import student_t_two_sided
+
 SUCCESS_TARGET = 0.60
 
 
@@ -90,16 +92,21 @@ def hash_split(df: DataFrame, key: str = "post_id", weights: Sequence[float] = (
 
 
 def paired_t(df: DataFrame, y: str, pred_a: str, pred_b: str) -> DataFrame:
-    """Paired t on the signed residuals of two models (n, mean difference, t)."""
+    """Paired t on the signed residuals of two models (n, mean difference, t, two-sided p-value).
+
+    Fewer than two rows, or equal differences, have no t and no p-value.
+    """
     d = (F.col(y) - F.col(pred_a)) - (F.col(y) - F.col(pred_b))
-    return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"),
-                  (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t_stat"))
+    n, spread = F.count(d), F.stddev_samp(d)
+    row = df.agg(n.alias("n"), F.avg(d).alias("mean_diff"), F.when(spread > 0, F.avg(d) / (spread / F.sqrt(n))).alias("t_stat"))
 
+    def with_p(batches):
+        for pdf in batches:
+            t = pdf["t_stat"].to_numpy(dtype=np.float64)
+            yield pdf.assign(p_value=student_t_two_sided(t, pdf["n"].to_numpy(dtype=np.float64) - 1))
 
-def normal_two_sided_p(t: float | None) -> float | None:
-    if t is None or not math.isfinite(t):
-        return None
-    return math.erfc(abs(t) / math.sqrt(2.0))
+    out = row.mapInPandas(with_p, "n long, mean_diff double, t_stat double, p_value double")  # one row
+    return out.withColumn("p_value", F.nanvl("p_value", F.lit(None).cast("double")))
 
 
 def success_check(report: DataFrame, accuracy: str = "accuracy", target: float = SUCCESS_TARGET) -> DataFrame:

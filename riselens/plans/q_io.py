@@ -59,12 +59,25 @@ def q_raw_json(spark, sf):
     parsed with an explicit schema, cut to 500 characters and filtered to stories."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing/{uuid.uuid4().hex}"
     raw = fx.raw_hn(spark, sf).withColumn("type", F.lit("story")).withColumn("kids", F.array().cast("array<bigint>"))
-    comments = raw.limit(5).withColumn("type", F.lit("comment"))
+    comments = raw.orderBy("id").limit(5).withColumn("type", F.lit("comment"))
     raw.unionByName(comments).select(F.to_json(F.struct(*raw.columns)).alias("value")).write.text(root)
     parsed = IO.parse_raw_posts(spark.read.text(root), "hackernews")
     return parsed.select("id", "title", "text", "score", "by", "time", "descendants", "kids")
 
 
+@register("raw_reddit_landing_parse", fx.sql_with(f"""
+SELECT post_id AS id, subreddit, title, substr(text_content, 1, 500) AS selftext, author, is_self_post AS is_self, url, domain,
+       score, comment_count AS num_comments, {round_sql('created_timestamp')} AS created_utc
+FROM posts WHERE platform = 'reddit'""", "posts"))
+def q_raw_reddit(spark, sf):
+    """IO8: the other platform's records, landed as JSON lines with whole texts, parsed and cut to 500 characters."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing/{uuid.uuid4().hex}"
+    raw = fx.raw_reddit(spark, sf)
+    raw.select(F.to_json(F.struct(*raw.columns)).alias("value")).write.text(root)
+    parsed = IO.parse_raw_posts(spark.read.text(root), "reddit")
+    return rounded(parsed.select("id", "subreddit", "title", "selftext", "author", "is_self", "url", "domain", "score", "num_comments", "created_utc"))
+
+
 @register("report_sinks_roundtrip", fx.sql_with(f"""
 SELECT subreddit, count(*) AS rows, {round_sql('avg(score)')} AS avg_score FROM posts GROUP BY subreddit""", "posts"))
 def q_report_roundtrip(spark, sf):

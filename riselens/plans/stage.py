@@ -69,8 +69,11 @@ def _first_present(df: DataFrame, names: Sequence[str]) -> Column:
 
 
 def prepare_stage(features: DataFrame, platform: str | None = None) -> DataFrame:
-    """M1 / NM13: platform filter (all by default), score fallbacks, targets, default fills (A4)."""
-    df = features if platform is None else features.filter(F.col("platform") == platform)
+    """M1 / NM13: platform filter (all by default), score fallbacks, targets, default fills (A4).
+
+    Posts without a time cannot be split or ranked by it and go, as in J3."""
+    df = features.filter(F.col("created_timestamp").isNotNull())
+    df = df if platform is None else df.filter(F.col("platform") == platform)
     s5 = F.coalesce(_first_present(df, ["score_5m", "score_at_5min"]), F.lit(0.0))
     s30 = F.coalesce(_first_present(df, ["score_30m", "score_at_30min"]), s5)
     s60 = F.coalesce(_first_present(df, ["score_60m", "score_at_60min", "score_at_30min"]), F.col("score").cast("double"))
