@@ -41,11 +41,6 @@ def epoch_to_ts(epoch_seconds: Column | str) -> Column:
     return F.timestamp_micros(F.round(secs * F.lit(1_000_000)).cast("long"))
 
 
-def ts_to_epoch(ts: Column | str) -> Column:
-    """TIMESTAMP / TIMESTAMP_NTZ -> epoch seconds as double (UTC)."""
-    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(1_000_000.0)
-
-
 def author_hash(author: Column | str) -> Column:
     """NM3: first 8 hex chars of SHA-256; null/''/'[deleted]' -> 'anonymous'."""
     a = _c(author).cast("string")

@@ -132,11 +132,3 @@ def gain_tables(blocks: DataFrame, a: str = "stage_a_test_rmse", b: str = "stage
     top = g.orderBy(F.col("rmse_gain").desc_nulls_last(), F.col(key)).limit(k)
     bottom = g.orderBy(F.col("rmse_gain").asc_nulls_last(), F.col(key)).limit(k)
     return g, top, bottom
-
-
-def accuracy_by_grain(signs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Helper for E4 tables: accuracy per model and key (sum correct / pairs)."""
-    w = Window.partitionBy("model")
-    return signs.groupBy("model", *keys).agg(F.sum("correct").alias("correct"), F.sum("pairs").alias("pairs")) \
-        .withColumn("accuracy", F.col("correct") / F.when(F.col("pairs") > 0, F.col("pairs"))) \
-        .withColumn("model_pairs", F.sum("pairs").over(w))

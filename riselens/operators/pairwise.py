@@ -49,16 +49,6 @@ MAX_DEPTH = 6
 # Exact weighted count inside one bounded block (numpy, vectorised)
 # ---------------------------------------------------------------------------
 
-def _pairs_between_distinct(w: np.ndarray, groups: np.ndarray | None = None) -> float:
-    """Weighted pairs between distinct points, optionally within equal groups."""
-    if groups is None:
-        s = w.sum()
-        return float((s * s - (w * w).sum()) / 2.0)
-    df = pd.DataFrame({"g": groups, "w": w, "w2": w * w})
-    agg = df.groupby("g", sort=False).agg(s=("w", "sum"), s2=("w2", "sum"))
-    return float(((agg["s"] ** 2 - agg["s2"]) / 2.0).sum())
-
-
 def _lower_pairs(pr: np.ndarray, w: np.ndarray, gid: np.ndarray | None = None) -> np.ndarray:
     """Per group: sum of w_j * w_i over positions j < i with pr_j < pr_i.
 

@@ -349,6 +349,16 @@ def time_split(df: DataFrame, ts: str = "created_timestamp", q: float = 0.7) ->
         "split", F.when(F.col(ts).cast("double") <= F.lit(t), F.lit("train")).otherwise(F.lit("test")))
 
 
+def expanding_blocks(df: DataFrame, ts: str) -> DataFrame:
+    """Per day its rows and the rows of all earlier days (rows without a time go).
+
+    The running sum is over one row per day.
+    """
+    days = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("test_count"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("train_count", F.coalesce(F.sum("test_count").over(before), F.lit(0)))
+
+
 def head_fraction(df: DataFrame, ts: str, f: float, tie: str = "post_id") -> DataFrame:
     """The first floor(n*f) rows in time order (distributed global rank)."""
     from riselens.operators.order import global_rank
@@ -404,7 +414,3 @@ def rank_results(df: DataFrame, metric: str, index: str = "index") -> DataFrame:
     """
     w = Window.orderBy(F.col(metric).desc_nulls_last(), F.col(index).asc())
     return df.withColumn("rank", F.row_number().over(w))
-
-
-def normal_p_two_sided(z: float) -> float:
-    return 2.0 * (1.0 - statistics.NormalDist().cdf(abs(z))) if math.isfinite(z) else 0.0

@@ -10,3 +10,4 @@ from riselens.plans import q_textvec  # noqa: F401
 from riselens.plans import q_ml  # noqa: F401
 from riselens.plans import q_stats  # noqa: F401
 from riselens.plans import q_io  # noqa: F401
+from riselens.plans import q_checked  # noqa: F401

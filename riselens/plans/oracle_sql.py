@@ -101,7 +101,3 @@ def ladder_sql(targets=(5, 15, 30, 60), tie: str = "event_id") -> str:
     aggs = ",\n       ".join(
         f"first(CAST(score AS DOUBLE) ORDER BY abs(post_age_minutes - {m}.0), {tie}) AS score_at_{m}min" for m in targets)
     return f"SELECT post_id, {aggs},\n       count(*) AS n_snapshots FROM snapshots GROUP BY post_id"
-
-
-def select_list(d: dict[str, str]) -> str:
-    return ",\n  ".join(f"{v} AS {k}" for k, v in d.items())
