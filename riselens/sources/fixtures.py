@@ -95,12 +95,15 @@ def ladder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified post table (schema ``post`` + collection metadata); a document without events is a post without time, author and score."""
+    """Unified post table (schema ``post`` + collection metadata): the documents that have events.
+
+    A post's time, author and score come from its events, and no source gives
+    posts without them (all documents have events from scale 0.01 on)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     groups = ladder_groups(spark, sf_dir).withColumnRenamed("g", "doc_id")
-    j = docs.join(groups, "doc_id", "left").join(pages, "doc_id", "left").join(labels, "doc_id", "left")
+    j = docs.join(groups, "doc_id").join(pages, "doc_id", "left").join(labels, "doc_id", "left")
     author = F.when(F.col("first.event_type") == "error", F.lit("[deleted]")).otherwise(
         F.concat(F.lit("user"), F.col("first.user_id").cast("string"))
     )
@@ -220,7 +223,7 @@ SQL_CTES = {
               FROM ev GROUP BY g""",
     "posts0": """SELECT d.doc_id, d.text, d.lang, d.source, g.*, p.url, l.toxic,
                    CASE WHEN g.f_type = 'error' THEN '[deleted]' ELSE 'user' || CAST(g.f_user AS VARCHAR) END AS author
-              FROM documents d LEFT JOIN grp g ON d.doc_id = g.g
+              FROM documents d JOIN grp g ON d.doc_id = g.g
               LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "posts": """SELECT CAST(doc_id AS VARCHAR) AS post_id,
                    CASE WHEN lang = 'de' THEN 'hackernews' ELSE 'reddit' END AS platform,
