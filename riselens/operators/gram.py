@@ -235,9 +235,16 @@ def fit_ols(g: AugGram, x: Sequence[str], y: str, rcond: float = 1e-12) -> Linea
                                                  "sigma2": sigma2})
 
 
-def fit_ridge_loo(g: AugGram, x: Sequence[str], y: str, alphas: Sequence[float]) -> LinearFit:
-    """V7: ridge with alpha chosen by generalised cross-validation error from
-    the eigen-decomposition of the centered Gram (efficient LOO surrogate)."""
+def fit_ridge(g: AugGram, x: Sequence[str], y: str, alpha: float) -> LinearFit:
+    """Ridge with unpenalised intercept: (Sxx + αI)β = Sxy."""
+    n, mx, my, sxx, sxy, _ = g.block(x, y)
+    beta = np.linalg.solve(sxx + alpha * np.eye(len(x)), sxy)
+    return LinearFit(list(x), beta, float(my - mx @ beta), n, {"alpha": alpha})
+
+
+def fit_ridge_gcv(g: AugGram, x: Sequence[str], y: str, alphas: Sequence[float]) -> LinearFit:
+    """Ridge with alpha chosen by generalised cross-validation, from the
+    eigen-decomposition of the centered Gram; ``textvec.ridge_loo`` is exact."""
     n, mx, my, sxx, sxy, syy = g.block(x, y)
     evals, evecs = np.linalg.eigh(sxx)
     evals = np.clip(evals, 0, None)

@@ -21,7 +21,6 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,21 +109,10 @@ def vector_gram(df: DataFrame, dim: int, extra: Sequence[str] = (), key: Column
                 for i in range(len(extra)):
                     X[:, dim + 1 + i] = g[f"_e{i}"].to_numpy(dtype=np.float64)
                 acc[kv] = acc.get(kv, 0) + X.T @ X
-        if acc:
-            ctx = TaskContext.get()
-            yield pd.DataFrame({"_k": list(acc.keys()), "_salt": (ctx.partitionId() if ctx else 0) % G.SALT,
-                                "_u": [m.tobytes() for m in acc.values()]})
+        yield from G.partial_frames({name: m.ravel() for name, m in acc.items()})
 
-    def reduce(pdf):
-        tot = np.zeros(k * k)
-        for b in pdf["_u"]:
-            tot += np.frombuffer(b, dtype=np.float64)
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "_salt": [0], "_u": [tot.tobytes()]})
-
-    schema = "_k string, _salt int, _u binary"
-    rows = (src.mapInPandas(partials, schema).groupBy("_k", "_salt").applyInPandas(reduce, schema)
-            .groupBy("_k").applyInPandas(reduce, schema).collect())
-    return {r["_k"]: G.AugGram(names, np.frombuffer(r["_u"], dtype=np.float64).reshape(k, k).copy()) for r in rows}
+    found = G.reduce_partials(src.mapInPandas(partials, G.PARTIAL_SCHEMA))
+    return {name: G.AugGram(names, flat.reshape(k, k)) for name, flat in found.items()}
 
 
 def svd_components(g: G.AugGram, dim: int, k: int) -> np.ndarray:
@@ -187,39 +175,51 @@ def vector_predict_expr(w: np.ndarray, b0: float, vec: str = "vector") -> Column
     return F.lit(b0) + F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def ridge_loo(df: DataFrame, g_train: G.AugGram, x: Sequence[str], y: str, alphas: Sequence[float],
-              row_features: Column, vec_dim: int) -> tuple[float, np.ndarray]:
-    """V7: exact leave-one-out MSE of ridge for every alpha in one pass.
+def ridge_loo(df: DataFrame, designs: Sequence[tuple[G.AugGram, Sequence[str], np.ndarray, np.ndarray]], y: str,
+              alphas: Sequence[float], vec: str = "vector") -> list[tuple[float, np.ndarray]]:
+    """V7: the exact leave-one-out error of ridge for every alpha, all designs in one pass over the training rows.
 
-    ``row_features`` is an array column with the row's design values (same
-    order as ``x``).  For centered design z with eigenbasis Q, Λ of the train
-    scatter: ŷ(α) = ȳ + zᵀQ diag(1/(λ+α)) Qᵀ Zᵀy and leverage
-    h(α) = 1/n + zᵀQ diag(1/(λ+α)) Qᵀz; LOO residual = (y − ŷ)/(1 − h).
+    A design is the Gram of its columns over the same rows, the columns, and
+    the linear map (M, c) from a row's vector to them: z = M·v + c.  With the
+    eigenbasis Q, Λ of the centred scatter, ŷ(α) = ȳ + zᵀQ (Λ+α)⁻¹ Qᵀ Zᵀy and the
+    leverage is 1/n + zᵀQ (Λ+α)⁻¹ Qᵀz; a row's error when left out is
+    (y − ŷ)/(1 − h).  Returns the best alpha and all errors of each design.
     """
-    n, mx, my, sxx, sxy, _ = g_train.block(x, y)
-    lam, Q = np.linalg.eigh(sxx)
-    lam = np.clip(lam, 0, None)
-    proj_y = Q.T @ sxy
     A = np.asarray(alphas, dtype=float)
-    src = df.select(row_features.cast("array<double>").alias("_z"), F.col(y).cast("double").alias("_y"))
+    solved = []
+    for g, x, M, c in designs:
+        n, mx, my, sxx, sxy, _ = g.block(x, y)
+        lam, Q = np.linalg.eigh(sxx)
+        solved.append((n, my, np.clip(lam, 0, None), Q.T @ sxy, Q.T @ M, Q.T @ (c - mx)))
+    src = df.select(F.col(vec).cast("array<double>").alias("_v"), F.col(y).cast("double").alias("_y"))
 
     def part(batches):
-        tot = np.zeros(len(A))
+        tot = np.zeros((len(solved), len(A)))
         for pdf in batches:
             if pdf.empty:
                 continue
-            Z = np.stack(pdf["_z"].to_numpy()) - mx
-            P = Z @ Q                                              # (m, p)
-            yy = pdf["_y"].to_numpy(dtype=np.float64)
-            inv = 1.0 / (lam[None, :] + A[:, None])                # (A, p)
-            yhat = my + (P * proj_y[None, :]) @ inv.T              # (m, A)
-            h = 1.0 / n + (P * P) @ inv.T
-            r = (yy[:, None] - yhat) / (1.0 - h)
-            tot += (r * r).sum(axis=0)
-        yield pd.DataFrame({"_s": [tot.tobytes()]})
-
-    parts = src.mapInPandas(part, "_s binary").collect()
-    tot = sum((np.frombuffer(p["_s"], dtype=np.float64) for p in parts), np.zeros(len(A)))
-    mse = tot / max(n, 1.0)
-    best = int(np.argmin(mse))
-    return float(A[best]), mse
+            V, yy = np.stack(pdf["_v"].to_numpy()), pdf["_y"].to_numpy(dtype=np.float64)
+            for d, (n, my, lam, proj_y, M, c) in enumerate(solved):
+                P = V @ M.T + c
+                inv = 1.0 / (lam[None, :] + A[:, None])
+                yhat = my + (P * proj_y[None, :]) @ inv.T
+                h = 1.0 / n + (P * P) @ inv.T
+                tot[d] += (((yy[:, None] - yhat) / (1.0 - h)) ** 2).sum(axis=0)
+        yield from G.partial_frames({"all": tot.ravel()})
+
+    sums = G.reduce_partials(src.mapInPandas(part, G.PARTIAL_SCHEMA)).get("all", np.zeros(len(solved) * len(A)))
+    out = []
+    for (n, *_), tot in zip(solved, sums.reshape(len(solved), len(A))):
+        mse = tot / max(n, 1.0)
+        out.append((float(A[int(np.argmin(mse))]), mse))
+    return out
+
+
+def write_predictions(df: DataFrame, path: str, config: str, actual: str, pred: str, time: str = "created_dt") -> None:
+    """One partition of the prediction table per configuration (id, community, time, actual, predicted); written again, it is replaced."""
+    rows = df.select("post_id", "subreddit", F.col(time).alias("created_dt"), F.col(actual).cast("double").alias("actual"), F.col(pred).cast("double").alias("predicted"))
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/config={config}")
+
+
+def read_predictions(spark, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)

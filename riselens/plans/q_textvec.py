@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from riselens.operators import gram as G
 from riselens.operators import textvec as TV
+from riselens.operators.encoder import encode, fit_encoder
 from riselens.operators.pairwise import pairwise_accuracy
 from riselens.operators.stats import rank_results
 from riselens.plans import stage as S
+from riselens.plans.q_eval import _with, baseline_frame
 from riselens.plans.q_models import fitted
 from riselens.plans.registry import register, round_sql, rounded
+from riselens.session import checkpoint, ensure_checkpoint_dir
 from riselens.sources import fixtures as fx
 
 MAX_FEATURES, MIN_DF = 500, 5
@@ -101,12 +106,20 @@ def q_tfidf_svd(spark, sf, k: int = 20):
 EMB_DIM = 64
 
 
+RIDGE_ALPHAS = (0.1, 1.0, 10.0)
+ENET_L1, ENET_ALPHAS = (0.1, 0.5, 0.9), (0.01, 0.1, 1.0)
+_FRAMES: dict = {}
+
+
 def _emb_frame(spark, sf):
-    fit, scored, info = fitted(spark, sf)
-    vecs = fx.title_vectors(spark, sf)
-    d = TV.title_vectors(scored.select("post_id", "split", "time_rank", "subreddit", "lang", "created_dt",
-                                      "stage_a_residual"), vecs)
-    return d.withColumn("fold", fold_key(info))
+    """All posts with the vector of their title, from an encoder fitted on the training titles (written once per session)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FRAMES:
+        fit, scored, info = fitted(spark, sf)
+        d = scored.select("post_id", "split", "time_rank", "subreddit", "lang", "created_dt", "title", "stage_a_residual")
+        encoder = fit_encoder(d.filter(F.col("split") == "train"), "title", EMB_DIM)
+        _FRAMES[key] = checkpoint(encode(d, encoder).withColumn("fold", fold_key(info)))
+    return _FRAMES[key]
 
 
 def _emb_grams(d):
@@ -116,47 +129,55 @@ def _emb_grams(d):
     return {"folds": folds, "test": test, "train": G.sum_grams(folds, names)}
 
 
-def _emb_fit(grams, pca_k, regressor, alphas=(0.1, 1.0, 10.0, 100.0)):
-    """V5 PCA (fit on train) -> V6 scaler -> V7 ridge (alpha by LOO/GCV) or
-    V8 elastic net (5-fold CV on the time-ordered training folds)."""
+def _design(grams, pca_k):
+    """V5 PCA (fit on train) and V6 scaler: the design's Grams, its columns, and its map from the vector."""
     tr, te, folds = grams["train"], grams["test"], grams["folds"]
+    mean, comps, x = None, None, [f"v{i}" for i in range(EMB_DIM)]
     if pca_k:
         mean, comps = TV.pca_components(tr, EMB_DIM, pca_k)
-        proj = lambda g: TV.project(g, EMB_DIM, comps, mean)
+        tr, te, folds = (TV.project(tr, EMB_DIM, comps, mean), TV.project(te, EMB_DIM, comps, mean), [TV.project(f, EMB_DIM, comps, mean) for f in folds])
         x = [f"c{i}" for i in range(pca_k)]
-    else:
-        mean, comps = None, None
-        proj = lambda g: g
-        x = [f"v{i}" for i in range(EMB_DIM)]
-    tr_p, te_p, folds_p = proj(tr), proj(te), [proj(f) for f in folds]
-    smean, sstd = G.scaler_from_gram(tr_p, x)
-    tr_s, te_s = G.standardize(tr_p, x, smean, sstd), G.standardize(te_p, x, smean, sstd)
-    if regressor == "ridge":
-        fit = G.fit_ridge_loo(tr_s, x, "stage_a_residual", alphas)
-    else:
-        fs = [G.standardize(f, x, smean, sstd) for f in folds_p]
-        fit, _ = G.fit_elastic_net_cv(fs, x, "stage_a_residual", [0.1, 0.5, 0.9], None)
-    w, b0 = TV.weights_on_vector(fit, EMB_DIM, comps, mean, (smean, sstd))
-    return fit, tr_s, te_s, w, b0
+    smean, sstd = G.scaler_from_gram(tr, x)
+    M = (comps if pca_k else np.eye(EMB_DIM)) / sstd[:, None]
+    c = -(M @ mean if pca_k else np.zeros(len(x))) - smean / sstd
+    scaled = [G.standardize(g, x, smean, sstd) for g in (tr, te, *folds)]
+    return {"x": x, "train": scaled[0], "test": scaled[1], "folds": scaled[2:], "M": M, "c": c}
+
+
+def _emb_fits(d, grams, configs):
+    """Per (regressor, PCA): the fit, its design, and the weights on the vector.
+
+    V7: ridge with the alpha of the least exact leave-one-out error on the
+    standardised design, all ridge designs in one pass; V8: elastic net by
+    5-fold CV on the time-ordered training folds.
+    """
+    designs = {k: _design(grams, k) for k in {k for _, k in configs}}
+    ridge = [k for k in designs if ("ridge", k) in configs]
+    train = d.filter(F.col("split") == "train")
+    loo = dict(zip(ridge, TV.ridge_loo(train, [(designs[k]["train"], designs[k]["x"], designs[k]["M"], designs[k]["c"]) for k in ridge], "stage_a_residual", RIDGE_ALPHAS)))
+    out = {}
+    for reg, k in configs:
+        own = designs[k]
+        if reg == "ridge":
+            fit = G.fit_ridge(own["train"], own["x"], "stage_a_residual", loo[k][0])
+        else:
+            fit, _ = G.fit_elastic_net_cv(own["folds"], own["x"], "stage_a_residual", ENET_L1, ENET_ALPHAS)
+        w = own["M"].T @ fit.coef
+        out[reg, k] = fit, own, w, float(fit.intercept + own["c"] @ fit.coef)
+    return out
 
 
 @register("embedding_stage_b")
 def q_embedding(spark, sf):
-    """Stage B on title vectors (PCA / scaler / ridge with
-    leave-one-out alpha / elastic net), metrics and pairwise accuracy."""
+    """V4–V8: Stage B on the vectors of all titles (PCA / scaler / ridge with
+    exact leave-one-out alpha / elastic net), metrics and pairwise accuracy."""
     d = _emb_frame(spark, sf)
-    grams = _emb_grams(d)
-    rows, preds = [], {}
-    for name, pca_k, reg in (("ridge_nopca", None, "ridge"), ("ridge_pca16", 16, "ridge"), ("enet_nopca", None, "enet")):
-        fit, tr, te, w, b0 = _emb_fit(grams, pca_k, reg)
-        rows += _stage_b_rows(name, tr, te, fit)
-        preds[name] = TV.vector_predict_expr(w, b0)
-    # exact LOO check of the selected ridge alpha (V7)
-    fit, tr, _, _, _ = _emb_fit(grams, None, "ridge")
-    train = d.filter(F.col("split") == "train")
-    x = [f"v{i}" for i in range(EMB_DIM)]
-    best_alpha, _ = TV.ridge_loo(train, grams["train"], x, "stage_a_residual", [0.1, 1.0, 10.0, 100.0],
-                                 F.col("vector"), EMB_DIM)
+    names = {("ridge", None): "ridge_nopca", ("ridge", 16): "ridge_pca16", ("enet", None): "enet_nopca"}
+    rows, preds, alphas = [], {}, []
+    for key, (fit, own, w, b0) in _emb_fits(d, _emb_grams(d), list(names)).items():
+        rows += _stage_b_rows(names[key], own["train"], own["test"], fit)
+        preds[names[key]] = TV.vector_predict_expr(w, b0)
+        alphas.append((names[key], float(fit.extra["alpha"])))
     out = spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long")
     test = d.filter(F.col("split") == "test").withColumns({f"pred_{k}": v for k, v in preds.items()}).withColumn(
         "hour_bucket", F.date_trunc("hour", "created_dt"))
@@ -165,7 +186,8 @@ def q_embedding(spark, sf):
         r = pairwise_accuracy(test, ["lang", "hour_bucket"], "stage_a_residual", f"pred_{name}").collect()[0]
         pw.append((name, r["pairwise_accuracy"], int(r["pairs"])))
     pwdf = spark.createDataFrame(pw, "model string, pairwise_accuracy double, pairs long")
-    return rounded(out.join(pwdf, "model", "left").withColumn("loo_best_alpha", F.lit(best_alpha)))
+    chosen = spark.createDataFrame(alphas, "model string, alpha double")
+    return rounded(out.join(pwdf, "model", "left").join(chosen, "model"))
 
 
 @register("embedding_grid_ranked")
@@ -173,13 +195,12 @@ def q_embedding_grid(spark, sf):
     """A config grid (regressor × PCA) scored from ONE vector
     Gram; ranked by pairwise accuracy (null -> last), ties by index."""
     d = _emb_frame(spark, sf)
-    grams = _emb_grams(d)
-    configs = [(i, reg, k) for i, (reg, k) in enumerate(
-        [(r, k) for r in ("ridge", "enet") for k in (None, 8, 16, 32)])]
+    configs = [(r, k) for r in ("ridge", "enet") for k in (None, 8, 16, 32)]
+    fits = _emb_fits(d, _emb_grams(d), configs)
     exprs, rows = {}, []
-    for i, reg, k in configs:
-        fit, tr, te, w, b0 = _emb_fit(grams, k, reg)
-        m = G.metrics(te, fit, "stage_a_residual")
+    for i, (reg, k) in enumerate(configs):
+        fit, own, w, b0 = fits[reg, k]
+        m = G.metrics(own["test"], fit, "stage_a_residual")
         rows.append((i, reg, k or 0, m["rmse"], m["r2"]))
         exprs[i] = TV.vector_predict_expr(w, b0)
     test = d.filter(F.col("split") == "test").withColumn("hour_bucket", F.date_trunc("hour", "created_dt"))
@@ -190,3 +211,24 @@ def q_embedding_grid(spark, sf):
     res = spark.createDataFrame(rows, "index int, regressor string, pca int, test_rmse double, test_r2 double")
     res = res.join(pw.select(F.col("cfg").alias("index"), "pairwise_accuracy", "pairs"), "index", "left")
     return rounded(rank_results(res, "pairwise_accuracy", "index"))
+
+
+@register("title_vectors_of_all_posts", fx.sql_with("SELECT count(*) AS posts, count(*) AS with_vector, CAST(64 AS INTEGER) AS dim FROM posts WHERE created_timestamp IS NOT NULL", "posts"))
+def q_vectors(spark, sf):
+    """V4: every post has a vector."""
+    d = _emb_frame(spark, sf)
+    return d.agg(F.count("*").alias("posts"), F.count("vector").alias("with_vector"), F.min(F.size("vector")).alias("dim"))
+
+
+@register("prediction_table_metrics", _with(f"""
+SELECT 'early' AS config, count(*) AS rows, count(DISTINCT subreddit) AS communities, {round_sql('sqrt(avg((y - early) * (y - early)))')} AS rmse FROM bf
+UNION ALL SELECT 'mid', count(*), count(DISTINCT subreddit), {round_sql('sqrt(avg((y - mid) * (y - mid)))')} FROM bf"""))
+def q_predictions(spark, sf):
+    """Prediction tables of two configurations, written (one of them twice), read back, and measured."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions/{uuid.uuid4().hex}"
+    df = baseline_frame(spark, sf)
+    for config in ("early", "mid", "early"):
+        TV.write_predictions(df, root, config, "y", config, "hour_bucket")
+    e = F.col("actual") - F.col("predicted")
+    back = TV.read_predictions(spark, root).groupBy("config")
+    return rounded(back.agg(F.count("*").alias("rows"), F.count_distinct("subreddit").alias("communities"), F.sqrt(F.avg(e * e)).alias("rmse")))
