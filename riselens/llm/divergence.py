@@ -35,7 +35,7 @@ TOP = 50
 FILTER_BITS = 1 << 25
 FIRST = 4
 #: Characters of document terms that are counted together before they leave a worker.
-TERM_LIMIT = 6_000_000
+TERM_LIMIT = 3_000_000
 #: Cells of the (terms x sources) matrix that one task of the pair sums holds.
 CELLS = 1 << 16
 ONE = 1_000_000_000

@@ -19,7 +19,6 @@ one stretch is held in memory (a longer text alone may exceed it).
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import deque
 
 import numpy as np
@@ -28,6 +27,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from riselens.llm.chunks import Ragged, Slots
 from riselens.llm.common import clean_docs
 from riselens.llm.textbuf import Words, batches
 
@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 WINDOW = 4096
 STRETCH = 1 << 19
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: The pre-token pattern of the vocabulary file, and the characters
 #: (printable ASCII, precomposed Latin letters) on which its NFC step does nothing.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -70,9 +70,8 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.slots, self.ids = Slots(), Ragged()
         self.pieces: dict[str, list[int]] = {}
-        self.flat, self.first = array("i"), array("q", [0])
 
     def ids_of(self, word: str) -> list[int]:
         if not self.plain.fullmatch(word) or "<|" in word:
@@ -89,26 +88,17 @@ class WordTokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids, as int32."""
         words = Words(texts)
-        codes, distinct = pd.factorize(words.hash)
-        if len(self.at) > CACHE_WORDS:
+        if self.ids.n > CACHE_WORDS:
             self.forget()
-        where = np.empty(len(codes), np.int64)
-        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        rows = np.empty(len(distinct), np.int64)
-        at, flat, first, buf = self.at, self.flat, self.first, words.raw
-        spots = zip(distinct.tolist(), words.start[where[: len(distinct)]].tolist(), words.end[where[: len(distinct)]].tolist())
-        for k, (h, s, e) in enumerate(spots):
-            row = at.get(h)
-            if row is None:
-                row = at[h] = len(first) - 1
-                flat.extend(self.ids_of(buf[s:e].decode("utf-8", "replace")))
-                first.append(len(flat))
-            rows[k] = row
-        bounds = np.frombuffer(first, np.int64).copy()
-        rows = rows[codes]
-        lengths = (bounds[1:] - bounds[:-1])[rows]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = np.frombuffer(flat, np.int32)[np.repeat(bounds[rows] - ends[:-1], lengths) + np.arange(ends[-1])] if len(flat) else np.zeros(0, np.int32)
+        rows = self.slots.find(words.hash, words.hash)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh, first, own = np.unique(words.hash[new], return_index=True, return_inverse=True)
+            base, raw, at = self.ids.n, words.raw, new[first]
+            self.ids.extend([self.ids_of(raw[s:e].decode("utf-8", "replace")) for s, e in zip(words.start[at].tolist(), words.end[at].tolist())])
+            rows[new] = base + own
+            self.slots.add(fresh, fresh, base + np.arange(len(fresh)))
+        ids, ends = self.ids.gather(rows)
         cut = ends[words.bounds]
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
