@@ -138,10 +138,29 @@ class _Terms:
         self.lang = lang[self.doc]
 
 
+def _merged(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Counts ``n`` of equal keys of neighbouring batches added up, ``most`` rows at a time."""
+    held, rows = [], 0
+
+    def settle():
+        keys = held[0].schema.names[:-1]
+        sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        return sums.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= most:
+            yield from settle()
+            held, rows = [], 0
+    if held:
+        yield from settle()
+
+
 def _prefix_counts(survivors, length: int, upto: int):
-    """(lang, prefix, n): documents of each batch that hold a term with the prefix of ``upto`` bytes, below survivors of ``length`` bytes."""
+    """(lang, prefix, n): documents that hold a term with the prefix of ``upto`` bytes, below survivors of ``length`` bytes, by batches."""
 
-    def run(batches):
+    def counted(batches):
         words = None if survivors is None else survivors.value
         for batch, texts in pieces_of(batches, TERM_LIMIT):
             t = _Terms(batch, texts, words, length)
@@ -153,7 +172,7 @@ def _prefix_counts(survivors, length: int, upto: int):
             lang = batch.column("lang").take(pa.array(t.doc[first]))
             yield pa.RecordBatch.from_arrays([lang, _spans(t.raw, t.start[first], end[first]), pa.array(n, pa.int64())], ["lang", "prefix", "n"])
 
-    return run
+    return lambda batches: _merged(counted(batches))
 
 
 def _filter(prefixes: DataFrame):
@@ -197,9 +216,9 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
 
 def _term_counts(survivors):
-    """(lang, source, term, count): occurrences in each batch of the terms that the filter lets through."""
+    """(lang, source, term, n): occurrences of the terms that the filter lets through, by batches."""
 
-    def run(batches):
+    def counted(batches):
         for batch, texts in pieces_of(batches, TERM_LIMIT):
             t = _Terms(batch, texts, None, 0)
             h = _hash(t.raw, t.start, t.end)
@@ -217,7 +236,7 @@ def _term_counts(survivors):
             keys = [batch.column(c).take(pa.array(t.doc[at])) for c in ("lang", "source")]
             yield pa.RecordBatch.from_arrays([*keys, _spans(t.raw, t.start[at], t.end[at] - 1).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
 
-    return run
+    return lambda batches: _merged(counted(batches))
 
 
 def _share(count: Column) -> Column:
