@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from riselens.llm.components import connected_components
+from riselens.llm.components import connected_components, merge_components
 from riselens.llm.minhash_dedup import BLOCK, _tile
 from riselens.llm.textbuf import _BYTE, _power, mix
 from riselens.session import checkpoint, configure
@@ -188,7 +188,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     comp = checkpoint(connected_components(links))
     rest = _rest(docs, reps, long, comp)
     if rest is not None:
-        comp = checkpoint(connected_components(links.union(rest)))
+        comp = checkpoint(merge_components(comp, rest))
     of_comp = comp.join(reps.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = comp.join(of_comp, "component").select("id", "keeper")
     by_line = reps.select("id", "first").join(keepers, "id", "left").select("id", F.coalesce("keeper", "first").alias("f"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riselens.llm.common import clean_docs
-from riselens.llm.components import connected_components
+from riselens.llm.components import connected_components, merge_components
 from riselens.llm.textbuf import Words, batches, mix
 from riselens.session import checkpoint
 
@@ -235,6 +235,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, k: int =
     of_row = of_row.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     again = sk.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     twice = of_row.join(again, "doc_id", "left_semi").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = connected_components(edges.union(late).union(twice)).withColumnRenamed("id", "rep")
+    comp = merge_components(comp, late.union(twice)).withColumnRenamed("id", "rep")
     out = of_row.join(comp, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riselens.llm import decontamination, line_dedup, minhash_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, toxicity
+from riselens.llm.components import connected_components, merge_components
 from tests.llm import brute
 
 VOCAB = [f"w{i}" for i in range(3000)]
@@ -383,3 +384,21 @@ def test_pipeline_stages(spark, tmp_path):
     learned = {i for i in range(62, 92) if zlib.crc32(str(i).encode()) % 5}
     assert sorted(got & {61, *learned}) == []
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "decontamination", "packing"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_their_merging_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    ids = list(range(60))
+    chain = [(i, i + 1) for i in range(100, 130)]
+    first = [(rng.choice(ids), rng.choice(ids)) for _ in range(25)] + chain + [(5, None), (7, 7)]
+    more = [(rng.choice(ids), rng.choice(ids)) for _ in range(15)] + [(115, 3), (900, 130), (None, 4), (901, 901)]
+    as_frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    comp = connected_components(as_frame(first))
+    for got, links in ((comp, first), (merge_components(comp, as_frame(more)), first + more)):
+        links = [(a, b) for a, b in links if None not in (a, b) and a != b]
+        want = brute.roots(links, {i for link in links for i in link})
+        rows = got.collect()
+        assert len(rows) == len(want) and {r["id"]: r["component"] for r in rows} == want
+    assert connected_components(as_frame([])).collect() == []
+    assert sorted(merge_components(comp, as_frame([])).collect()) == sorted(comp.collect())
