@@ -200,6 +200,51 @@ def test_every_repeat_of_35_words_is_found(spark):
         assert cut in text[r.first_doc_id] and len(cut.split()) == r.words >= 20 and (r.doc_id > 1199 or cut in passages[r.doc_id // 2])
 
 
+def whole_words(text, other):
+    """The longest stretch of whole words of two texts from a list of words each, by plain comparison of all places."""
+    x, y, best = text.split(), other.split(), []
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            best = max(best, x[i : i + n], key=len)
+    return " ".join(best)
+
+
+def test_repeats_are_whole_by_brute_force(spark):
+    rng = random.Random(16)
+    rows = []
+    for n in [51, 60, 130] * 200:
+        passage = prose(rng, n)
+        rows += [(len(rows) + k, f"{prose(rng, rng.randint(0, 12))} {'é ' * k}{passage} {prose(rng, rng.randint(0, 12))}") for k in range(2)]
+    out = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    text = dict(rows)
+    got = {r.doc_id: (text[r.doc_id].encode()[r.start : r.start + r["size"]].decode(), r.words, r.first_doc_id) for r in out}
+    want = {i: whole_words(text[i], text[i - 1]) for i in range(1, len(rows), 2)}
+    assert len(out) == len(want) and got == {i: (cut, len(cut.split()), i - 1) for i, cut in want.items()}
+
+
+def test_removal_cuts_the_repeats(spark):
+    rng = random.Random(17)
+    passage = prose(rng, 60)
+    rows = [(1, f"one {passage} two"), (2, f"drei {passage} vier"), (3, "short"), (4, None), (5, "")]
+    docs = frame(spark, rows)
+    out = dict(substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs)).collect())
+    assert out == {**dict(rows), 2: "drei  vier"}
+
+
+@pytest.mark.parametrize("size", [0, 1, 40, 500])
+def test_chunks_cover_each_text_whatever_stands_before(size):
+    rng = random.Random(size)
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(size))
+    alone = substring_dedup.borders(np.frombuffer(text + b"\n", np.uint8), np.array([size + 1]))
+    other = b"some other text before it\n"
+    s, e, of = substring_dedup.borders(np.frombuffer(other + text + b"\n", np.uint8), np.array([len(other), len(other) + size + 1]))
+    assert (s[of == 1] - len(other)).tolist() == alone[0].tolist() and (e[of == 1] - len(other)).tolist() == alone[1].tolist()
+    assert b"".join(text[i:j] for i, j in zip(*alone[:2])) == text
+
+
 def test_gear_equals_plain_recurrence():
     buf = np.frombuffer(bytes(random.Random(8).randbytes(200)), np.uint8)
     h, out = 0, []
