@@ -97,4 +97,17 @@ def checkpoint(df):
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     # the schema is known: no job reads it from the files again
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._checkpoint_path = path
+    return table
+
+
+def drop_checkpoint(table) -> None:
+    """Delete the files of a table that ``checkpoint`` returned.
+
+    To be called when every frame that reads it is itself written: what comes
+    later, also after the loss of an executor, starts from those tables.
+    """
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._checkpoint_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
