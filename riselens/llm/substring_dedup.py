@@ -12,11 +12,11 @@ occurrences of a passage of at least 5 * WINDOW + 15 (335) bytes always have so
 many, shorter ones nearly always (of 3,000 samples of 51 words of ordinary sentences
 one in a hundred had under 145 bytes, of 35 words under 69; a stretch that repeats a
 word over and over matches at any of its places).  Neighbouring seeds at the same
-distance from their first occurrences make a run.  Both texts' bytes before and behind a run are compared, up
-to CONTEXT, as far as they agree: a longer agreement has further chunks in it.  What
-is left of a word at either end goes.  The
-limit of MIN_WORDS words applies to the extended run; overlapping runs of a document
-then make one passage.  A chunk is compared with its first occurrence only, so a
+distance from their first occurrences make a run.  Both texts' bytes before and
+behind a run are compared, up to CONTEXT, as far as they agree: a longer agreement
+has further chunks in it.  What is left of a word at either end goes.  The limit of
+MIN_WORDS words applies to the extended run; overlapping runs of a document then
+make one passage.  A chunk is compared with its first occurrence only, so a
 passage whose chunks all stand earlier in other surroundings, each as a phrase of
 under MIN_WORDS words, is not found.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riselens.llm.common import clean_docs
 from riselens.llm.textbuf import _SPACE, Words, batches
-from riselens.session import checkpoint
+from riselens.session import checkpoint, drop_checkpoint
 
 WINDOW = 64
 CONTEXT = 2 * WINDOW + 16
@@ -95,28 +95,29 @@ def _chunks(frames):
         yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[of], "start": s - begin, "size": e - s, "d1": d["d1"], "d2": d["d2"]})
 
 
-PLACES = "doc_id long, start int, end int, before binary, behind binary, ws int, we int, from0 int, from1 int, to0 int, to1 int"
+PLACES = "doc_id long, start int, end int, first boolean, fd long, fs int, fe int, before binary, behind binary, ws int, we int, from0 int, from1 int, to0 int, to1 int"
 
 
 def _surroundings(frames):
-    """Of the named stretches (starts, ends) of each text the bytes before and behind, one more than CONTEXT.
+    """The bytes before and behind stretches of each text, one more than CONTEXT.
 
-    ws, we: the words that begin before start, and that end up to end; from0, from1:
-    the first two places from start on where a word begins, to0, to1: the last two
-    up to end where one ends (-1: none).
+    The stretches are the text's runs, with the places fd, fs, fe of their first
+    occurrences, and (first) such places in it.  ws, we: the words that begin before
+    start, and that end up to end; from0, from1: the first two places from start on
+    where a word begins, to0, to1: the last two up to end where one ends (-1: none).
     """
     for pdf in batches(frames):
         words = Words(pdf["text"].tolist())
         begin = np.concatenate(([0], words.text_end[:-1]))
         parts = []
-        for k, (doc_id, starts, ends) in enumerate(zip(pdf["doc_id"], pdf["starts"], pdf["ends"])):
+        for k, (doc_id, starts, ends, fd, shift, first) in enumerate(zip(*(pdf[c] for c in ("doc_id", "starts", "ends", "fds", "shifts", "firsts")))):
             lo, hi, b, last = words.bounds[k], words.bounds[k + 1], begin[k], words.text_end[k] - 1
             s, e = np.minimum(b + starts, last), np.minimum(b + ends, last)
             ws, we = np.searchsorted(words.start[lo:hi], s), np.searchsorted(words.end[lo:hi], e, "right")
             begins = np.concatenate((words.start[lo:hi] - b, [-1, -1]))
             ended = np.concatenate(([-1, -1], words.end[lo:hi] - b))
             parts.append(pd.DataFrame({
-                "doc_id": doc_id, "start": starts, "end": ends,
+                "doc_id": doc_id, "start": starts, "end": ends, "first": first, "fd": fd, "fs": starts - shift, "fe": ends - shift,
                 "before": [words.raw[max(b, i - CONTEXT - 1) : i] for i in s.tolist()], "behind": [words.raw[i : min(last, i + CONTEXT + 1)] for i in e.tolist()],
                 "ws": ws, "we": we, "from0": begins[ws], "from1": begins[ws + 1], "to0": ended[we + 1], "to1": ended[we]}))
         yield pd.concat(parts)
@@ -159,8 +160,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first_doc_id; across is true if any of it occurs in another document.  words
     counts the whole words in it.  Null and empty texts, and rows without doc_id,
     have no passage.  Rows that share a doc_id are read as one document, so
-    repeated rows repeat nothing; where their texts differ, a stretch has the
-    smallest of the surroundings found.  Ties between equal passages go to the
+    repeated rows repeat nothing; where their texts differ, the smallest one
+    gives the bytes around a stretch.  Ties between equal passages go to the
     smallest doc_id and start.  Extra columns are ignored; an empty table gives
     an empty one.
     """
@@ -178,15 +179,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = seeds.withColumn("run", F.sum(F.coalesce((F.col("start") > F.lag("end").over(w)).cast("int"), F.lit(0))).over(w))
     runs = checkpoint(seeds.groupBy("doc_id", "fd", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run"))
 
-    firsts = runs.select("fd", (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"))
+    drop_checkpoint(chunks)
+
+    firsts = runs.select(F.col("fd").alias("doc_id"), "fd", F.lit(0).alias("shift"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"), F.lit(True).alias("first"))
     # a list per document: places of its own text only
-    places = runs.select("doc_id", "start", "end").union(firsts).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("at"))
-    texts = rows.join(places.select("doc_id", F.col("at.start").alias("starts"), F.col("at.end").alias("ends")), "doc_id")
-    around = texts.mapInPandas(_surroundings, PLACES)
-    around = around.groupBy("doc_id", "start", "end").agg(F.min(F.struct("before", "behind", "ws", "we", "from0", "from1", "to0", "to1")).alias("x"))
-    around = checkpoint(around.select("doc_id", "start", "end", "x.*"))
-    first = around.select(F.col("doc_id").alias("fd"), F.col("start").alias("fs"), F.col("end").alias("fe"), F.col("before").alias("before2"), F.col("behind").alias("behind2"))
-    both = runs.withColumns({"fs": F.col("start") - F.col("shift"), "fe": F.col("end") - F.col("shift")}).join(around, ["doc_id", "start", "end"]).join(first, ["fd", "fs", "fe"])
+    places = runs.withColumn("first", F.lit(False)).unionByName(firsts.distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "fd", "shift", "first")).alias("at"))
+    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = texts.join(places.select("doc_id", F.col("at.start").alias("starts"), F.col("at.end").alias("ends"), F.col("at.fd").alias("fds"), F.col("at.shift").alias("shifts"), F.col("at.first").alias("firsts")), "doc_id")
+    around = checkpoint(texts.mapInPandas(_surroundings, PLACES))
+    drop_checkpoint(runs)
+    first = around.where("first").select(F.col("doc_id").alias("fd"), F.col("start").alias("fs"), F.col("end").alias("fe"), F.col("before").alias("before2"), F.col("behind").alias("behind2"))
+    both = around.where("not first").join(first, ["fd", "fs", "fe"])
     long = both.mapInPandas(_extend, "doc_id long, start int, end int, ws int, we int, fd long").where(F.col("we") - F.col("ws") >= min_words)
 
     w = Window.partitionBy("doc_id").orderBy("start", "end")
