@@ -28,6 +28,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     # Rows hold whole texts: what a Python worker gets at once is bounded by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # A query's shuffle files go when it ends: results live in written tables.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
