@@ -2,14 +2,21 @@
 
 A line's set holds the hashes of its shingles of Q characters, one at every
 character (the last ones are shorter).  Native functions cannot build these sets
-within the budget, so numpy does in tasks, over Arrow's own buffers.  The KEEP
-smallest hashes are the signature; each two neighbours among them make a
-band key, and lines with Jaccard 0.8 share one with a probability of 0.995.
-Lists of at most LIST lines give all their pairs, longer ones a star around a
-pseudo-random line.  Pairs are verified on whole sets and contracted to components;
-then the lines of each long list outside its largest component are compared with
-all of the list, in blocks dealt to tasks.  Connected components by star
-contraction keep their first line.
+within the budget, so numpy does in tasks, over Arrow's own buffers.  One
+permutation gives the signature: the smallest hash in each of BANDS * ROWS equal
+ranges of the hash space, an empty range taking the value of the next filled one.
+Every ROWS values make a band key; lines with Jaccard 0.8 share one of the 12
+with a probability of 0.998.  Lines of at most SHORT shingles, where ranges run
+empty, have the neighbours among their KEEP smallest hashes as keys, too (0.995
+by these alone).
+
+Lists of at most LIST lines give all their pairs, longer ones a star around their
+smallest id.  A parity bitmap of each set then rules pairs out without loss: two
+bitmaps differ in no more bits than the sets in shingles, and sets at Jaccard 0.8
+differ in at most a ninth of their added sizes.  The other pairs are verified on
+whole sets and contracted to components; then the lines of each long list outside
+its largest component are compared with all of the list, in blocks dealt to
+tasks.  Connected components by star contraction keep their first line.
 
 A line is identified by a 64-bit hash; equal lines collapse before anything else.
 """
@@ -25,12 +32,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from riselens.llm.components import connected_components, merge_components
 from riselens.llm.minhash_dedup import BLOCK, _tile
-from riselens.llm.textbuf import _BYTE, _power, mix
-from riselens.session import checkpoint, configure
+from riselens.llm.textbuf import _BYTE, _P, _power, mix
+from riselens.session import checkpoint, configure, drop_checkpoint
 
-Q, KEEP, LIST, PERCENT = 5, 8, 16, 80
-#: Bytes of the lines worked on at once, fewer than 2^20; one line alone may exceed it.
-SLICE = 1_000_000
+Q, LIST, PERCENT = 5, 16, 80
+BANDS, ROWS, SHORT, KEEP = 12, 4, 96, 8
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
+#: Bytes and number of the lines worked on at once, fewer than 2^20; one line alone may have more bytes.
+SLICE, LINES = 1 << 18, 4096
 
 
 def shingles(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +70,47 @@ def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _slices(bounds: np.ndarray):
     lo = 0
     while lo < len(bounds) - 1:
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+        hi = max(lo + 1, min(lo + LINES, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1))
         yield lo, hi
         lo = hi
 
 
-def with_sketch(lines: DataFrame) -> DataFrame:
-    """n, the size of the line's set, and its KEEP smallest hashes, in place of the column line."""
+def band_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each line's sorted shingle hashes, end to end, and the lines' bounds in them."""
+    n, v, bins = np.diff(ends), values.view(np.uint64), BANDS * ROWS
+    line = np.repeat(np.arange(len(n)), n)
+    cell = (v * np.uint64(bins) >> np.uint64(44)).astype(np.int64) + line * bins
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    at = np.full((len(n), bins), -1)
+    at.ravel()[cell[first]] = first
+    filled = np.where(at >= 0, np.arange(bins), 2 * bins)
+    following = np.minimum.accumulate(np.concatenate((filled, filled + bins), 1)[:, ::-1], 1)[:, ::-1][:, :bins]
+    least = v[np.take_along_axis(at, following % bins, 1)]
+    least = (least + (following - np.arange(bins)).astype(np.uint64) * _P).reshape(len(n), BANDS, ROWS)
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
+    for row in range(ROWS):
+        band = mix(band * _P + least[:, :, row])
+
+    rank = np.arange(len(v)) - ends[line]
+    next_to = np.flatnonzero((rank < KEEP - 1) & (rank < n[line] - 1) & (n[line] <= SHORT))
+    bounds = np.concatenate(([0], np.cumsum(BANDS + np.bincount(line[next_to], minlength=len(n)))))
+    keys = np.empty(bounds[-1], np.uint64)
+    keys[bounds[:-1, None] + np.arange(BANDS)] = band
+    keys[bounds[line[next_to]] + BANDS + rank[next_to]] = mix(mix(v[next_to]) + v[next_to + 1])
+    return keys.view(np.int64), bounds
+
+
+def parity(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set WORDS words: bit i of them is the parity of the hashes with remainder i."""
+    bit = values.view(np.uint64) % np.uint64(64 * WORDS)
+    one, word = np.uint64(1) << bit % np.uint64(64), bit // np.uint64(64)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), ends[:-1]) for w in range(WORDS)], 1).view(np.int64)
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """n, the size of the line's set, its band keys and its parity bitmap, in place of the column line."""
     others = [c for c in lines.columns if c != "line"]
-    schema = StructType([*lines.select(others).schema.fields]).add("n", IntegerType()).add("sketch", ArrayType(LongType()))
+    schema = StructType([*lines.select(others).schema.fields]).add("n", IntegerType()).add("keys", ArrayType(LongType())).add("bits", ArrayType(LongType()))
 
     def run(batches):
         for batch in batches:
@@ -77,11 +119,11 @@ def with_sketch(lines: DataFrame) -> DataFrame:
             data, bounds = _text(batch.column(batch.schema.get_field_index("line")))
             for lo, hi in _slices(bounds):
                 values, ends = shingles(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                n = np.diff(ends)
-                values = values[np.arange(len(values)) - np.repeat(ends[:-1], n) < KEEP]
-                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(n, KEEP)))), pa.int32()), pa.array(values, pa.int64()))
+                keys, at = band_keys(values, ends)
+                keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * WORDS, pa.int32()), pa.array(parity(values, ends).ravel()))
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in others]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), sketch], [*others, "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(ends), pa.int32()), keys, bits], [*others, "n", "keys", "bits"])
 
     return lines.mapInArrow(run, schema)
 
@@ -109,21 +151,24 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b), and the entries (key, id) of long lists."""
-    n = F.size("sketch")
-    keys = F.when(n < 2, F.array(F.xxhash64("sketch"))).otherwise(
-        F.zip_with(F.slice("sketch", F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice("sketch", F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    entries = reps.select("id", "n", F.explode(F.array_distinct(keys)).alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("pivot"), F.col("n").alias("pn"))).alias("p")).where("c > 1")
-    shared = checkpoint(entries.join(lists.select("key", "c", "p.pivot", "p.pn"), "key"))
-    fits = f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)"
-    star = shared.where(F.col("c") > LIST).where("id <> pivot").where(fits).select("id", "pivot")
+def _shared(reps: DataFrame) -> DataFrame:
+    """(key, id, n, c, pivot): the entries of the lists of two lines or more, with the list's length and smallest id."""
+    entries = reps.select(F.explode("keys").alias("key"), "id", "n")
+    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1")
+    return entries.join(lists, "key")
+
+
+def _pairs(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidate pairs (a < b) that sizes and bitmaps allow."""
+    star = shared.where(F.col("c") > LIST).where("id <> pivot").select("id", "pivot")
     small = shared.where(F.col("c") <= LIST).select("key", "id", "n")
     other = small.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"))
-    full = small.join(other, "key").where("id < pivot").where(fits).select("id", "pivot")
-    both = star.union(full)
-    return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), shared.where(F.col("c") > LIST).select("key", "id")
+    full = small.join(other, "key").where(f"id < pivot and 100 * least(n, pn) >= {PERCENT} * greatest(n, pn)").select("id", "pivot")
+    pairs = star.union(full).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
+    differ = " + ".join(f"bit_count(bitsa[{w}] ^ bitsb[{w}])" for w in range(WORDS))
+    return pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (na + nb)").select("a", "b")
 
 
 def _lines(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -134,8 +179,7 @@ def _lines(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return checkpoint(lines.select("x.id", "x.line").where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"]))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    lines = _lines(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
@@ -150,8 +194,10 @@ def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame)
     rows = checkpoint(rows.join(sizes, "key"))
     if rows.isEmpty():
         return None
-    lines = _lines(docs, reps, rows.select("id").distinct())
+    lines, bare = _lines(docs, reps, rows.select("id").distinct()), rows
     rows = checkpoint(rows.join(lines, "id").select("key", "comp", "main", "of_all", "of_rest", F.col("id").alias("rep"), "line"))
+    drop_checkpoint(lines)
+    drop_checkpoint(bare)
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("comp <> main").select("key", "rep", "comp", "line", block("of_rest").alias("i"), every("of_all").alias("j"))
@@ -168,7 +214,9 @@ def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame)
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         return _tile(members(lt), members(rt.rename(columns=lambda c: c.removesuffix("_r"))), PERCENT)
 
-    return checkpoint(left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long"))
+    links = checkpoint(left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long"))
+    drop_checkpoint(rows)
+    return links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -181,14 +229,21 @@ def line_classes(docs: DataFrame) -> DataFrame:
     empty table gives an empty one; extra columns are ignored.
     """
     configure(docs.sparkSession)
-    lines = checkpoint(with_sketch(split_lines(docs).withColumn("id", F.xxhash64("line"))))
-    reps = checkpoint(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    pairs, long = _pairs(reps)
-    links = checkpoint(_verify(docs, checkpoint(pairs), reps))
+    src = split_lines(docs).withColumn("id", F.xxhash64("line"))
+    lines = checkpoint(src.select("doc_id", "line_no", "id"))
+    reps = with_keys(src).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
+    reps = checkpoint(reps)
+    shared = checkpoint(_shared(reps))
+    pairs = checkpoint(_pairs(shared, reps))
+    texts = _lines(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = checkpoint(_verify(pairs, texts))
+    drop_checkpoint(texts)
+    drop_checkpoint(pairs)
     comp = checkpoint(connected_components(links))
-    rest = _rest(docs, reps, long, comp)
+    rest = _rest(docs, reps, shared.where(F.col("c") > LIST).select("key", "id"), comp)
     if rest is not None:
         comp = checkpoint(merge_components(comp, rest))
+    drop_checkpoint(shared)
     of_comp = comp.join(reps.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = comp.join(of_comp, "component").select("id", "keeper")
     by_line = reps.select("id", "first").join(keepers, "id", "left").select("id", F.coalesce("keeper", "first").alias("f"))
