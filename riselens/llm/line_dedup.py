@@ -16,7 +16,7 @@ bitmaps differ in no more bits than the sets in shingles, and sets at Jaccard 0.
 differ in at most a ninth of their added sizes.  The other pairs are verified on
 whole sets and contracted to components; then the lines of each long list outside
 its largest component are compared with all of the list, in blocks dealt to
-tasks.  Connected components by star contraction keep their first line.
+tasks, by bitmaps and, where these allow a link, on whole sets.  Connected components by star contraction keep their first line.
 
 A line is identified by a 64-bit hash; equal lines collapse before anything else.
 """
@@ -37,8 +37,8 @@ from riselens.session import checkpoint, configure, drop_checkpoint
 
 Q, LIST, PERCENT = 5, 16, 80
 BANDS, ROWS, SHORT, KEEP = 12, 4, 96, 8
-#: 64-bit words of a set's parity bitmap.
-WORDS = 8
+#: 64-bit words of a set's parity bitmap, and lines of a block whose bitmaps are compared.
+WORDS, WIDE = 8, 4096
 #: Bytes and number of the lines worked on at once, fewer than 2^20; one line alone may have more bytes.
 SLICE, LINES = 1 << 18, 4096
 
@@ -184,38 +184,72 @@ def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
-def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame | None:
-    """Links within long lists between lines that ``comp`` leaves apart; None if it leaves none apart."""
-    rows = entries.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+def _tiles(rows: DataFrame, block: int, compare, schema: str) -> DataFrame:
+    """``compare`` over blocks of each key's rows (key, comp, id, ...): those outside the largest comp against all, dealt to tasks."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = per.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main")).where(F.col("all") > F.col("main.c"))
-    blocks = {"of_all": F.ceil(F.col("all") / BLOCK).cast("int"), "of_rest": F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int")}
-    sizes = sizes.withColumns(blocks).select("key", "of_all", "of_rest", F.col("main.comp").alias("main"))
-    rows = checkpoint(rows.join(sizes, "key"))
-    if rows.isEmpty():
-        return None
-    lines, bare = _lines(docs, reps, rows.select("id").distinct()), rows
-    rows = checkpoint(rows.join(lines, "id").select("key", "comp", "main", "of_all", "of_rest", F.col("id").alias("rep"), "line"))
-    drop_checkpoint(lines)
-    drop_checkpoint(bare)
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    blocks = {"of_all": F.ceil(F.col("all") / block).cast("int"), "of_rest": F.ceil((F.col("all") - F.col("main.c")) / block).cast("int")}
+    own, rows = rows.columns, rows.join(sizes.withColumns(blocks).select("key", "of_all", "of_rest", F.col("main.comp").alias("main")), "key")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("comp <> main").select("key", "rep", "comp", "line", block("of_rest").alias("i"), every("of_all").alias("j"))
-    right = rows.select("key", "rep", "comp", "line", every("of_rest").alias("i"), block("of_all").alias("j"))
+    left = rows.where("comp <> main").select(*own, place("of_rest").alias("i"), every("of_all").alias("j"))
+    right = rows.select(*own, every("of_rest").alias("i"), place("of_all").alias("j"))
     right = right.toDF(*(c + "_r" for c in right.columns))
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+        if lt.empty or rt.empty:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+        return compare(lt, rt.rename(columns=lambda c: c.removesuffix("_r")))
+
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(run, schema)
+
+
+def _open(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+    """The rows of two blocks that sizes and bitmaps allow a link with a row of another component."""
+    (x, y), (nx, ny) = ((np.array(t["bits"].tolist(), np.int64).T for t in (lt, rt)), (t["n"].to_numpy(np.int64) for t in (lt, rt)))
+    cx, cy = lt["comp"].to_numpy(), rt["comp"].to_numpy()
+    of_x, of_y = np.zeros(len(lt), bool), np.zeros(len(rt), bool)
+    for lo in range(0, len(lt), 256):
+        at = slice(lo, lo + 256)
+        differ = np.zeros((len(nx[at]), len(ny)), np.uint16)
+        for w in range(WORDS):
+            differ += np.bitwise_count((x[w, at, None] ^ y[w, None, :]).view(np.uint64))
+        n, m = nx[at, None], ny[None, :]
+        may = ((100 + PERCENT) * differ.astype(np.int64) <= (100 - PERCENT) * (n + m)) & (cx[at, None] != cy[None, :])
+        may &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        of_x[at], of_y = may.any(1), of_y | may.any(0)
+    return pd.concat((lt.loc[of_x, ["key", "id"]], rt.loc[of_y, ["key", "id"]]))
+
+
+def _links(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of two blocks, on the lines' whole sets."""
 
     def members(block: pd.DataFrame) -> pd.DataFrame:
-        data, bounds = _text(pa.array(block["line"], pa.large_string()))
-        values, ends = shingles(data, bounds)
-        return block.assign(members=np.split(values, ends[1:-1]))
+        values, ends = shingles(*_text(pa.array(block["line"], pa.large_string())))
+        return block.rename(columns={"id": "rep"}).assign(members=np.split(values, ends[1:-1]))
 
-    def compare(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
-        if lt.empty or rt.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return _tile(members(lt), members(rt.rename(columns=lambda c: c.removesuffix("_r"))), PERCENT)
+    return _tile(members(lt), members(rt), PERCENT)
+
+
+def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Links within long lists between lines that ``comp`` leaves apart; None if there can be none.
 
-    links = checkpoint(left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(compare, "a long, b long"))
-    drop_checkpoint(rows)
+    Bitmaps first tell the lines that may have any; only their texts are fetched.
+    """
+    rows = entries.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = checkpoint(rows.join(apart.select("key"), "key", "left_semi"))
+    if rows.isEmpty():
+        return None
+    open_ = checkpoint(_tiles(rows.join(reps.select("id", "n", "bits"), "id"), WIDE, _open, "key long, id long").distinct())
+    if open_.isEmpty():
+        return None
+    lines = _lines(docs, reps, open_.select("id").distinct())
+    texts = checkpoint(rows.join(open_, ["key", "id"], "left_semi").join(lines, "id"))
+    links = checkpoint(_tiles(texts, BLOCK, _links, "a long, b long"))
+    for written in (rows, open_, lines, texts):
+        drop_checkpoint(written)
     return links
 
 
