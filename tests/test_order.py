@@ -157,3 +157,12 @@ def test_trimmed_on_hot_values(awkward, frac):
         assert got[key]["mean"] == pytest.approx(x.mean(), rel=1e-9, abs=1e-9)
         if len(x) > 1:
             assert got[key]["std"] == pytest.approx(x.std(ddof=1), rel=1e-6, abs=1e-6)
+
+
+def test_cells_divided_further_when_cells_are_broadcast(spark, monkeypatch):
+    """Times of one era fall into one cell: beyond OPEN_VALUES it is joined with spans derived from itself."""
+    from riselens.operators import order
+    monkeypatch.setattr(order, "OPEN_VALUES", 50)
+    v = 1.7e9 + np.arange(900) * 0.37
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    assert np.allclose(exact_quantiles(df, "v", [0.0, 0.1, 0.7, 1.0]), np.quantile(v, [0.0, 0.1, 0.7, 1.0]), rtol=0, atol=1e-6)
