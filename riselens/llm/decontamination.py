@@ -2,11 +2,12 @@
 
 Documents are read as overlapping passages of WINDOW words, a new one every STEP
 words.  Inverse document frequencies come from all passages of the corpus, over
-hashed words.  Benchmark items (pieces of at most WINDOW words) and a bounded,
-documented sample of corpus passages give the TF-IDF matrix whose randomised SVD
+hashed words.  Benchmark items (pieces of at most WINDOW words) and all words of the
+corpus, in rows of WINDOW, give the TF-IDF matrix whose randomised SVD
 is computed in Spark: each pass of subspace iteration sums A'(AQ) over tasks,
-one block of terms per group.  Item rows weigh ITEM_WEIGHT, so that the space
-keeps what tells items apart.  Its right singular vectors are the latent space.
+one block of terms per group.  Item rows weigh ITEM_WEIGHT and all corpus rows
+together as much as CORPUS_ROWS rows of weight 1, so that the space keeps what
+tells items apart however large the corpus is.  Its right singular vectors are the latent space.
 
 Candidate search covers every passage: the cosine of passage x and item b is
 (Vx)(Vb) / (|x| |Vb|).  Terms outside the benchmark's vocabulary only lengthen
@@ -36,15 +37,15 @@ from pyspark.sql import functions as F
 
 from riselens.llm.common import clean_docs
 from riselens.llm.textbuf import Words, batches, distinct, mix
-from riselens.session import checkpoint
 
 WINDOW, STEP = 48, 12
 BITS = 18
 RANK = 256
 ITEMS = 200
 SEED = 4
-SAMPLE = 200
 ITEM_WEIGHT = 16.0
+CORPUS_ROWS = 2000
+PIECE = 1 << 15
 BLOCK = 1024
 COSINE = 0.3
 STOP_SHARE = 1 / 64
@@ -73,14 +74,15 @@ def _frequencies(frames):
     yield pd.DataFrame({"term": np.append(at, -1), "c": np.append(total[at], blocks)})
 
 
-def idf_weights(docs: DataFrame) -> np.ndarray:
-    """ln((1 + blocks) / (1 + blocks with the term)) for each of the 2^BITS hashed terms."""
+def idf_weights(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """ln((1 + blocks) / (1 + blocks with the term)) for each of the 2^BITS hashed terms, and the number of blocks."""
     rows = docs.mapInPandas(_frequencies, "term int, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
     term, c = rows["term"].to_numpy(), rows["c"].to_numpy()
     count = np.zeros(1 << BITS)
     known = term >= 0
     count[term[known]] = c[known]
-    return np.log((1 + c[~known].sum()) / (1 + count)) + 1e-3
+    blocks = int(c[~known].sum())
+    return np.log((1 + blocks) / (1 + count)) + 1e-3, blocks
 
 
 def _passages(texts: list[str], idf: np.ndarray):
@@ -136,9 +138,18 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, column: np.ndarray, wid
                 value = (idf[term] / length[row] * pdf["weight"].to_numpy()[words.doc]).astype(np.float32)
                 use = np.flatnonzero(column[term] >= 0)
                 row, col, value = row[use], column[term[use]], value[use][:, None]
-                y = np.zeros((len(length), rank), np.float32)
-                np.add.at(y, row, q[col] * value)
-                np.add.at(total, col, y[row] * value)
+                # rows are in order: whole rows, about PIECE entries at a time
+                cuts = np.searchsorted(row, np.append(row[::PIECE], len(length)))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if a == b:
+                        continue
+                    r, c, v = row[a:b], col[a:b], value[a:b]
+                    first = np.flatnonzero(np.diff(r, prepend=-1))
+                    y = np.add.reduceat(q[c] * v, first)
+                    order = np.argsort(c, kind="stable")
+                    at = np.flatnonzero(np.diff(c[order], prepend=-1))
+                    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
+                    total[c[order][at]] += np.add.reduceat(y[own[order]] * v[order], at)
             for b in range(0, width, BLOCK):
                 yield pd.DataFrame({"block": [b], "sums": [total[b : b + BLOCK].tobytes()]})
 
@@ -282,7 +293,7 @@ def _search(items: pd.DataFrame, idf, column, basis, cosine: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int = SAMPLE, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, word): documents holding a benchmark item, whole or lightly reworded.
 
     word: the word offset of the best passage.  Items without words and null ids
@@ -297,14 +308,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample:
     items = items[[bool(tokens(t)) for t in items["text"]]].sort_values("item_id")
     if items.empty:
         return docs.sparkSession.createDataFrame([], PAIRS)
-    idf = idf_weights(docs)
-    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = checkpoint(docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text", F.lit(1.0).alias("weight")))
-    found = [docs.mapInPandas(_block_search(picked, items[lo : lo + ITEMS], idf, rank, cosine), PAIRS) for lo in range(0, len(items), ITEMS)]
+    idf, blocks = idf_weights(docs)
+    rows = max(blocks * STEP / WINDOW, 1.0)
+    corpus = docs.select("text", F.lit(min(1.0, float(np.sqrt(CORPUS_ROWS / rows)))).alias("weight"))
+    found = [docs.mapInPandas(_block_search(corpus, items[lo : lo + ITEMS], idf, rank, cosine), PAIRS) for lo in range(0, len(items), ITEMS)]
     return reduce(DataFrame.union, found).dropDuplicates(["doc_id", "item_id"])
 
 
-def _block_search(picked: DataFrame, items: pd.DataFrame, idf: np.ndarray, rank: int, cosine: float):
+def _block_search(corpus: DataFrame, items: pd.DataFrame, idf: np.ndarray, rank: int, cosine: float):
     """The search for one block of items, in the latent space of theirs."""
     column = np.full(1 << BITS, -1, np.int32)
     used = []
@@ -315,8 +326,8 @@ def _block_search(picked: DataFrame, items: pd.DataFrame, idf: np.ndarray, rank:
         used.append(rare if (idf[rare] ** 2).sum() >= 0.5 * (idf[t] ** 2).sum() else t)
     vocabulary = np.unique(np.concatenate(used))
     column[vocabulary] = np.arange(len(vocabulary))
-    own = picked.sparkSession.createDataFrame([(t, ITEM_WEIGHT) for t in items["text"]], "text string, weight double")
-    basis = randomised_svd(checkpoint(picked.unionByName(own)), idf, column, len(vocabulary), min(rank, len(vocabulary)))
+    own = corpus.sparkSession.createDataFrame([(t, ITEM_WEIGHT) for t in items["text"]], "text string, weight double")
+    basis = randomised_svd(corpus.unionByName(own), idf, column, len(vocabulary), min(rank, len(vocabulary)))
     return _search(items, idf, column, basis, cosine)
 
 

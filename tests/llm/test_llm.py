@@ -447,3 +447,20 @@ def test_components_and_their_merging_equal_brute_force(spark, seed):
         assert len(rows) == len(want) and {r["id"]: r["component"] for r in rows} == want
     assert connected_components(as_frame([])).collect() == []
     assert sorted(merge_components(comp, as_frame([])).collect()) == sorted(comp.collect())
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """The basis is that of all documents' words and the items, however many documents there are."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 20)) for i in range(450)]
+    seen = []
+    plain = decontamination.randomised_svd
+
+    def watched(passages, *rest):
+        seen.append({r["text"] for r in passages.collect()})
+        return plain(passages, *rest)
+
+    monkeypatch.setattr(decontamination, "randomised_svd", watched)
+    items = spark.createDataFrame([(0, rows[3][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.find_leaks(frame(spark, rows), items).collect()} >= {3}
+    assert seen == [{t for _, t in rows}]
