@@ -142,3 +142,27 @@ def test_vectorised_split_pairwise_equals_direct(spark):
     exp = pairwise_accuracy(test, ["subreddit", "hour_bucket"], "stage_a_residual", "stage_b_pred").collect()[0]
     assert got[1] == exp["pairs"] and got[1] > 0
     assert got[0] == pytest.approx(exp["pairwise_accuracy"])
+
+
+def test_slices_are_read_from_their_own_rows(spark, tmp_path, monkeypatch):
+    """Posts and snapshots are joined once, whatever the number of slices; the slices hold all rows in order of time."""
+    from riselens.streaming import fixtures as SF
+    joins = []
+    rows = [("p%d" % (i % 7), "s", 0.0, 1000.0 + i * 9000.0, float(i), 0.5, None) for i in range(90)]
+    names = "post_id string, subreddit string, created_timestamp double, snapshot_time double, score double, upvote_ratio double, num_comments double"
+    count = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        count.add(1)
+        yield from batches
+
+    def observed(*_):
+        joins.append(1)
+        return spark.createDataFrame(rows, names).coalesce(1).mapInPandas(read, names)
+
+    monkeypatch.setattr(SF, "observations", observed)
+    path, _ = SF.write_slices(spark, "", str(tmp_path))
+    got = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    assert got.count() == 90 + SF.LATE_ROWS and count.value == 1
+    spans = [tuple(spark.read.parquet(str(p)).selectExpr("min(snapshot_time)", "max(snapshot_time)").first()) for p in sorted((tmp_path / "input").iterdir())[:-1]]
+    assert len(spans) > 2 and all(a[1] < b[1] and b[0] > a[0] for a, b in zip(spans, spans[1:]))
