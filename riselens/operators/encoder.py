@@ -23,6 +23,8 @@ from riselens.operators import gram as G
 from riselens.operators.textvec import WORD_PATTERN
 
 BLOCKS = 16  # of rows of a partial sum, which are reduced on their own
+#: Terms worked off together (or one longer title): each takes a row of the basis, several times over.
+PIECE = 1 << 16
 
 
 @dataclass
@@ -51,6 +53,14 @@ def _sparse(rows: pd.Series, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, bucket, w / np.where(norm > 0, norm, 1.0)[row]
 
 
+def _pieces(rows: pd.Series) -> Iterable[pd.Series]:
+    """A batch in runs of titles of about PIECE terms, so that memory depends neither on its rows nor on their length."""
+    ends = np.cumsum([len(r) for r in rows])
+    at = np.unique(ends // PIECE, return_index=True)[1]
+    for a, b in zip(at, [*at[1:], len(rows)]):
+        yield rows.iloc[a:b]
+
+
 def _times(rows: pd.Series, idf: np.ndarray, Q: np.ndarray) -> tuple[np.ndarray, tuple]:
     """X Q of a batch, and its sparse entries."""
     row, bucket, w = _sparse(rows, idf)
@@ -78,8 +88,8 @@ def fit_encoder(df: DataFrame, text: str = "title", dim: int = 64, buckets: int
         def partials(batches: Iterable[pd.DataFrame]):
             total = np.zeros(Q.shape)
             for pdf in batches:
-                if len(pdf):
-                    Y, (row, bucket, w) = _times(pdf["b"], idf, Q)
+                for rows in _pieces(pdf["b"]):
+                    Y, (row, bucket, w) = _times(rows, idf, Q)
                     order = np.argsort(bucket, kind="stable")
                     first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                     if len(first):
@@ -106,6 +116,7 @@ def encode(df: DataFrame, encoder: Encoder, text: str = "title", out: str = "vec
 
     @F.pandas_udf("array<double>")
     def project(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(_times(rows, encoder.idf, encoder.vectors)[0]))
+        found = [v for some in _pieces(rows) for v in _times(some, encoder.idf, encoder.vectors)[0]]
+        return pd.Series(found, dtype=object)
 
     return df.withColumn(out, project(buckets_of(text, buckets)))

@@ -80,3 +80,18 @@ def test_prediction_table_is_replaced_by_config(spark, tmp_path):
         TV.write_predictions(df, str(tmp_path / "t"), config, "y", "p")
     rows = TV.read_predictions(spark, str(tmp_path / "t")).groupBy("config").count().collect()
     assert sorted((r["config"], r["count"]) for r in rows) == [("a", 10), ("b", 10)]
+
+
+def test_pieces_cover_a_batch_and_bound_its_terms(monkeypatch):
+    """What is multiplied at once is bounded by terms, and the projection does not depend on the cuts."""
+    from riselens.operators import encoder
+    rng = np.random.default_rng(3)
+    rows = pd.Series([rng.integers(0, 64, n).tolist() for n in [0, 3, 70, 0, 9, 31, 2, 0]])
+    idf, Q = rng.random(64) + 1, rng.normal(size=(64, 5))
+    whole = encoder._times(rows, idf, Q)[0]
+    monkeypatch.setattr(encoder, "PIECE", 16)
+    pieces = list(encoder._pieces(rows))
+    assert [x for p in pieces for x in p] == rows.tolist()
+    assert all(sum(map(len, p.iloc[1:])) <= 16 for p in pieces) and len(pieces) > 2  # a long title may stand first
+    assert np.array_equal(np.concatenate([encoder._times(p, idf, Q)[0] for p in pieces]), whole)
+    assert list(encoder._pieces(rows.iloc[:0])) == []
