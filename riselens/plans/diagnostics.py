@@ -214,8 +214,8 @@ class Prepared:
     names: list[str]
 
 
-def prepare(frame: DataFrame) -> Prepared:
-    ranked = S.ranked_frame(S.with_interactions(frame))
+def prepare(frame: DataFrame, ranked: DataFrame | None = None) -> Prepared:
+    ranked = S.ranked_frame(S.with_interactions(frame)) if ranked is None else ranked
     fd = fit_full_design(ranked)
     return Prepared(ranked, ranked.count(), fd, fd.all_columns)
 

@@ -37,3 +37,13 @@ def test_single_row_community_std_is_zero(spark):
     got = {r["subreddit"]: r for r in community_stats(df).collect()}
     assert got["x"]["subreddit_score_std"] == 0.0
     assert got["y"]["subreddit_median_score"] == 2.0
+
+
+def test_dedup_written_equals_dedup_posts(spark):
+    """Single ids, repeated ids, equal copies and null ids; unrepeated rows are not grouped with their texts."""
+    from riselens.operators.features import dedup_written
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("b", 5, None), ("c", 3, "z"), ("c", 3, "z"), (None, 9, "n"), (None, 8, "m")]
+    df = spark.createDataFrame(rows, "post_id string, score long, text string").repartition(3)
+    for some in (df, df.where("post_id = 'b'"), df.where("score = 9")):
+        key = lambda r: (str(r["post_id"]), r["score"])
+        assert sorted(dedup_written(some).collect(), key=key) == sorted(dedup_posts(some).collect(), key=key)
