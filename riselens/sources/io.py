@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,23 +56,44 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".parquet") ->
     return sorted(out)
 
 
-def _tables(spark: SparkSession, directory: str, keep) -> list[str]:
-    """Top-level entries (files or part-file folders) below ``directory``
-    whose relative path satisfies ``keep``."""
+def _tables(spark: SparkSession, directory: str, keep) -> list[list[str]]:
+    """What to read for every table below ``directory``: the paths of its files whose relative path satisfies ``keep``.
+
+    A table is the deepest folder ending in .parquet, or a file in no such
+    folder.  A folder whose files are all wanted is named as a whole, so that
+    its part files are one scan however many they are.
+    """
     base = directory.rstrip("/")
-    tables = set()
+    wanted: dict[str, list[str]] = {}
+    below: dict[str, int] = {}
     for path in list_files(spark, directory):
         rel = path.split(base.split(":", 1)[-1], 1)[-1].lstrip("/")
+        parts = rel.split("/")
+        folders = ["/".join(parts[:i + 1]) for i, p in enumerate(parts[:-1]) if p.endswith(".parquet")]
+        for folder in folders:
+            below[folder] = below.get(folder, 0) + 1
         if keep(rel):
-            parts = rel.split("/")
-            # a table is the deepest folder ending in .parquet, or the file itself
-            cut = max((i for i, p in enumerate(parts) if p.endswith(".parquet")), default=len(parts) - 1)
-            tables.add(f"{base}/{'/'.join(parts[:cut + 1])}")
-    return sorted(tables)
+            wanted.setdefault(folders[-1] if folders else rel, []).append(rel)
+    return [[f"{base}/{rel}" for rel in ([table] if below.get(table) == len(files) else files)]
+            for table, files in sorted(wanted.items())]
+
+
+def _read(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The files of one table, with the columns of any of them.
 
+    Partition folders give no columns.  Files that hold a column in different
+    types are read one by one and widened.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        return reader.option("mergeSchema", "true").parquet(*paths)
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE_SCHEMAS" not in str(e):
+            raise
+    return _union([spark.read.parquet(f) for p in paths for f in list_files(spark, p)])
 
-def _union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    frames = [spark.read.parquet(p) for p in paths]
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
     if not frames:
         raise FileNotFoundError("no matching parquet tables")
     out = frames[0]
@@ -91,21 +114,13 @@ def scan_posts(spark: SparkSession, directory: str, platform: str = "both") -> D
             return False
         return prefix is None or rel.split("/")[0].startswith(prefix)
 
-    return _union(spark, _tables(spark, directory, keep))
+    return _union([_read(spark, paths) for paths in _tables(spark, directory, keep)])
 
 
 def scan_snapshots(spark: SparkSession, directory: str) -> DataFrame:
     """IO2: every ``*snapshots*`` table at any depth; HN names unified."""
     tables = _tables(spark, directory, lambda rel: "snapshots" in rel)
-    return _union_canonical(spark, tables)
-
-
-def _union_canonical(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    frames = [canonical_snapshots(spark.read.parquet(p)) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return _union([canonical_snapshots(_read(spark, paths)) for paths in tables])
 
 
 def canonical_snapshots(df: DataFrame) -> DataFrame:
