@@ -45,7 +45,7 @@ ITEMS = 200
 SEED = 4
 ITEM_WEIGHT = 16.0
 CORPUS_ROWS = 2000
-PIECE = 1 << 15
+ROWS = 64
 BLOCK = 1024
 COSINE = 0.3
 STOP_SHARE = 1 / 64
@@ -118,15 +118,37 @@ def _project(term, first, end, blocks, idf, column, basis):
     return out
 
 
+def _add_products(total: np.ndarray, row: np.ndarray, col: np.ndarray, scale: np.ndarray, q: np.ndarray) -> None:
+    """Adds C' (scale * C q) to ``total``, C being the counts of the entries (row, col); rows ascend.
+
+    ROWS rows at a time, as a small dense matrix of the columns that they hold.
+    """
+    cuts = np.searchsorted(row, np.arange(0, len(scale) + ROWS, ROWS))
+    place = np.zeros(len(q), np.int64)
+    for lo, a, b in zip(range(0, len(scale), ROWS), cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        size, c = min(ROWS, len(scale) - lo), col[a:b]
+        here = np.zeros(len(q), bool)
+        here[c] = True
+        held = np.flatnonzero(here)
+        place[held] = np.arange(len(held))
+        counts = np.bincount((row[a:b] - lo) * len(held) + place[c], minlength=size * len(held))
+        counts = counts.astype(np.float32).reshape(size, len(held))
+        total[held] += counts.T @ (counts @ q[held] * scale[lo : lo + size])
+
+
 def randomised_svd(passages: DataFrame, idf: np.ndarray, column: np.ndarray, width: int, rank: int) -> np.ndarray:
     """Right singular vectors (width x rank) of the passages' TF-IDF matrix, by two rounds of subspace iteration."""
     rng = np.random.Generator(np.random.PCG64(7))
     basis = rng.standard_normal((width, rank)).astype(np.float32)
+    squares, own = idf**2, np.zeros((width, 1), np.float32)
+    own[column[column >= 0], 0] = idf[column >= 0]
     for _ in range(2):
         bound = passages.sparkSession.sparkContext.broadcast(basis)
 
         def part(frames, bound=bound):
-            q = bound.value
+            q = bound.value * own
             total = np.zeros((width, rank), np.float32)
             for pdf in batches(frames):
                 words, term, *_ = _passages(pdf["text"].tolist(), idf)
@@ -134,22 +156,15 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, column: np.ndarray, wid
                 row = (np.arange(len(term)) - np.repeat(words.bounds[:-1], n)) // WINDOW + np.repeat(np.cumsum(-(-n // WINDOW)) - -(-n // WINDOW), n)
                 if not len(row):
                     continue
-                length = np.sqrt(np.bincount(row, idf[term] ** 2))
-                value = (idf[term] / length[row] * pdf["weight"].to_numpy()[words.doc]).astype(np.float32)
-                use = np.flatnonzero(column[term] >= 0)
-                row, col, value = row[use], column[term[use]], value[use][:, None]
-                # rows are in order: whole rows, about PIECE entries at a time
-                cuts = np.searchsorted(row, np.append(row[::PIECE], len(length)))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    if a == b:
-                        continue
-                    r, c, v = row[a:b], col[a:b], value[a:b]
-                    first = np.flatnonzero(np.diff(r, prepend=-1))
-                    y = np.add.reduceat(q[c] * v, first)
-                    order = np.argsort(c, kind="stable")
-                    at = np.flatnonzero(np.diff(c[order], prepend=-1))
-                    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
-                    total[c[order][at]] += np.add.reduceat(y[own[order]] * v[order], at)
+                weight = np.zeros(row[-1] + 1)
+                weight[row] = pdf["weight"].to_numpy()[words.doc]
+                # an entry is weight / length of its row times its term's idf: both factors are taken out of the products
+                scale = (weight**2 / np.bincount(row, squares[term])).astype(np.float32)[:, None]
+                col = column[term]
+                use = np.flatnonzero(col >= 0)
+                row, col = row[use], col[use]
+                _add_products(total, row, col, scale, q)
+            total *= own
             for b in range(0, width, BLOCK):
                 yield pd.DataFrame({"block": [b], "sums": [total[b : b + BLOCK].tobytes()]})
 
