@@ -7,16 +7,19 @@ permutation gives the signature: the smallest hash in each of BANDS * ROWS equal
 ranges of the hash space, an empty range taking the value of the next filled one.
 Every ROWS values make a band key; lines with Jaccard 0.8 share one of the 12
 with a probability of 0.998.  Lines of at most SHORT shingles, where ranges run
-empty, have the neighbours among their KEEP smallest hashes as keys, too (0.995
-by these alone).
+empty, have each three neighbours among their KEEP smallest hashes as keys, too
+(0.998 by these alone; two neighbours found no more and made four times as many
+entries of long lists), and sets of at most TINY shingles each two.
 
 Lists of at most LIST lines give all their pairs, longer ones a star around their
 smallest id.  A parity bitmap of each set then rules pairs out without loss: two
 bitmaps differ in no more bits than the sets in shingles, and sets at Jaccard 0.8
 differ in at most a ninth of their added sizes.  The other pairs are verified on
-whole sets and contracted to components; then the lines of each long list outside
-its largest component are compared with all of the list, in blocks dealt to
-tasks, by bitmaps and, where these allow a link, on whole sets.  Connected components by star contraction keep their first line.
+whole sets and contracted to components.  Then long lists are compared in full,
+but for lines of one component: up to LONG lines by a join under the same bitmaps,
+whose pairs are verified like the first; longer ones, those outside the largest
+component against all, in blocks dealt to tasks, by bitmaps and, where these allow
+a link, on whole sets.  Connected components by star contraction keep their first line.
 
 A line is identified by a 64-bit hash; equal lines collapse before anything else.
 """
@@ -36,7 +39,9 @@ from riselens.llm.textbuf import _BYTE, _P, _power, mix
 from riselens.session import checkpoint, configure, drop_checkpoint
 
 Q, LIST, PERCENT = 5, 16, 80
-BANDS, ROWS, SHORT, KEEP = 12, 4, 96, 8
+BANDS, ROWS, SHORT, KEEP, TINY = 12, 4, 96, 16, 5
+#: Lines of a list up to which a join compares it in full: a line meets fewer than that many others.
+LONG = 256
 #: 64-bit words of a set's parity bitmap, and lines of a block whose bitmaps are compared.
 WORDS, WIDE = 8, 4096
 #: Bytes and number of the lines worked on at once, fewer than 2^20; one line alone may have more bytes.
@@ -92,11 +97,14 @@ def band_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         band = mix(band * _P + least[:, :, row])
 
     rank = np.arange(len(v)) - ends[line]
-    next_to = np.flatnonzero((rank < KEEP - 1) & (rank < n[line] - 1) & (n[line] <= SHORT))
-    bounds = np.concatenate(([0], np.cumsum(BANDS + np.bincount(line[next_to], minlength=len(n)))))
+    twos = np.flatnonzero((rank < n[line] - 1) & (n[line] <= TINY))
+    threes = np.flatnonzero((rank < np.minimum(n, KEEP)[line] - 2) & (n[line] <= SHORT))
+    of_twos, of_threes = (np.bincount(line[at], minlength=len(n)) for at in (twos, threes))
+    bounds = np.concatenate(([0], np.cumsum(BANDS + of_twos + of_threes)))
     keys = np.empty(bounds[-1], np.uint64)
     keys[bounds[:-1, None] + np.arange(BANDS)] = band
-    keys[bounds[line[next_to]] + BANDS + rank[next_to]] = mix(mix(v[next_to]) + v[next_to + 1])
+    keys[(bounds[:-1] + BANDS)[line[twos]] + rank[twos]] = mix(mix(v[twos]) + v[twos + 1])
+    keys[(bounds[:-1] + BANDS + of_twos)[line[threes]] + rank[threes]] = mix(mix(mix(v[threes]) + v[threes + 1]) + v[threes + 2])
     return keys.view(np.int64), bounds
 
 
@@ -151,10 +159,24 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _sizes_fit(x: str, y: str) -> str:
+    return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
+
+
+def _bitmaps_fit(x: str, y: str, bits_x: str, bits_y: str) -> str:
+    differ = " + ".join(f"bit_count({bits_x}[{w}] ^ {bits_y}[{w}])" for w in range(WORDS))
+    return f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({x} + {y})"
+
+
 def _shared(reps: DataFrame) -> DataFrame:
-    """(key, id, n, c, pivot): the entries of the lists of two lines or more, with the list's length and smallest id."""
-    entries = reps.select(F.explode("keys").alias("key"), "id", "n")
-    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1")
+    """(key, id, n, c, pivot): the entries of the lists of two lines or more, with the list's length and smallest id.
+
+    Lists of two lines whose sizes allow no link are left out.
+    """
+    # dealt by key once, for the lists and the join: both take the same columns
+    entries = reps.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
+    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lists = lists.where("c > 2 or c = 2 and " + _sizes_fit("lo", "hi")).select("key", "c", "pivot")
     return entries.join(lists, "key")
 
 
@@ -163,12 +185,11 @@ def _pairs(shared: DataFrame, reps: DataFrame) -> DataFrame:
     star = shared.where(F.col("c") > LIST).where("id <> pivot").select("id", "pivot")
     small = shared.where(F.col("c") <= LIST).select("key", "id", "n")
     other = small.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"))
-    full = small.join(other, "key").where(f"id < pivot and 100 * least(n, pn) >= {PERCENT} * greatest(n, pn)").select("id", "pivot")
+    full = small.join(other, "key").where("id < pivot and " + _sizes_fit("n", "pn")).select("id", "pivot")
     pairs = star.union(full).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
-    differ = " + ".join(f"bit_count(bitsa[{w}] ^ bitsb[{w}])" for w in range(WORDS))
-    return pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (na + nb)").select("a", "b")
+    return pairs.where(_sizes_fit("na", "nb") + " and " + _bitmaps_fit("na", "nb", "bitsa", "bitsb")).select("a", "b")
 
 
 def _lines(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -235,20 +256,24 @@ def _links(lt: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
 def _rest(docs: DataFrame, reps: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame | None:
     """Links within long lists between lines that ``comp`` leaves apart; None if there can be none.
 
-    Bitmaps first tell the lines that may have any; only their texts are fetched.
+    Bitmaps first tell the pairs, or in the longest lists the lines, that may have any; only their texts are fetched.
     """
-    rows = entries.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = checkpoint(rows.join(apart.select("key"), "key", "left_semi"))
+    rows = entries.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    rows = rows.join(apart.select("key", "c"), "key")
+    rows = checkpoint(rows.join(reps.select("id", "bits"), "id"))
     if rows.isEmpty():
         return None
-    open_ = checkpoint(_tiles(rows.join(reps.select("id", "n", "bits"), "id"), WIDE, _open, "key long, id long").distinct())
-    if open_.isEmpty():
-        return None
-    lines = _lines(docs, reps, open_.select("id").distinct())
-    texts = checkpoint(rows.join(open_, ["key", "id"], "left_semi").join(lines, "id"))
-    links = checkpoint(_tiles(texts, BLOCK, _links, "a long, b long"))
-    for written in (rows, open_, lines, texts):
+    x, y = (rows.where(F.col("c") <= LONG).select("key", *(F.col(c).alias(c + s) for c in ("id", "n", "comp", "bits"))) for s in "12")
+    fit = " and ".join(("id1 < id2", "comp1 <> comp2", _sizes_fit("n1", "n2"), _bitmaps_fit("n1", "n2", "bits1", "bits2")))
+    pairs = checkpoint(x.join(y, "key").where(fit).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+    long = rows.where(F.col("c") > LONG).drop("c")
+    open_ = checkpoint(_tiles(long, WIDE, _open, "key long, id long").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(open_.select("id")).distinct()
+    lines = _lines(docs, reps, ids)
+    texts = long.select("key", "id", "comp").join(open_, ["key", "id"], "left_semi").join(lines, "id")
+    links = checkpoint(_verify(pairs, lines).union(_tiles(texts, BLOCK, _links, "a long, b long")))
+    for written in (rows, pairs, open_, lines):
         drop_checkpoint(written)
     return links
 
@@ -274,7 +299,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     drop_checkpoint(texts)
     drop_checkpoint(pairs)
     comp = checkpoint(connected_components(links))
-    rest = _rest(docs, reps, shared.where(F.col("c") > LIST).select("key", "id"), comp)
+    rest = _rest(docs, reps, shared.where(F.col("c") > LIST).select("key", "id", "n"), comp)
     if rest is not None:
         comp = checkpoint(merge_components(comp, rest))
     drop_checkpoint(shared)

@@ -25,3 +25,49 @@ def test_pairs_share_a_key_and_no_bitmap_rules_them_out(union):
     for s, words in zip(sets[:50], bits[:50]):
         counts = np.bincount(s % (64 * line_dedup.WORDS), minlength=64 * line_dedup.WORDS) % 2
         assert (np.unpackbits(words.view(np.uint8), bitorder="little") == counts).all()
+
+
+def test_two_common_shingles_make_no_list_of_short_lines():
+    """Short lines that agree in their two smallest hashes alone share no neighbour key."""
+    rng = np.random.default_rng(1)
+    common = np.array([2**41, 2**41 + 1])  # in the same range: no band holds four values of these alone
+    sets = [np.concatenate((common, np.sort(rng.integers(2**42, 2**44, 20)))) for _ in range(200)]
+    keys, at = line_dedup.band_keys(np.concatenate(sets), np.arange(len(sets) + 1) * 22)
+    own = np.concatenate([keys[lo + line_dedup.BANDS : hi] for lo, hi in zip(at[:-1], at[1:])])
+    assert len(own) > len(sets) and len(np.unique(own)) == len(own)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_tiny_sets_keep_their_pairs_as_keys(n):
+    """Sets of n and n + 1 shingles, the one within the other, share a key wherever that is Jaccard 0.8."""
+    rng = np.random.default_rng(n)
+    for _ in range(200):
+        whole = np.sort(rng.integers(0, 2**44, n + 1))
+        part = np.delete(whole, rng.integers(n + 1))
+        keys, at = line_dedup.band_keys(np.concatenate((whole, part)), np.array([0, n + 1, 2 * n + 1]))
+        assert 100 * n < 80 * (n + 1) or set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
+
+
+def test_entries_are_dealt_by_key_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    reps = spark.range(1000).selectExpr("id", "id % 7 + 20 as n", "array(id div 3, id + 5000) as keys")
+    shared = line_dedup._shared(reps)
+    try:
+        assert shared.collect()
+        plan = shared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(key" in x and "Reused" not in x]) == 1
+
+
+def test_long_lists_are_compared_by_a_join(spark, monkeypatch):
+    """A list over LIST lines and up to LONG gives its links without blocks in Python tasks."""
+    words = [f"word{i:02d}" for i in range(40)]
+    docs = [(i, " ".join(words[:30] + [f"own{i:03d}{k}" for k in range(8)])) for i in range(30)]
+    docs += [(100 + i, f"{t}!") for i, t in docs]
+    monkeypatch.setattr(line_dedup, "LIST", 2)
+    tiled = []
+    monkeypatch.setattr(line_dedup, "_tiles", lambda rows, *a, run=line_dedup._tiles: tiled.append(rows.count()) or run(rows, *a))
+    rows = line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.first_doc_id for r in rows if r.doc_id >= 100} <= set(range(30))
+    assert sum(tiled) == 0
