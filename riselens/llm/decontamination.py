@@ -104,17 +104,20 @@ def _passages(texts: list[str], idf: np.ndarray):
     return words, _dims(words.hash), first, end, begin, last, text
 
 
-def _project(term, first, end, blocks, idf, column, basis):
-    """Latent vectors of the named blocks: the sum of their words' weighted rows of the basis."""
-    rows = np.concatenate((basis, np.zeros((1, basis.shape[1]), np.float32)))
-    out = np.zeros((len(blocks), basis.shape[1]), np.float32)
-    for p in range(STEP):
-        at = first[blocks] + p
-        here = np.flatnonzero(at < end[blocks])
-        t = term[at[here]]
-        known = column[t] >= 0
-        here, t = here[known], t[known]
-        out[here] += rows[column[t]] * idf[t][:, None].astype(np.float32)
+def _project(term, first, end, blocks, column, rows):
+    """For each of the named blocks the sum of its words' rows."""
+    out = np.zeros((len(blocks), rows.shape[1]), np.float32)
+    place = first[blocks][:, None] + np.arange(STEP)
+    row = column[term[np.minimum(place, max(len(term) - 1, 0))]] if len(term) else np.full(place.shape, -1)
+    known = (place < end[blocks][:, None]) & (row >= 0)
+    n, row = known.sum(1), row[known]
+    # blocks of many known words first: those with a k-th one are the first ``more``
+    order = np.argsort(-n, kind="stable")
+    at, sums = (np.cumsum(n) - n)[order], np.zeros_like(out)
+    for k in range(n.max(initial=0)):
+        more = int(np.searchsorted(-n[order], -k))
+        sums[:more] += np.take(rows, row[at[:more] + k], axis=0)
+    out[order] = sums
     return out
 
 
@@ -151,8 +154,8 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, column: np.ndarray, wid
             q = bound.value * own
             total = np.zeros((width, rank), np.float32)
             for pdf in batches(frames):
-                words, term, *_ = _passages(pdf["text"].tolist(), idf)
-                n = np.diff(words.bounds)
+                words = Words(pdf["text"].tolist(), lower=True, alnum=True)
+                term, n = _dims(words.hash), np.diff(words.bounds)
                 row = (np.arange(len(term)) - np.repeat(words.bounds[:-1], n)) // WINDOW + np.repeat(np.cumsum(-(-n // WINDOW)) - -(-n // WINDOW), n)
                 if not len(row):
                     continue
@@ -229,14 +232,20 @@ def _search(items: pd.DataFrame, idf, column, basis, cosine: float):
     ids, texts = items["item_id"].tolist(), items["text"].tolist()
     words, term, first, end, _, _, text = _passages(texts, idf)
     # an item longer than a passage is sought by its pieces of WINDOW words
-    block = _project(term, first, end, np.arange(len(first)), idf, column, basis)
+    weight = np.zeros((len(basis), 1), np.float32)
+    weight[column[column >= 0], 0] = idf[column >= 0]
+    weighted = basis * weight
+    block = _project(term, first, end, np.arange(len(first)), column, weighted)
     order = np.arange(len(text)) - np.searchsorted(text, text)
     piece, at = np.unique(text * (1 << 32) + order // (WINDOW // STEP), return_inverse=True)
     owner = piece >> 32
     latent = np.zeros((len(piece), basis.shape[1]), np.float32)
     np.add.at(latent, at, block)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    # (Vx)(Vb) is a sum over the words of x: each word's products with all pieces are taken once
+    products = weighted @ latent.T if len(piece) <= 2 * basis.shape[1] else None
     item_words, answers = [tokens(t) for t in texts], [closing(t) for t in texts]
+    item_hashes = [np.unique(np.array(x, np.uint64)) for x in item_words]
     seeds = _seeds(item_words)
     seed_bits = {size: np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) > 0 for size, (h, _, _) in seeds.items()}
 
@@ -277,16 +286,17 @@ def _search(items: pd.DataFrame, idf, column, basis, cosine: float):
                 some = near[lo : lo + 8192]
                 need = distinct(np.concatenate([begin[some] + p for p in range(WINDOW // STEP)]))
                 need = need[need < len(first)]
-                block = np.concatenate((_project(term, first, end, need, idf, column, basis), np.zeros((1, basis.shape[1]), np.float32)))
-                x = np.zeros((len(some), basis.shape[1]), np.float32)
+                rows = weighted if products is None else products
+                block = np.concatenate((_project(term, first, end, need, column, rows), np.zeros((1, rows.shape[1]), np.float32)))
+                x = np.zeros((len(some), rows.shape[1]), np.float32)
                 for p in range(WINDOW // STEP):
                     b = begin[some] + p
-                    x += block[np.where(b < last[some], np.searchsorted(need, b), len(need))]
-                score = (x @ latent.T) / np.sqrt(whole[some])[:, None]
+                    x += np.take(block, np.where(b < last[some], np.searchsorted(need, b), len(need)), axis=0)
+                score = (x @ latent.T if products is None else x) / np.sqrt(whole[some]).astype(np.float32)[:, None]
                 wanted = score >= cosine
                 here = sure[slice(*np.searchsorted(sure // len(piece), [some[0], some[-1] + 1]))]
                 wanted[np.searchsorted(some, here // len(piece)), here % len(piece)] = True
-                for i, j in zip(*np.nonzero(wanted)):
+                for i, j in zip(*np.divmod(np.flatnonzero(wanted), len(piece))):
                     out.append((int(text[begin[some[i]]]), int(owner[j]), float(score[i, j]), int(head[some[i]])))
             best: dict = {}
             for d, j, c, at in out:
@@ -297,7 +307,13 @@ def _search(items: pd.DataFrame, idf, column, basis, cosine: float):
                 top = (0.0, 0.0, 0.0, 0)
                 for c, at in hits:
                     a, b = max(at - n, int(words.bounds[d])), min(at + WINDOW + n, int(words.bounds[d + 1]))
-                    here = words.hash[a:b].tolist()
+                    # words that the item does not have are in no common subsequence
+                    here = words.hash[a:b]
+                    own = item_hashes[j]
+                    here = here[own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here].tolist()
+                    most = len(here) / max(n, 1)
+                    if most < LCS_ANSWER or most <= top[1]:
+                        continue
                     got = lcs(item_words[j], here) / max(n, 1)
                     if got > top[1]:
                         top = (c, got, lcs(answers[j], here) / max(len(answers[j]), 1), at - int(words.bounds[d]))

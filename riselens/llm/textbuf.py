@@ -56,17 +56,17 @@ class Words:
         raw = "\n".join(texts) + "\n"
         self.raw = raw.encode("utf-8", "replace")
         buf = np.frombuffer(self.raw, np.uint8)
-        self.buf = _LOWER[buf] if lower else buf
+        self.buf = np.take(_LOWER, buf) if lower else buf
         sizes = np.array([len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], np.int64) + 1
         self.text_end = np.cumsum(sizes)
-        inside = ~(_ALNUM_ONLY if alnum else _SPACE)[self.buf]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        outside = np.concatenate(([True], np.take(_ALNUM_ONLY if alnum else _SPACE, self.buf), [True]))
+        edge = np.flatnonzero(outside[1:] != outside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         self.bounds = np.searchsorted(self.start, np.concatenate(([0], self.text_end)))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         pos, inv = _power(len(buf))
         total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * pos, dtype=np.uint64, out=total[1:])
+        np.cumsum(np.take(_BYTE, self.buf) * pos, dtype=np.uint64, out=total[1:])
         self._total, self._inv = total, inv
         self.hash = mix((total[self.end] - total[self.start]) * inv[self.start]) if len(self.start) else np.zeros(0, np.uint64)
 

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from riselens.llm import decontamination as D
 from riselens.llm.textbuf import Words
@@ -63,3 +64,34 @@ def test_products_take_a_block_of_rows_at_a_time():
     want = counts.T @ (counts @ q * scale)
     assert np.allclose(total, want, rtol=1e-4)
     assert peak < 40_000 * rank * 4 / 4
+
+
+def test_project_sums_the_rows_of_known_words():
+    rng = np.random.default_rng(2)
+    column = np.where(rng.random(1 << D.BITS) < 0.5, rng.integers(0, 9, 1 << D.BITS), -1)
+    rows = rng.standard_normal((9, 4)).astype(np.float32)
+    words = " ".join(f"w{i}" for i in range(100)).split()
+    texts = ["", " ".join(words[:5]), " ".join(words), "...", " ".join(words[::-1][:13])]
+    _, term, first, end, *_ = D._passages(texts, np.ones(1 << D.BITS))
+    blocks = np.arange(len(first))[::-1]
+    want = [sum((rows[c] for c in column[term[first[b] : end[b]]] if c >= 0), np.zeros(4)) for b in blocks]
+    assert np.allclose(D._project(term, first, end, blocks, column, rows), want, atol=1e-5)
+    assert D._project(term[:0], first[:0], end[:0], blocks[:0], column, rows).shape == (0, 4)
+
+
+def test_only_an_items_own_words_are_compared_with_it(monkeypatch):
+    """Windows whose words rule an item out are not compared at all, others by the item's words alone."""
+    rng = random.Random(8)
+    item = [f"item{i}" for i in range(30)]
+    texts = [" ".join(f"other{rng.randrange(999)}" for _ in range(60)) for _ in range(20)]
+    texts[3] += " " + " ".join(item)
+    texts[7] += " " + " ".join(item[:12])
+    idf, column = np.full(1 << D.BITS, 3.0), np.full(1 << D.BITS, -1, np.int32)
+    terms = np.unique(D._dims(Words([" ".join(item)]).hash))
+    column[terms] = np.arange(len(terms))
+    seen = []
+    monkeypatch.setattr(D, "lcs", lambda a, b, run=D.lcs: seen.append((set(a), set(b))) or run(a, b))
+    items, docs = pd.DataFrame({"item_id": [1], "text": [" ".join(item)]}), pd.DataFrame({"doc_id": range(20), "text": texts})
+    found = pd.concat(D._search(items, idf, column, np.eye(len(terms), dtype=np.float32), D.COSINE)([docs]))
+    assert found["doc_id"].tolist() == [3] and found["lcs"].tolist() == [1.0]
+    assert seen and all(b <= set(D.tokens(" ".join(item))) and len(b) > 12 for _, b in seen)
