@@ -16,8 +16,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain.  The
     neighbourhood minimum is a partial aggregate, so a hub of any degree is
     combined before the shuffle; the join back to the hub's edges is an inner
-    join that adaptive execution splits.  Each round is a written table; it is the
-    last one if no node has two smaller neighbours or neighbours on both sides.
+    join that adaptive execution splits.  Each round is a written table.  Once no
+    node has two smaller neighbours the edges are a forest of pointers to smaller
+    nodes, which halves its depth by pointer jumping, one join a step; the rounds
+    end at depth one.
     Empty edges give an empty table at once; self-loops, repeated and null edges
     are ignored.
     """
@@ -34,13 +36,26 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
         e = checkpoint(small.select("s.u", "s.v").where("u <> v").distinct())
         ends = e.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select(F.col("v"), F.lit(0), F.lit(1)))
-        if ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
+        down = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").agg(F.max("down")).first()[0]
+        if down is None or down == 1:
             break
     else:
         raise RuntimeError("components did not settle")
+    if down is not None:
+        e = _jump(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
+def _jump(e: DataFrame) -> DataFrame:
+    """The forest ``e`` (u, v: its one smaller neighbour) with every v replaced by its root."""
+    while True:
+        above = e.select(F.col("u").alias("v"), F.col("v").alias("above"))
+        step = checkpoint(e.select("u", "v").join(above, "v", "left").select("u", F.coalesce("above", "v").alias("v"), F.col("above").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.select("u", "v")
+        e = step.select("u", "v")
+
+
 def merge_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` (id, component) with the components that ``links`` (a, b) join made one.
 

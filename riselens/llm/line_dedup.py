@@ -53,13 +53,21 @@ def shingles(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start = (buf & 0xC0) != 0x80
     start[bounds[:-1]] = True
     first = np.flatnonzero(start)
-    line = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(first, bounds)))
-    end = np.minimum(np.append(first, np.full(Q, len(buf)))[Q:], bounds[1:][line])
+    at = np.searchsorted(first, bounds)
     pos, inv = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * pos[:-1], dtype=np.uint64, out=total[1:])
-    h = mix((total[end] - total[first]) * inv[first])
-    key = np.sort(line.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    total = total[np.append(first, len(buf))]
+    h = np.empty(len(first), np.uint64)
+    whole = max(len(first) - Q + 1, 0)
+    np.subtract(total[Q:], total[:whole], out=h[:whole])
+    for left in range(1, Q):
+        last = at[1:] - left
+        own = last >= at[:-1]
+        h[last[own]] = total[at[1:][own]] - total[last[own]]
+    h *= inv[first]
+    line = np.arange(len(bounds) - 1, dtype=np.uint64) << np.uint64(44)
+    key = np.sort(np.repeat(line, np.diff(at)) | mix(h) >> np.uint64(20))
     key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     ends = np.searchsorted(key, np.arange(len(bounds), dtype=np.uint64) << np.uint64(44))
     ends[-1] = len(key)
@@ -96,23 +104,25 @@ def band_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     for row in range(ROWS):
         band = mix(band * _P + least[:, :, row])
 
-    rank = np.arange(len(v)) - ends[line]
-    twos = np.flatnonzero((rank < n[line] - 1) & (n[line] <= TINY))
-    threes = np.flatnonzero((rank < np.minimum(n, KEEP)[line] - 2) & (n[line] <= SHORT))
-    of_twos, of_threes = (np.bincount(line[at], minlength=len(n)) for at in (twos, threes))
+    at = np.flatnonzero(np.repeat(n <= SHORT, n))
+    rank, size = at - ends[line[at]], n[line[at]]
+    two, three = (rank < size - 1) & (size <= TINY), rank < np.minimum(size, KEEP) - 2
+    (twos, of_two), (threes, of_three) = ((at[x], rank[x]) for x in (two, three))
+    of_twos, of_threes = (np.bincount(line[x], minlength=len(n)) for x in (twos, threes))
     bounds = np.concatenate(([0], np.cumsum(BANDS + of_twos + of_threes)))
     keys = np.empty(bounds[-1], np.uint64)
     keys[bounds[:-1, None] + np.arange(BANDS)] = band
-    keys[(bounds[:-1] + BANDS)[line[twos]] + rank[twos]] = mix(mix(v[twos]) + v[twos + 1])
-    keys[(bounds[:-1] + BANDS + of_twos)[line[threes]] + rank[threes]] = mix(mix(mix(v[threes]) + v[threes + 1]) + v[threes + 2])
+    keys[(bounds[:-1] + BANDS)[line[twos]] + of_two] = mix(mix(v[twos]) + v[twos + 1])
+    keys[(bounds[:-1] + BANDS + of_twos)[line[threes]] + of_three] = mix(mix(mix(v[threes]) + v[threes + 1]) + v[threes + 2])
     return keys.view(np.int64), bounds
 
 
 def parity(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each set WORDS words: bit i of them is the parity of the hashes with remainder i."""
-    bit = values.view(np.uint64) % np.uint64(64 * WORDS)
-    one, word = np.uint64(1) << bit % np.uint64(64), bit // np.uint64(64)
-    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), ends[:-1]) for w in range(WORDS)], 1).view(np.int64)
+    n = np.diff(ends)
+    bit = np.repeat(np.arange(len(n)) * 64 * WORDS, n) + values % (64 * WORDS)
+    odd = np.bincount(bit, minlength=len(n) * 64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(n), WORDS)
 
 
 def with_keys(lines: DataFrame) -> DataFrame:
@@ -177,7 +187,8 @@ def _shared(reps: DataFrame) -> DataFrame:
     entries = reps.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     lists = lists.where("c > 2 or c = 2 and " + _sizes_fit("lo", "hi")).select("key", "c", "pivot")
-    return entries.join(lists, "key")
+    # most keys have one entry: the lists are the small side, and the entries are not sorted for them
+    return entries.join(lists.hint("shuffle_hash"), "key")
 
 
 def _pairs(shared: DataFrame, reps: DataFrame) -> DataFrame:
@@ -290,8 +301,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     configure(docs.sparkSession)
     src = split_lines(docs).withColumn("id", F.xxhash64("line"))
     lines = checkpoint(src.select("doc_id", "line_no", "id"))
-    reps = with_keys(src).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
-    reps = checkpoint(reps)
+    # equal lines collapse before their sets are built
+    distinct = src.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+    reps = checkpoint(with_keys(distinct))
     shared = checkpoint(_shared(reps))
     pairs = checkpoint(_pairs(shared, reps))
     texts = _lines(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())

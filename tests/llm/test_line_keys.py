@@ -71,3 +71,35 @@ def test_long_lists_are_compared_by_a_join(spark, monkeypatch):
     rows = line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.first_doc_id for r in rows if r.doc_id >= 100} <= set(range(30))
     assert sum(tiled) == 0
+
+
+def test_equal_lines_collapse_before_their_sets_are_built(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_dedup, "with_keys", lambda lines, run=line_dedup.with_keys: seen.append(lines.count()) or run(lines))
+    docs = [(i, f"one line that every document has\nand one of number {i} alone") for i in range(20)]
+    rows = line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert seen == [21] and len(rows) == 40
+    assert {(r.first_doc_id, r.kept) for r in rows if r.line_no == 0} == {(0, True), (0, False)}
+
+
+def test_lists_are_looked_up_without_sorting_the_entries(spark):
+    reps = spark.range(1000).selectExpr("id", "id % 7 + 20 as n", "array(id div 3, id + 5000) as keys")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup._shared(reps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+
+
+@pytest.mark.parametrize("text", ["a", "abcd", "abcde", "abcdefgh", "日本語", "né à 日本語 🙂🙂"])
+def test_shingles_at_every_character(text):
+    """Lines end to end have the sets that they have alone, one for each distinct window."""
+    whole = [text, "in between", text + text]
+    raw = [t.encode() for t in whole]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    values, ends = line_dedup.shingles(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    for k, t in enumerate(whole):
+        alone, _ = line_dedup.shingles(np.frombuffer(raw[k], np.uint8), np.array([0, len(raw[k])]))
+        assert (values[ends[k] : ends[k + 1]] == alone).all()
+        assert len(alone) == len({t[i : i + line_dedup.Q] for i in range(len(t))})
