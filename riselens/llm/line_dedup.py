@@ -194,10 +194,12 @@ def _shared(reps: DataFrame) -> DataFrame:
 def _pairs(shared: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidate pairs (a < b) that sizes and bitmaps allow."""
     star = shared.where(F.col("c") > LIST).where("id <> pivot").select("id", "pivot")
-    small = shared.where(F.col("c") <= LIST).select("key", "id", "n")
+    # a list of two is its pivot and the other line, of sizes that fit
+    two = shared.where((F.col("c") == 2) & (F.col("c") <= LIST)).where("id <> pivot").select("id", "pivot")
+    small = shared.where((F.col("c") > 2) & (F.col("c") <= LIST)).select("key", "id", "n")
     other = small.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"))
     full = small.join(other, "key").where("id < pivot and " + _sizes_fit("n", "pn")).select("id", "pivot")
-    pairs = star.union(full).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pairs = star.union(two).union(full).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
     return pairs.where(_sizes_fit("na", "nb") + " and " + _bitmaps_fit("na", "nb", "bitsa", "bitsb")).select("a", "b")

@@ -103,3 +103,12 @@ def test_shingles_at_every_character(text):
         alone, _ = line_dedup.shingles(np.frombuffer(raw[k], np.uint8), np.array([0, len(raw[k])]))
         assert (values[ends[k] : ends[k + 1]] == alone).all()
         assert len(alone) == len({t[i : i + line_dedup.Q] for i in range(len(t))})
+
+
+def test_a_list_of_two_is_a_pair_without_a_join(spark):
+    """Its pivot and the other line; the pivot's own entry is not looked for."""
+    shared = spark.createDataFrame([(7, 2, 20, 2, 1), (8, 3, 20, 3, 1), (8, 1, 20, 3, 1), (8, 4, 20, 3, 1)], "key long, id long, n int, c long, pivot long")
+    bits = [0] * line_dedup.WORDS
+    reps = spark.createDataFrame([(i, 20, bits) for i in range(1, 5)], "id long, n int, bits array<long>")
+    pairs = {(r.a, r.b) for r in line_dedup._pairs(shared, reps).collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 4), (3, 4)}
