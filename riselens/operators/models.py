@@ -77,15 +77,24 @@ def fit_trees(train: DataFrame, kind: str, numeric: Sequence[str], categorical:
     return Pipeline(stages=[pipe, est]).fit(train)
 
 
+def zero_stage(cols: Sequence[str]) -> SQLTransformer:
+    """``c__zero`` per column: nulls and NaN as 0, as in the Grams of the linear stages."""
+    filled = (f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D) AS `{c}__zero`" for c in cols)
+    return SQLTransformer(statement="SELECT *, " + ", ".join(filled) + " FROM __THIS__")
+
+
 def boosted_residual_model(train: DataFrame, features: Sequence[str], label: str, valid_col: str,
                            max_iter: int = 400, step: float = 0.05, depth: int = 4, seed: int = 42):
     """Boosted trees on the residual with early stopping on a validation
-    slice of the TRAINING rows (``valid_col`` true), not on the test set."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    slice of the TRAINING rows (``valid_col`` true), not on the test set.
+
+    The trees take no NaN: a feature without a value (of a title without
+    words) is 0."""
+    asm = VectorAssembler(inputCols=[f"{c}__zero" for c in features], outputCol="features")
     gbt = GBTRegressor(labelCol=label, featuresCol="features", validationIndicatorCol=valid_col,
                        maxIter=max_iter, stepSize=step, maxDepth=depth, subsamplingRate=0.7,
                        featureSubsetStrategy="0.7", minInstancesPerNode=60, seed=seed, validationTol=1e-4)
-    return Pipeline(stages=[asm, gbt]).fit(train)
+    return Pipeline(stages=[zero_stage(features), asm, gbt]).fit(train)
 
 
 def evaluate(model, df: DataFrame, label: str, pred: str = "prediction") -> dict:
