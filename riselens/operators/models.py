@@ -137,18 +137,40 @@ def permutation_importance(model, test: DataFrame, features: Sequence[str], labe
         F.col("importance_mean").desc(), "feature")
 
 
+def _columns_with_holes(data: DataFrame, cols: Sequence[str], folds: int) -> dict[str, bool]:
+    """Columns that miss values (null or NaN), in one pass; true where the training
+    rows of some fold have no value at all, so that there is no median."""
+    has = [F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols]
+    counts = data.groupBy("_fold").agg(F.count(F.lit(1)).alias("_n"), *has).collect()
+    total = {c: sum(r[c] for r in counts) for c in cols}
+    own = {r["_fold"]: r for r in counts}
+    return {c: any(total[c] == (own[f][c] if f in own else 0) for f in range(folds))
+            for c in cols if total[c] < sum(r["_n"] for r in counts)}
+
+
 def grid_search(train: DataFrame, kind: str, features: Sequence[str], label: str, grid: dict, folds: int = 3,
                 seed: int = 42, key: str = "post_id") -> DataFrame:
-    """K-fold CV over a parameter grid (fold ids from a hash of the key)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    """K-fold CV over a parameter grid (fold ids from a hash of the key).
+
+    The trees take no NaN: missing values get the column's median, fitted with
+    the model on the training rows of each fold."""
     est = regressor(kind, label=label, seed=seed)
     pb = ParamGridBuilder()
     for name, values in grid.items():
         pb = pb.addGrid(est.getParam(name), list(values))
     maps = pb.build()
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
-    data = asm.transform(train).withColumn("_fold", fold)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=2,
+    data = train.withColumn("_fold", fold)
+    holes = _columns_with_holes(data, features, folds)
+    data = data.fillna(0, [c for c, empty in holes.items() if empty])
+    gaps = [c for c, empty in holes.items() if not empty]
+    asm = VectorAssembler(inputCols=[f"{c}__imp" if c in gaps else c for c in features], outputCol="features")
+    if gaps:
+        imputer = Imputer(strategy="median", inputCols=gaps, outputCols=[f"{c}__imp" for c in gaps])
+        fitted = Pipeline(stages=[imputer, asm, est])
+    else:
+        data, fitted = asm.transform(data), est
+    cv = CrossValidator(estimator=fitted, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=2,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), seed=seed)
     m = cv.fit(data)
     rows = [({p.name: v for p, v in pm.items()}, float(metric)) for pm, metric in zip(maps, m.avgMetrics)]

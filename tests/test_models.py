@@ -1,5 +1,6 @@
 """Tree models on rows whose features miss values (titles without words)."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from riselens.operators import models as ML
@@ -21,3 +22,30 @@ def test_boosted_takes_missing_features_as_zero(spark):
     got, want = (ML.evaluate(x, d, "y") for x in (m, zero))
     assert got["n"] == 300 and got == want
     assert len(m.stages[-1].featureImportances.toArray()) == 2
+
+
+def test_grid_search_fills_missing_features_with_fold_medians(spark):
+    d = _rows(spark, 13)
+    grid = {"numTrees": [2], "maxDepth": [2, 3]}
+    got = {r["params"]: r["cv_rmse"] for r in ML.grid_search(d, "random_forest", ["a", "b"], "y", grid).collect()}
+    # the same by hand: each fold's median from its training rows
+    fold = F.pmod(F.xxhash64("post_id", F.lit(42)), F.lit(3))
+    want = {2: [], 3: []}
+    for f in range(3):
+        own = d.withColumn("f", fold)
+        values = [r["a"] for r in own.where(f"f <> {f}").collect() if r["a"] is not None and not np.isnan(r["a"])]
+        median = float(np.quantile(values, 0.5, method="inverted_cdf"))
+        full = own.withColumn("a", F.coalesce(F.nanvl("a", F.lit(median)), F.lit(median)))
+        for depth in want:
+            rf = ML.regressor("random_forest", label="y", numTrees=2, maxDepth=depth)
+            asm = ML.VectorAssembler(inputCols=["a", "b"], outputCol="features")
+            fit = rf.fit(asm.transform(full.where(f"f <> {f}")))
+            want[depth].append(ML.evaluate(fit, asm.transform(full.where(f"f = {f}")), "y")["rmse"])
+    for depth, rmse in want.items():
+        assert abs(got[f"[('maxDepth', {depth}), ('numTrees', 2)]"] - np.mean(rmse)) < 1e-6
+
+
+def test_grid_search_of_a_column_without_values(spark):
+    d = _rows(spark, 1).withColumn("a", F.lit(None).cast("double"))
+    rows = ML.grid_search(d, "random_forest", ["a", "b"], "y", {"numTrees": [2], "maxDepth": [2]}).collect()
+    assert len(rows) == 1 and rows[0]["cv_rmse"] is not None
